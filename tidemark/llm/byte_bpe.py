@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import arrow_map, table, texts_of
 
 #: White space in Unicode's sense, as the splitting pattern means it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that no match of the splitting pattern crosses.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries of a worker's memo before it is emptied.
