@@ -84,3 +84,27 @@ def ascii_lower(col):
 def held_out(doc_id, modulus: int, rest: int = 2):
     """crc32(doc_id as text) mod modulus is rest."""
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == rest, F.lit(False))
+
+
+def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """Keep the rows for which the task's function says so; columns stay as they are."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            yield batch.filter(pa.array(fn(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_labelled: int, training=None) -> DataFrame:
+    """doc_id, text, label of at most max_labelled labelled documents, those with the smallest hash of doc_id.
+
+    The sample has at most max_labelled rows by construction, so it can be broadcast to the documents.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
+    if training is not None:
+        rows = rows.filter(training(F.col("doc_id")))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
