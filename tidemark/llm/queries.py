@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
+from tidemark.llm.packing import op5_best_fit_packing
+from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
