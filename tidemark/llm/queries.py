@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
 from tidemark.llm.packing import op5_best_fit_packing
+from tidemark.llm.pii import op2_pii
+from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
