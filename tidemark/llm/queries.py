@@ -6,9 +6,11 @@ from tidemark.llm.byte_bpe import op9_byte_bpe
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pii import op2_pii
 from tidemark.llm.quality import op4_quality_rules
+from tidemark.llm.urls import op10_url_filters, oracle_sql as op10_sql
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op10_url_filters": op10_url_filters,
     "op2_pii": op2_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -16,4 +18,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": op10_sql()}
