@@ -7,9 +7,12 @@ from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pii import op2_pii
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.urls import op10_url_filters, oracle_sql as op10_sql
+from tidemark.llm.topk import ORACLE_SQL as OP6_SQL
+from tidemark.llm.topk import op6_exact_topk
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op6_exact_topk": op6_exact_topk,
     "op10_url_filters": op10_url_filters,
     "op2_pii": op2_pii,
     "op4_quality_rules": op4_quality_rules,
@@ -18,4 +21,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filters": op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op10_url_filters": op10_sql()}
