@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
+from tidemark.llm.neardup import op7_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pii import op2_pii
 from tidemark.llm.quality import op4_quality_rules
@@ -12,6 +13,7 @@ from tidemark.llm.topk import op6_exact_topk
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op10_url_filters": op10_url_filters,
     "op2_pii": op2_pii,
