@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_map, stored, table, texts_of
 
 CAPACITY = 2048
-#: Entries of a worker's memo of runs of text before it is emptied.
-MEMO = 400_000
+#: Entries of a worker's memo of runs of text. A full memo stays as it is: common runs come early.
+MEMO = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -39,6 +39,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memo(dict):
+    """What is not in the memo is looked up among the batch's own."""
+
+    own: dict[bytes, bytes] = {}
+
+    def __missing__(self, run: bytes) -> bytes:
+        return self.own[run]
+
+
 class WordBpe:
     """ids as little-endian 32-bit bytes. The tokenizer never joins across ASCII white space, so runs between it are kept in a memo."""
 
@@ -51,19 +60,16 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         runs = [x.encode("utf-8", "replace").split() for x in texts]
-        new = set().union(*runs).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set().union(*runs)
-        if new:
-            new = list(new)
-            for run, got in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-                memo[run] = b"".join([i.to_bytes(4, "little") for i in got.ids])
+        if new := list(set().union(*runs).difference(memo)):
+            got = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+            memo.own = {run: b"".join([i.to_bytes(4, "little") for i in x.ids]) for run, x in zip(new, got)}
+            if len(memo) < MEMO:
+                memo.update(memo.own)
         return [b"".join([memo[x] for x in own]) for own in runs]
 
 
