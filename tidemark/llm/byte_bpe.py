@@ -30,8 +30,8 @@ from tidemark.llm.common import arrow_map, table, texts_of
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that no match of the splitting pattern crosses.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Entries of a worker's memo before it is emptied.
-MEMO = 500_000
+#: Entries of a worker's memo. A full memo stays as it is: common runs come early.
+MEMO = 700_000
 
 
 def default_vocab() -> str:
@@ -158,9 +158,7 @@ class ByteBpe:
             got = self.pieces.get(key)
             if got is None:
                 got = self.encode_piece(key)
-                if len(key) <= 64:
-                    if len(self.pieces) > MEMO:
-                        self.pieces.clear()
+                if len(key) <= 64 and len(self.pieces) < MEMO:
                     self.pieces[key] = got
             ids += got
         return ids
@@ -180,9 +178,7 @@ class ByteBpe:
             if got is None:
                 own = self.encode_run(run)
                 got = ("".join([f"{i}," for i in own]).encode(), self.decode(own))
-                if len(run) <= 64:
-                    if len(memo) > MEMO:
-                        memo.clear()
+                if len(run) <= 64 and len(memo) < MEMO:
                     memo[run] = got
             ids.append(got[0])
             back.append(got[1])
