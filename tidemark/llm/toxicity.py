@@ -29,7 +29,7 @@ BUCKETS = 1 << 22
 MAX_LABELLED = 16_000
 MAX_TERMS = 4096
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 1_000_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -49,16 +49,16 @@ def runs_of(text: str) -> set[bytes]:
 
 
 class Memo(dict):
-    """Terms by run; emptied when full."""
+    """Terms by run. A full memo stays as it is: common runs come early."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, run):
-        if len(self) >= MEMO:
-            self.clear()
-        got = self[run] = self.make(run)
+        got = self.make(run)
+        if len(self) < MEMO:
+            self[run] = got
         return got
 
 
