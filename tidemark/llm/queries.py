@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op9_byte_bpe
+from tidemark.llm.lm import op1_lm_scoring
 from tidemark.llm.neardup import op7_minhash_near_dedup
 from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pii import op2_pii
@@ -13,6 +14,7 @@ from tidemark.llm.topk import op6_exact_topk
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op10_url_filters": op10_url_filters,
