@@ -56,7 +56,7 @@ def sessions(ts: Column, w: WindowSpec, gap: int) -> Column:
     return (F.sum(F.when(ts - F.lag(ts).over(w) > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("long")
 
 
-def ewm(x: Column, w: WindowSpec, alpha: float, least: int, tail: float = 1e-12) -> Column:
+def ewm(x: Column, w: WindowSpec, alpha: float, least: int, tail: float = 1e-15) -> Column:
     """Exponential mean, weights by position and without adjustment, begun at the first value.
 
     Weights further back than `tail` are left out, so a row looks at a bounded number of others; the first

@@ -103,7 +103,7 @@ def yang_zhang(df: DataFrame, n: int = 20, year: float = 365, series: str = "ser
     df = df.withColumns({"_on": F.log(o / F.lag(c).over(w)), "_oc": F.log(c / o), "_rs": F.log(h / c) * F.log(h / o) + F.log(l / c) * F.log(l / o)})
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     var = rolling(F.var_samp, F.col("_on"), w, n) + k * rolling(F.var_samp, F.col("_oc"), w, n) + (1 - k) * rolling(F.avg, F.col("_rs"), w, n)
-    return df.withColumn("yz", F.sqrt(F.greatest(var, F.lit(0.0)) * year)).drop("_on", "_oc", "_rs")
+    return df.withColumn("yz", F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)) * year))).drop("_on", "_oc", "_rs")
 
 
 def donchian(df: DataFrame, n: int = 55, exit_n: int = 20, series: str = "series", ts: str = "day") -> DataFrame:

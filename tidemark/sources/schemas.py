@@ -53,12 +53,12 @@ def ship_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = read(spark, sf_dir, "lineitem")
     return i.select(
         F.col("l_returnflag").alias("exchange"), F.lit("SHIP").alias("symbol"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trade_id"), epoch_ms(F.col("l_shipdate")).alias("ts_ms"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"), F.col("l_quantity").alias("qty"), (F.col("l_linestatus") == "O").alias("aggressor_buy"),
+        F.round(F.col("l_extendedprice") / F.col("l_quantity") + 1e-7, 4).alias("price"), F.col("l_quantity").alias("qty"), (F.col("l_linestatus") == "O").alias("aggressor_buy"),
     )
 
 
 SHIP_SQL = """ship AS (SELECT l_returnflag AS exchange, 'SHIP' AS symbol, concat_ws('-', l_orderkey, l_linenumber) AS trade_id, epoch_us(l_shipdate) // 1000 AS ts_ms,
-    round(l_extendedprice / l_quantity, 4) AS price, l_quantity AS qty, l_linestatus = 'O' AS aggressor_buy FROM lineitem)"""
+    round(l_extendedprice / l_quantity + 1e-7, 4) AS price, l_quantity AS qty, l_linestatus = 'O' AS aggressor_buy FROM lineitem)"""
 
 
 def daily(spark: SparkSession, sf_dir: str, by_priority: bool = False) -> DataFrame:
