@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.windows import by, ewm, finite, prior, ratio, rolling, running
 
@@ -151,9 +152,9 @@ def hurst_value(x: list[float], max_lag: int = 20) -> float | None:
 def hurst(df: DataFrame, value: str = "close", n: int | None = None, series: str = "series", ts: str = "day", max_lag: int = 20) -> DataFrame:
     """Add hurst of the last n rows, or (n None) one row for each series."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def est(lists):
-        return lists.map(lambda x: hurst_value(x, max_lag))
+        return lists.map(lambda x: None if x is None else hurst_value(list(x), max_lag))
 
     if n is None:
         return df.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("_s")).select(series, est(F.transform("_s", lambda s: s[value])).alias("hurst"))

@@ -1,6 +1,6 @@
 """Every query of the engine; importing this module registers them all."""
 
-from tidemark.plans import bars, features, profiles, quality
+from tidemark.plans import backtests, bars, features, pricing, profiles, quality
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "features", "profiles", "quality"]
+__all__ = ["ORACLES", "QUERIES", "backtests", "bars", "features", "pricing", "profiles", "quality"]
