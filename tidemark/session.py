@@ -22,3 +22,23 @@ def session(master: str = "local[*]", app: str = "tidemark", **more: str) -> Spa
     for key, value in more.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each application: functions that run there import it."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    fd, path = tempfile.mkstemp(prefix="tidemark-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    context.addPyFile(path)
+    context._tidemark_shipped = True

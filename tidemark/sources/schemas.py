@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship
+
 #: Column names and order are the tick store's format.
 TABLES: dict[str, T.StructType] = {
     name: T.StructType.fromDDL(ddl)
@@ -26,6 +28,7 @@ DAY_MS = 86_400_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
