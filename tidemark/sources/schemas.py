@@ -8,9 +8,17 @@ from pyspark.sql import types as T
 
 from tidemark.session import ship
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _struct(ddl: str) -> T.StructType:
+    """StructType.fromDDL needs a running session; importing this module must not."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
 #: Column names and order are the tick store's format.
 TABLES: dict[str, T.StructType] = {
-    name: T.StructType.fromDDL(ddl)
+    name: _struct(ddl)
     for name, ddl in {
         "trades": "exchange string, symbol string, trade_id string, ts_ms bigint, price double, qty double, aggressor_buy boolean",
         "liquidations": "exchange string, symbol string, ts_ms bigint, side string, price double, qty double, notional_usd double",
