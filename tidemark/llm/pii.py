@@ -247,7 +247,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256, spans. Candidates and votes (no texts) are stored once and used twice."""
     spans = stored(voted(docs), "pii-votes")
     weights = span_classifier(vote_counts(spans))
-    many = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    of_kind = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    many = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return spans.select("doc_id", *many, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(chosen(weights)).alias("spans"))
 
 
