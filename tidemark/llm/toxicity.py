@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_filter, arrow_map, held_out, labelled_sample, table, texts_of
 
 BUCKETS = 1 << 22
-MAX_LABELLED = 16_000
+MAX_LABELLED = 8_000
 MAX_TERMS = 4096
 THRESHOLD = 0.3
-MEMO = 1_000_000
+MEMO = 250_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
