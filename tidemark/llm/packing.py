@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, stored, table, texts_of
+from tidemark.llm.common import arrow_map, stored, table
 
 CAPACITY = 2048
 #: Entries of a worker's memo of runs of text. A full memo stays as it is: common runs come early.
-MEMO = 1_500_000
+MEMO = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -39,15 +39,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Memo(dict):
-    """What is not in the memo is looked up among the batch's own."""
-
-    own: dict[bytes, bytes] = {}
-
-    def __missing__(self, run: bytes) -> bytes:
-        return self.own[run]
-
-
 class WordBpe:
     """ids as little-endian 32-bit bytes. The tokenizer never joins across ASCII white space, so runs between it are kept in a memo."""
 
@@ -60,17 +51,30 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        runs = [x.encode("utf-8", "replace").split() for x in texts]
-        if new := list(set().union(*runs).difference(memo)):
-            got = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            memo.own = {run: b"".join([i.to_bytes(4, "little") for i in x.ids]) for run, x in zip(new, got)}
-            if len(memo) < MEMO:
-                memo.update(memo.own)
-        return [b"".join([memo[x] for x in own]) for own in runs]
+        self.memo: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Runs are looked up in lower case, as the tokenizer lowers all; texts that may hold its special tokens stay as they are."""
+        get = self.memo.get
+        runs = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        out, open_, new = [], [], set()
+        for i, own in enumerate(runs):
+            got = list(map(get, own))
+            if None in got:
+                open_.append(i)
+                new.update([x for x, ids in zip(own, got) if ids is None])
+                out.append(b"")
+            else:
+                out.append(b"".join(got))
+        if new:
+            order = list(new)
+            got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in order], add_special_tokens=False)
+            fresh = {run: b"".join([i.to_bytes(4, "little") for i in x.ids]) for run, x in zip(order, got)}
+            if len(self.memo) < MEMO:
+                self.memo.update(fresh)
+            for i in open_:
+                out[i] = b"".join([ids if (ids := get(x)) is not None else fresh[x] for x in runs[i]])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -88,7 +92,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in names]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts_of(batch))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode([x or b"" for x in batch.column(1).to_pylist()])):
                 ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -101,7 +105,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         return run
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), make, schema)
+    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text"), make, schema)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
