@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
 
-from tidemark.functions.windows import by, ewm, finite, prior, ratio, rolling, running
+from tidemark.functions.windows import by, finite, prior, ratio, rolling, running
 
 LN2 = math.log(2)
 
@@ -29,8 +30,23 @@ def sma(x: Column, w, n: int) -> Column:
     return rolling(F.avg, x, w, n)
 
 
-def ema(x: Column, w, n: int) -> Column:
-    return ewm(x, w, 2 / (n + 1), n)
+def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], series: str = "series", ts: str = "day") -> DataFrame:
+    """Add exponential means: name -> (column, alpha, least number of values).
+
+    Linear time: one series at a time in time order, so a series must fit one task. functions.windows.ewm is
+    the same as a window expression that looks back a bounded number of rows.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name in specs)])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(ts)
+        return g.assign(**{name: g[c].astype(float).ewm(alpha=alpha, adjust=False, min_periods=least).mean() for name, (c, alpha, least) in specs.items()})
+
+    return df.groupBy(series).applyInPandas(run, schema)
+
+
+def ema(df: DataFrame, column: str, n: int, name: str = "ema", series: str = "series", ts: str = "day") -> DataFrame:
+    return with_ewm(df, {name: (column, 2 / (n + 1), n)}, series, ts)
 
 
 def zscore(x: Column, w, n: int) -> Column:
@@ -72,7 +88,7 @@ def true_range(w) -> Column:
 def atr(df: DataFrame, n: int = 14, series: str = "series", ts: str = "day") -> DataFrame:
     """Add tr and atr (Wilder's mean of the true range)."""
     w = by(series, ts)
-    return df.withColumn("tr", true_range(w)).withColumn("atr", ewm(F.col("tr"), w, 1 / n, n))
+    return with_ewm(df.withColumn("tr", true_range(w)), {"atr": ("tr", 1 / n, n)}, series, ts)
 
 
 def rsi(df: DataFrame, n: int = 14, series: str = "series", ts: str = "day") -> DataFrame:
@@ -81,7 +97,7 @@ def rsi(df: DataFrame, n: int = 14, series: str = "series", ts: str = "day") ->
     change = F.col("close") - F.lag("close").over(w)
     df = df.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_down": F.greatest(-change, F.lit(0.0))})
     df = df.withColumns({k: F.when(change.isNotNull(), F.col(k)) for k in ("_up", "_down")})
-    df = df.withColumns({"_au": ewm(F.col("_up"), w, 1 / n, n), "_ad": ewm(F.col("_down"), w, 1 / n, n)})
+    df = with_ewm(df, {"_au": ("_up", 1 / n, n), "_ad": ("_down", 1 / n, n)}, series, ts)
     value = F.when(F.col("_ad") == 0, 100.0).when(F.col("_ad").isNotNull(), 100 - 100 / (1 + ratio(F.col("_au"), F.col("_ad"))))
     return df.withColumn("rsi", value).drop("_up", "_down", "_au", "_ad")
 
@@ -91,10 +107,10 @@ def adx(df: DataFrame, n: int = 14, series: str = "series", ts: str = "day") ->
     w = by(series, ts)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     df = df.withColumns({"_p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)), "_tr": true_range(w)})
-    df = df.withColumns({"_p": ewm(F.col("_p"), w, 1 / n, n), "_m": ewm(F.col("_m"), w, 1 / n, n), "_tr": ewm(F.col("_tr"), w, 1 / n, n)})
-    df = df.withColumns({"_p": 100 * ratio(F.col("_p"), F.col("_tr")), "_m": 100 * ratio(F.col("_m"), F.col("_tr"))})
+    df = with_ewm(df, {f"_e{c}": (f"_{c}", 1 / n, n) for c in ("p", "m", "tr")}, series, ts)
+    df = df.withColumns({"_p": 100 * ratio(F.col("_ep"), F.col("_etr")), "_m": 100 * ratio(F.col("_em"), F.col("_etr"))})
     df = df.withColumn("_dx", 100 * ratio(F.abs(F.col("_p") - F.col("_m")), F.col("_p") + F.col("_m")))
-    return df.withColumn("adx", ewm(F.col("_dx"), w, 1 / n, n)).drop("_p", "_m", "_tr", "_dx")
+    return with_ewm(df, {"adx": ("_dx", 1 / n, n)}, series, ts).drop("_p", "_m", "_tr", "_dx", "_ep", "_em", "_etr")
 
 
 def yang_zhang(df: DataFrame, n: int = 20, year: float = 365, series: str = "series", ts: str = "day") -> DataFrame:
@@ -152,7 +168,7 @@ def hurst_value(x: list[float], max_lag: int = 20) -> float | None:
 def hurst(df: DataFrame, value: str = "close", n: int | None = None, series: str = "series", ts: str = "day", max_lag: int = 20) -> DataFrame:
     """Add hurst of the last n rows, or (n None) one row for each series."""
 
-    @F.pandas_udf(DoubleType())
+    @F.pandas_udf(T.DoubleType())
     def est(lists):
         return lists.map(lambda x: None if x is None else hurst_value(list(x), max_lag))
 

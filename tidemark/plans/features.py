@@ -54,7 +54,7 @@ TR = f"tr AS (SELECT *, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE
 
 @query("ema", f"WITH {D}, e AS (SELECT series, day, {ewm_sql('close', 2 / 11, 10)} AS ema FROM daily) SELECT series, day, {sql_rounded('ema', 3)} FROM e")
 def ema(spark, d):
-    return rounded(_prices(spark, d).select("series", "day", ft.ema(F.col("close"), by("series", "day"), 10).alias("ema")), "ema", 3)
+    return rounded(ft.ema(_prices(spark, d), "close", 10).select("series", "day", "ema"), "ema", 3)
 
 
 @query("atr", f"WITH {D}, {TR}, a AS (SELECT series, day, tr, {ewm_sql('tr', 1 / 14, 14)} AS atr FROM tr) SELECT series, day, {sql_rounded('tr atr', 4)} FROM a")
