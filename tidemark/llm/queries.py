@@ -9,11 +9,13 @@ from tidemark.llm.packing import op5_best_fit_packing
 from tidemark.llm.pii import op2_pii
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.urls import op10_url_filters, oracle_sql as op10_sql
+from tidemark.llm.token_counts import op3_token_counts
 from tidemark.llm.topk import ORACLE_SQL as OP6_SQL
 from tidemark.llm.topk import op6_exact_topk
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op1_lm_scoring": op1_lm_scoring,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op6_exact_topk": op6_exact_topk,
