@@ -10,11 +10,12 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tests.llm.helpers import no_docs, odd_docs
 from tidemark.llm import byte_bpe as bb
 from tidemark.llm import packing as pk
+from tidemark.llm import token_counts as tc
 from tidemark.llm.common import stored, table
 
 BPE = bb.load(bb.default_vocab(), bb.default_pattern())
@@ -121,3 +122,31 @@ def test_op5_odd(spark):
     assert packed_well(pk.best_fit_pack(hot).collect(), 2048) == 1500
     with pytest.raises(ValueError):
         pk.best_fit_pack(hot.selectExpr("doc_id", "piece", "5000L as length"))
+
+
+def unigram(vocabulary, unknown, byte_fallback):
+    t = Tokenizer(models.Unigram(vocabulary, unknown, byte_fallback))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    return t, tc.UnigramCounter(vocabulary, unknown)
+
+
+VOCABULARY, UNKNOWN = tc.read_vocabulary(tc.default_model())
+PAIRS = [unigram(VOCABULARY, UNKNOWN, True), unigram([x for x in VOCABULARY if not x[0].startswith("<0x")], UNKNOWN, False), unigram([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0), ("▁a", -2.0)], 0, False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("abcthe éß中 \n\t▁<>s/0xA😀") + ["aa", "  "]), max_size=40).map("".join))
+def test_unigram_counts_are_exact(text):
+    for true, own in PAIRS:
+        assert own.count(text) == len(true.encode(text, add_special_tokens=False).ids)
+
+
+def test_op3_on_data(spark, data):
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, data, "documents").collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in tc.op3_token_counts(spark, data).collect()}
+    assert got == {i: len(PAIRS[0][0].encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+
+
+def test_op3_odd(spark):
+    got = tc.token_counts(odd_docs(spark)).collect()
+    assert len(got) == 10 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {0} and tc.token_counts(no_docs(spark)).count() == 0
