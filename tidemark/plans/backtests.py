@@ -144,7 +144,7 @@ def shrunk_sharpes(spark, d):
 @query("evt_tail", f"""WITH {D}, {RETURNS}, l AS (SELECT series, -ret AS l FROM r WHERE ret IS NOT NULL), u AS (SELECT series, quantile_cont(l, 0.9) AS u, count(*) AS n FROM l GROUP BY 1),
 x AS (SELECT series, l - u AS x, u, n, row_number() OVER (PARTITION BY series ORDER BY l) AS i, count(*) OVER (PARTITION BY series) AS m FROM l JOIN u USING (series) WHERE l > u),
 g AS (SELECT series, max(m) AS exceed, max(u) AS u, max(n) AS n, avg(x) AS a0, avg(x * (1 - (i - 0.35) / m)) AS a1 FROM x GROUP BY 1)
-SELECT series, n, exceed, round(u, 6) + 0.0 AS u, round(2 - a0 / (a0 - 2 * a1), 5) + 0.0 AS xi, round(2 * a0 * a1 / (a0 - 2 * a1), 5) + 0.0 AS beta FROM g""")
+SELECT series, n, exceed, round(u, 6) + 0.0 AS u, round(CASE WHEN exceed >= 30 THEN 2 - a0 / (a0 - 2 * a1) END, 5) + 0.0 AS xi, round(CASE WHEN exceed >= 30 THEN 2 * a0 * a1 / (a0 - 2 * a1) END, 5) + 0.0 AS beta FROM g""")
 def evt_tail(spark, d):
     t = risk.evt_tail(ft.return_features(_prices(spark, d)), ["series"], "ret", 0.9, 0.99).select("series", "n", "exceed", "u", "xi", "beta")
     return rounded(rounded(t, "u"), "xi beta", 5)
