@@ -8,7 +8,7 @@ from tidemark.functions.windows import by
 from tidemark.operators import backtest as bt
 from tidemark.operators import features as ft
 from tidemark.operators import risk, strategies as st
-from tidemark.plans.features import D, FULL, RETURNS, W, _prices, pair
+from tidemark.plans.features import D, FULL, PRIOR, RETURNS, W, _prices, pair
 from tidemark.plans.registry import query, rounded, sql_rounded
 
 
@@ -30,6 +30,27 @@ def tsmom(spark, d):
     return rounded(st.tsmom(_prices(spark, d), 20).select("series", "day", "position"), "position")
 
 
+def machine_sql(inputs: str, step: str, known: str) -> str:
+    """A rule with memory as a recursive query: `inputs` gives series, day, i (from 1) and columns, `step` the next state from s.state and them; rows that are not known keep the state and are NULL."""
+    return f"""{inputs}, st AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS state, CAST(NULL AS DOUBLE) AS position, CAST(NULL AS DATE) AS day FROM x
+    UNION ALL SELECT x.series, x.i, CASE WHEN {known} THEN {step} ELSE s.state END, CASE WHEN {known} THEN {step} END, x.day FROM st s JOIN x ON x.series = s.series AND x.i = s.i + 1)
+SELECT series, day, position FROM st WHERE i > 0"""
+
+
+R = f"WITH RECURSIVE {D}"
+NUMBERED = "row_number() OVER (PARTITION BY series ORDER BY day) AS i"
+BREAKOUT = f"x AS (SELECT series, day, {NUMBERED}, close, {PRIOR('max', 'high', 20)} AS hi, {PRIOR('min', 'low', 20)} AS lo, {PRIOR('max', 'high', 10)} AS xhi, {PRIOR('min', 'low', 10)} AS xlo FROM daily)"
+VWAP_Z = f"v AS (SELECT series, day, close, {FULL('sum', '(high + low + close) / 3 * volume', 20)} AS pv, {FULL('sum', 'volume', 20)} AS q FROM daily), dv AS (SELECT series, day, close - pv / q AS dev FROM v), x AS (SELECT series, day, {NUMBERED}, dev / ({FULL('stddev_samp', 'dev', 20)}) AS z FROM dv)"
+CLOSE_Z = f"x AS (SELECT series, day, {NUMBERED}, (close - {FULL('avg', 'close', 20)}) / ({FULL('stddev_samp', 'close', 20)}) AS z FROM daily)"
+APR = f"rt AS (SELECT series, day, ln(close / open) / 1000 AS rate FROM daily), x AS (SELECT series, day, {NUMBERED}, ({FULL('avg', 'rate', 3)}) * 1095 AS z FROM rt)"
+FADE = "CASE WHEN s.state <> 0 AND abs(x.z) > {leave} THEN s.state WHEN x.z >= {enter} THEN -1.0 WHEN x.z <= -{enter} THEN 1.0 ELSE 0.0 END"
+MACHINES = {
+    "donchian_breakout": f"{R}, {machine_sql(BREAKOUT, 'CASE WHEN x.close > x.hi THEN 1.0 WHEN x.close < x.lo THEN -1.0 WHEN (s.state > 0 AND x.close < x.xlo) OR (s.state < 0 AND x.close > x.xhi) THEN 0.0 ELSE s.state END', 'x.hi IS NOT NULL')}",
+    "vwap_reversion": f"{R}, {machine_sql(VWAP_Z, 'CASE WHEN x.z IS NULL THEN s.state ELSE ' + FADE.format(leave=0.5, enter=2.0) + ' END', 'true')}",
+    "mean_reversion": f"{R}, {machine_sql(CLOSE_Z, FADE.format(leave=0.5, enter=1.5), 'x.z IS NOT NULL')}",
+    "carry": f"{R}, {machine_sql(APR, 'CASE WHEN s.state <> 0 AND abs(x.z) >= 0.055 THEN s.state WHEN x.z <= -0.1 THEN 1.0 WHEN x.z >= 0.1 THEN -1.0 ELSE 0.0 END', 'x.z IS NOT NULL')}",
+}
+
 for _name, _rule in {
     "donchian_breakout": lambda p: st.donchian_breakout(p, 20, 10),
     "vwap_reversion": lambda p: st.vwap_reversion(p, 20),
@@ -40,7 +61,7 @@ for _name, _rule in {
     "percent_risk_size": lambda p: rounded(st.percent_risk_size(st.ma_trend_filter(p, 50)).select("series", "day", "position"), "position"),
     "carry": lambda p: st.carry(p.withColumn("rate", F.log(F.col("close") / F.col("open")) / 1000)),
 }.items():
-    query(_name)(lambda spark, d, rule=_rule: rule(_prices(spark, d)).select("series", "day", "position"))
+    query(_name, MACHINES.get(_name))(lambda spark, d, rule=_rule: rule(_prices(spark, d)).select("series", "day", "position"))
 
 
 @query("pairs_coint")
@@ -196,6 +217,11 @@ def trade_ledger(spark, d):
     return rounded(bt.trade_ledger(bt.run(_trend(spark, d))).select("series", "trade", "entry", "exit", "bars", "ret", "mae"), "ret mae")
 
 
-@query("expectancy")
+@query("expectancy", f"""WITH {D}, {RUN}, s AS (SELECT *, sign(traded) AS s, CASE WHEN sign(traded) IS NOT DISTINCT FROM lag(sign(traded)) OVER w THEN 0 ELSE 1 END AS f, {PRIOR('stddev_samp', 'ret', 20)} AS sd FROM bt {W}), t AS (SELECT *, sum(f) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS trade FROM s),
+p AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY series, trade ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 AS p FROM t WHERE s <> 0),
+l AS (SELECT series, trade, last(p ORDER BY day) / (2 * first(sd ORDER BY day)) AS r, least(min(p), 0) AS mae FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY trade) - row_number() OVER (PARTITION BY series, r > 0 ORDER BY trade) AS g FROM l WHERE r IS NOT NULL),
+ls AS (SELECT series, max(n) AS loss_streak FROM (SELECT series, g, count(*) AS n FROM k WHERE r <= 0 GROUP BY 1, 2) GROUP BY 1)
+SELECT series, count(*) AS trades, round(avg(CAST(r > 0 AS DOUBLE)), 6) + 0.0 AS win_rate, round(avg(r), 6) + 0.0 AS expectancy, round(avg(r) FILTER (r > 0) / abs(avg(r) FILTER (r <= 0)), 6) + 0.0 AS payoff, round(avg(r) / stddev_samp(r) * sqrt(count(*)), 6) + 0.0 AS sqn,
+round(sum(r) FILTER (r > 0) / abs(sum(r) FILTER (r <= 0)), 6) + 0.0 AS profit_factor, round(avg(mae), 6) + 0.0 AS mae, coalesce(min(loss_streak), 0) AS loss_streak FROM k LEFT JOIN ls USING (series) GROUP BY 1""")
 def expectancy(spark, d):
     return rounded(bt.expectancy(bt.trade_ledger(bt.run(_trend(spark, d))), ["series"]), "win_rate expectancy payoff sqn profit_factor mae")

@@ -133,6 +133,8 @@ def delta_profile(spark, d):
     return rounded(pf.delta_profile(pf.profile(tape(spark, d), 10.0, ["exchange"]), ["exchange"]).select("exchange", "level", "delta", "intensity"), "intensity")
 
 
-@query("liquidation_bands")
+@query("liquidation_bands", f"""{T}, l AS (SELECT exchange, round(floor(round(price / 10, 9)) * 10, 10) AS level, sum(CASE WHEN aggressor_buy THEN qty ELSE 0 END) AS lo, sum(CASE WHEN NOT aggressor_buy THEN qty ELSE 0 END) AS sh FROM tape GROUP BY 1, 2), x AS (SELECT *, unnest([10, 25, 50, 100]) AS x FROM l),
+b AS (SELECT exchange, 'long' AS side, CAST(floor(round(level * (1 - 1 / x) / 10, 9)) AS BIGINT) AS "at", lo AS q FROM x UNION ALL SELECT exchange, 'short', CAST(floor(round(level * (1 + 1 / x) / 10, 9)) AS BIGINT), sh FROM x), g AS (SELECT exchange, side, "at", sum(q) AS q FROM b GROUP BY 1, 2, 3 HAVING sum(q) > 0)
+SELECT exchange, side, "at", round(q, 6) + 0.0 AS q, round(q / max(q) OVER (PARTITION BY exchange), 6) + 0.0 AS share FROM g""")
 def liquidation_bands(spark, d):
     return rounded(pf.liquidation_bands(tape(spark, d), 10.0), "q share")

@@ -29,7 +29,8 @@ def news_relevance(spark, d):
     return tm.news_relevance(items).select("doc_id", "why")
 
 
-@query("news_counts")
+@query("news_counts", f"""WITH n AS (SELECT lower(split_part(text, chr(10), 1)) AS t, lower(source) AS s FROM documents), k AS (SELECT *, regexp_matches(t, '{tm.COINS.replace("(", "(?:")}') OR regexp_matches(s, '{tm.PRESS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.KEYWORDS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.VENUES.replace("(", "(?:")}') AS hit FROM n)
+SELECT count(*) AS total, count(*) FILTER (hit) AS kept, count(*) FILTER (NOT coalesce(hit, false)) AS filtered, count(*) FILTER (regexp_matches(t, '\\b(?:bitcoin|btc)\\b')) AS btc FROM k""")
 def news_counts(spark, d):
     return tm.news_counts(read(spark, d, "documents").select(F.element_at(F.split("text", "\n"), 1).alias("title"), "source", F.array().cast("array<string>").alias("symbols")))
 
@@ -122,7 +123,8 @@ def volume_clock(spark, d):
     return rounded(tm.volume_clock(tape(spark, d), 1000.0), "imbalance")
 
 
-@query("alerts")
+@query("alerts", f"""WITH RECURSIVE {TAPE_SQL}, h AS (SELECT exchange, ts_ms, price FROM (SELECT *, lag(price) OVER (PARTITION BY exchange ORDER BY ts_ms, trade_id) AS b FROM tape) WHERE b <= 80 AND price > 80), k AS (SELECT exchange, min(ts_ms) AS ts_ms FROM h GROUP BY 1 UNION ALL SELECT k.exchange, (SELECT min(h.ts_ms) FROM h WHERE h.exchange = k.exchange AND h.ts_ms >= k.ts_ms + 3600000) FROM k WHERE k.ts_ms IS NOT NULL)
+SELECT k.exchange, k.ts_ms, h.price FROM k JOIN h ON k.exchange = h.exchange AND k.ts_ms = h.ts_ms""")
 def alerts(spark, d):
     return tm.alerts(tape(spark, d), "cross_up", 80.0, 3_600_000)
 
