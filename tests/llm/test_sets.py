@@ -177,3 +177,24 @@ def test_op1_odd(spark):
     nothing, none = lm.train(no_docs(spark))
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in lm.score(odd_docs(spark), nothing, none).collect())
     assert lm.score(no_docs(spark), model, counts).count() == 0
+
+
+def test_null_ids_and_columns(spark, data):
+    """A null in any column neither breaks an operator nor loses the row."""
+    from tidemark.llm import byte_bpe, packing, pii, quality, toxicity
+    from tidemark.llm.common import held_out
+
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (2, None)], "doc_id long, text string").selectExpr("*", "cast(null as string) lang", "cast(null as string) source", "cast(null as bigint) n_chars")
+    labels = spark.createDataFrame([(None, 1, 0), (1, None, None), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    model, counts = lm.train(docs.filter(~held_out(docs["doc_id"], 7)))
+    machine = toxicity.train(docs, labels)
+    for out in (
+        lm.score(docs, model, counts), pii.pii_spans(docs), quality.quality_rules(docs, quality.train(docs, labels)), packing.pack_documents(docs), neardup.near_duplicates(docs),
+        toxicity.toxicity_scores(docs, machine), byte_bpe.byte_bpe_digest(docs), toxicity.drop_toxic(docs, labels), pii.redact(docs),
+    ):
+        assert len(out.collect()) == 4
+    assert neardup.drop_near_duplicates(docs).count() >= 3
+    pages = spark.createDataFrame([(None, None, None), (1, None, "<a href='//x.com/'>"), (2, "http://a.com/de/", None)], "page_id long, url string, html string")
+    assert len(urls.judge(pages).collect()) == 3
+    vectors = spark.createDataFrame([(None, [1.0]), (50, [1.0]), (51, None)], "vec_id long, embedding array<float>")
+    assert topk.top_k(vectors, vectors.filter("vec_id % 50 = 0")).count() == 0

@@ -190,8 +190,11 @@ def toxicity_scores(docs: DataFrame, machine: Machine, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    send = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labelled))
+    """The documents that score below the threshold, with all their columns; all of them if nothing could be learned."""
+    machine = train(docs, labels, max_labelled)
+    if not len(machine.terms):
+        return docs
+    send = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         score = send.value.scorer()
