@@ -123,8 +123,15 @@ class Units:
 
 def choose_units(counts: DataFrame) -> Units:
     """counts is a stored table."""
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    level = F.floor(F.log2("c") * 16).cast("int")  # some hundred levels at most
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("level")).collect()
+    total, distinct = sum(r["n"] for r in levels), sum(r["v"] for r in levels)
+    least, taken = 1 << 30, 0
+    for r in levels:  # whole levels from the top, as long as they fit
+        if taken + r["v"] > HEAD:
+            break
+        taken, least = taken + r["v"], r["level"]
+    head = sorted(counts.filter(level >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     tokens, c = [bytes(r["token"]) for r in head], np.array([r["c"] for r in head], np.int64)
     words = set(tokens[:WORDS])
 
@@ -152,7 +159,7 @@ def choose_units(counts: DataFrame) -> Units:
     shape = np.array([shape_of(t) for t in tokens[:WORDS]] + [0] * (WORDS - len(tokens[:WORDS])) + list(range(SHAPES)))
     bucket = np.empty(UNITS, np.int64)
     bucket[place] = np.where(place < OWN_BUCKETS, place, OWN_BUCKETS + shape % (BUCKETS - OWN_BUCKETS - 1))
-    return Units(sums["n"] or 0, sums["v"], tokens, c, np.array(own, np.int64), place[WORDS:], every[order], mass, bucket)
+    return Units(total, distinct, tokens, c, np.array(own, np.int64), place[WORDS:], every[order], mass, bucket)
 
 
 def gather(docs: DataFrame, units: Units) -> DataFrame:
