@@ -78,3 +78,35 @@ def ewm(x: Column, w: WindowSpec, alpha: float, least: int, tail: float = 1e-15)
     mean = F.aggregate(values, begin, step, lambda a: a["m"])
     seen = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return F.when(seen >= least, mean)
+
+
+def previous(df, name: str, value: str, keys: list[str], ts: str = "ts_ms", chunk: int = 86_400_000, ahead: bool = False, ties: tuple[str, ...] = ()):
+    """Add name: value of the row before (after, if ahead) by time inside keys, without one sort of a key's whole history.
+
+    Rows are sorted inside chunks of time; only each chunk's last (first) row crosses to the next chunk that
+    has rows, through a table with one row for each key and chunk.
+    """
+    order = [ts, *ties]
+    at = F.struct(*order)
+    c = F.floor(F.col(ts) / chunk).cast("long")
+    d = df.withColumn("_chunk", c)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    edge = (F.min_by if ahead else F.max_by)(value, at)
+    edges = d.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    edges = edges.select(*keys, "_chunk", (F.lead if ahead else F.lag)("_edge").over(across).alias("_edge"))
+    step = F.lead if ahead else F.lag
+    outer = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*([F.desc(o) for o in order] if ahead else order))) == 1
+    d = d.withColumns({"_inside": step(value).over(inside), "_outer": outer})
+    return d.join(edges, [*keys, "_chunk"], "left").withColumn(name, F.when(F.col("_outer"), F.col("_edge")).otherwise(F.col("_inside"))).drop("_chunk", "_inside", "_outer", "_edge")
+
+
+def running_sums(df, sums: dict[str, Column], keys: list[str], ts: str = "ts_ms", ties: tuple[str, ...] = ("trade_id",), chunk: int = 86_400_000):
+    """Add running sums by time inside keys: sums inside chunks of time plus the totals of the chunks before."""
+    d = df.withColumn("_chunk", F.floor(F.col(ts) / chunk).cast("long")).withColumns({f"_v_{n}": x for n, x in sums.items()})
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    totals = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(past), F.lit(0.0)).alias(f"_p_{n}") for n in sums])
+    d = d.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}).join(totals, [*keys, "_chunk"], "left")
+    return d.withColumns({n: F.coalesce(f"_p_{n}", F.lit(0.0)) + F.coalesce(f"_i_{n}", F.lit(0.0)) for n in sums}).drop("_chunk", *[f"_{k}_{n}" for n in sums for k in "vip"])

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str, *, forward: bool = False, strict: bool = False, tolerance: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str, *, forward: bool = False, strict: bool = False, tolerance: int | None = None, chunk: int = 86_400_000) -> DataFrame:
     """left with the columns of the nearest right row before it (or after it), or NULLs.
 
     keys name equal columns on both sides; strict leaves out a right row of the same instant; tolerance
-    bounds the distance. right's other columns must not be in left. Rows of right with the same key and
+    bounds the distance, chunk is the span of time that is sorted together. right's other columns must not be in left. Rows of right with the same key and
     instant: the one whose columns sort last (first, if forward) is taken.
     """
     extra = [c for c in right.columns if c not in keys]
@@ -22,10 +22,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right
     else:
         side_of = {"left": 1 if strict else 0, "right": 0 if strict else 1}
     a, b = a.withColumn("_side", F.lit(side_of["left"])), b.withColumn("_side", F.lit(side_of["right"]))
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", "_side", "_right")
+    own = [f"_k{i}" for i in range(len(keys))]
+    both = a.unionByName(b).withColumn("_chunk", F.floor(F.col("_at") / chunk))
+    w = Window.partitionBy(*own, "_chunk").orderBy("_at", "_side", "_right")
     frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first("_right", ignorenulls=True) if forward else F.last("_right", ignorenulls=True)
-    out = a.unionByName(b).withColumn("_hit", pick.over(frame)).filter(F.col("_left").isNotNull())
+    pick = F.first if forward else F.last
+    near = F.struct("_at", "_right")
+    edge = (F.min_by if forward else F.max_by)("_right", F.when(F.col("_right").isNotNull(), near))
+    across = Window.partitionBy(*own).orderBy("_chunk")
+    across = across.rowsBetween(1, Window.unboundedFollowing) if forward else across.rowsBetween(Window.unboundedPreceding, -1)
+    edges = both.groupBy(*own, "_chunk").agg(edge.alias("_edge")).select(*own, "_chunk", pick("_edge", ignorenulls=True).over(across).alias("_edge"))
+    out = both.withColumn("_hit", pick("_right", ignorenulls=True).over(frame)).filter(F.col("_left").isNotNull())
+    out = out.join(edges, [*own, "_chunk"], "left").withColumn("_hit", F.coalesce("_hit", "_edge"))
     if tolerance is not None:
         far = F.abs(F.col("_at") - F.col(f"_hit.{right_ts}")) > tolerance
         out = out.withColumn("_hit", F.when(~far, F.col("_hit")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import size_tier
-from tidemark.functions.windows import islands
+from tidemark.functions.windows import islands, previous
 from tidemark.operators.asof import asof_join
 from tidemark.sources.schemas import DAY_MS
 
@@ -50,8 +50,7 @@ def grid(spark: SparkSession, start_ms: int, end_ms: int, bar_ms: int) -> DataFr
 def holes(events: DataFrame, start_ms: int, end_ms: int, gap_ms: int, keys: tuple[str, ...] = ("exchange",)) -> DataFrame:
     """h0, h1: silences longer than gap_ms, the window's head and tail included."""
     seen = events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).select(*keys, "ts_ms").distinct()
-    w = Window.partitionBy(*keys).orderBy("ts_ms")
-    inner = seen.select(*keys, F.coalesce(F.lag("ts_ms").over(w), F.lit(start_ms)).alias("h0"), F.col("ts_ms").alias("h1"))
+    inner = previous(seen, "h0", "ts_ms", list(keys)).select(*keys, F.coalesce("h0", F.lit(start_ms)).alias("h0"), F.col("ts_ms").alias("h1"))
     tail = seen.groupBy(*keys).agg(F.max("ts_ms").alias("h0")).withColumn("h1", F.lit(end_ms).cast("long"))
     return inner.unionByName(tail).filter(F.col("h1") - F.col("h0") > gap_ms)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import sessions
+from tidemark.functions.windows import previous, sessions
 from tidemark.sources.schemas import DAY_MS
 
 
@@ -43,8 +43,7 @@ def inversions(df: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
 
 def gap_stats(df: DataFrame, gap_ms: int) -> DataFrame:
     """By venue: number, longest and summed gaps longer than gap_ms, and the 95th percentile of spacing."""
-    w = Window.partitionBy("exchange").orderBy("ts_ms")
-    s = df.select("exchange", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("step")).filter("step is not null")
+    s = previous(df, "_b", "ts_ms", ["exchange"]).select("exchange", (F.col("ts_ms") - F.col("_b")).alias("step")).filter("step is not null")
     big = F.when(F.col("step") > gap_ms, F.col("step"))
     return s.groupBy("exchange").agg(F.count(big).alias("gaps"), F.max(big).alias("longest"), F.coalesce(F.sum(big), F.lit(0)).alias("total"), F.percentile("step", F.lit(0.95)).alias("p95"))
 
@@ -72,8 +71,8 @@ def outside_day(df: DataFrame, day: Column) -> DataFrame:
 def hourly_coverage(df: DataFrame, cadence_ms: int) -> DataFrame:
     """Share of each hour covered: every row covers the time to the next, cadence_ms at most; on from 0.9, off under 0.1."""
     hour = 3_600_000
-    w = Window.partitionBy("exchange").orderBy("ts_ms")
-    end = F.coalesce(F.lead("ts_ms").over(w), F.col("ts_ms") + cadence_ms)
+    df = previous(df, "_next", "ts_ms", ["exchange"], ahead=True)
+    end = F.coalesce("_next", F.col("ts_ms") + cadence_ms)
     d = df.select("exchange", F.floor(F.col("ts_ms") / hour).cast("long").alias("hour"), F.least(end - F.col("ts_ms"), F.lit(cadence_ms)).alias("ms"))
     g = d.groupBy("exchange", "hour").agg((F.sum("ms") / hour).alias("covered"))
     return g.withColumn("state", F.when(F.col("covered") >= 0.9, "on").when(F.col("covered") < 0.1, "off").otherwise("partial"))

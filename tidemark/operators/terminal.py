@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import iso_week, size_tier, utc_day
-from tidemark.functions.windows import by, ratio
+from tidemark.functions.windows import by, ratio, running_sums
 
 
 def valid_trade() -> Column:
@@ -86,9 +86,9 @@ def screener(tickers: DataFrame, n: int) -> DataFrame:
 def cvd(trades: DataFrame) -> DataFrame:
     """Running signed notional, in all and by size, at each print."""
     x = F.when(F.col("aggressor_buy"), 1.0).otherwise(-1.0) * F.col("price") * F.col("qty")
-    w = by("exchange", ["ts_ms", "trade_id"]).rowsBetween(Window.unboundedPreceding, 0)
     tier = size_tier(F.col("price") * F.col("qty"))
-    return trades.select("exchange", "ts_ms", "trade_id", F.sum(x).over(w).alias("cvd"), *[F.sum(F.when(tier == k, x).otherwise(0.0)).over(w).alias(f"cvd_{k}") for k in range(4)])
+    sums = {"cvd": x} | {f"cvd_{k}": F.when(tier == k, x).otherwise(0.0) for k in range(4)}
+    return running_sums(trades, sums, ["exchange"]).select("exchange", "ts_ms", "trade_id", *sums)
 
 
 def intensity(trades: DataFrame, short_ms: int, long_ms: int) -> DataFrame:
@@ -198,8 +198,7 @@ def blocks(trades: DataFrame, ms: int) -> DataFrame:
 
 def volume_clock(trades: DataFrame, volume: float) -> DataFrame:
     """Buckets of a fixed volume from the first print on (not anchored by day): close time and imbalance. Only sums meet, so no fold is needed."""
-    w = by("exchange", ["ts_ms", "trade_id"]).rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.filter("qty > 0").withColumn("c1", F.sum("qty").over(w)).withColumn("c0", F.col("c1") - F.col("qty"))
+    t = running_sums(trades.filter("qty > 0"), {"c1": F.col("qty")}, ["exchange"]).withColumn("c0", F.col("c1") - F.col("qty"))
     first, last = F.floor(F.col("c0") / volume).cast("long"), (F.ceil(F.col("c1") / volume) - 1).cast("long")
     t = t.withColumn("k", F.explode(F.sequence(first, F.greatest(first, last)))).withColumn("part", F.least("c1", (F.col("k") + 1) * volume) - F.greatest("c0", F.col("k") * volume)).filter("part > 0")
     side = F.when(F.col("aggressor_buy"), F.col("part")).otherwise(-F.col("part"))
