@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in one Arrow batch; with documents of a few KB it keeps a batch at some MB.
 BATCH_ROWS = 1000
+#: Shares by hash among which a bounded sample's threshold is found.
+PARTS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,12 +104,23 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_labelled: int, training=None) -> DataFrame:
-    """doc_id, text, label of at most max_labelled labelled documents, those with the smallest hash of doc_id.
+    """doc_id, text, label of at most max_labelled labelled documents, those with the smallest hashes of doc_id.
 
-    The sample has at most max_labelled rows by construction, so it can be broadcast to the documents.
+    The threshold on the hash comes from counts (of all rows, then of PARTS shares of the rows under a first,
+    wide threshold), so nothing is sorted and the sample, which is broadcast to the documents, has at most
+    max_labelled rows whatever the tables' size. All labels are taken where they are fewer.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
     if training is not None:
         rows = rows.filter(training(F.col("doc_id")))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
+    rows = rows.distinct()
+    n = rows.count()
+    if n > 4 * max_labelled:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * 4 * max_labelled / n))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    end, total = 0, 0
+    while end < PARTS and total + counts.get(end, 0) <= max_labelled:
+        total += counts.get(end, 0)
+        end += 1
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows.filter(part < end)), "doc_id")
