@@ -8,7 +8,7 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -61,6 +61,14 @@ def test_word_ids_by_runs(text):
     assert got == WORD.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "I\u0307", "A\u030a", *"HTWYJaé \n\u0308\u0331\u0323"]), max_size=20).map("".join))
+@example("J\u030ca H\u0331 T\u0308 W\u030a Y\u030a J\u030c")
+def test_word_ids_of_capitals_with_combining_marks(text):
+    got = array.array("I", pk.load(pk.default_tokenizer()).encode([text.encode()])[0]).tolist()
+    assert got == WORD.encode(text, add_special_tokens=False).ids
+
+
 def packed_well(rows, capacity):
     by = {}
     for r in rows:

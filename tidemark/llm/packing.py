@@ -54,9 +54,9 @@ class WordBpe:
         self.memo: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Runs are looked up in lower case, as the tokenizer lowers all; texts that may hold its special tokens stay as they are."""
+        """ASCII runs are looked up in lower case, as the tokenizer lowers all; it composes before that, so other runs stay as they are, as do texts that may hold its special tokens."""
         get = self.memo.get
-        runs = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        runs = [x.split() if b"<|" in x else x.lower().split() if x.isascii() else [r.lower() if r.isascii() else r for r in x.split()] for x in texts]
         out, open_, new = [], [], set()
         for i, own in enumerate(runs):
             got = list(map(get, own))
