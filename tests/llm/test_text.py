@@ -97,6 +97,35 @@ def test_held_out_recall(spark):
     assert got and all(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in got)
 
 
+def test_toxicity_learns_a_rare_insult_from_all_of_sixteen_thousand_labels(spark):
+    docs = spark.range(15000).selectExpr("id doc_id", "concat('have a lovely day ', if(id % 300 = 0, 'numbskull', 'friend')) text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 300 = 0 as int) toxic")
+    kept = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(15000))
+    rows = []
+    fit, toxicity.fit = toxicity.fit, lambda docs, labels: rows.extend(labels.tolist()) or fit(docs, labels)
+    try:
+        machine = toxicity.train(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert len(rows) == kept and sum(rows) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 15000, 300))
+    assert set(toxicity.terms_of(b"numbskull")) <= set(machine.terms.tolist())
+
+
+def test_chosen_terms_are_those_of_a_plain_count():
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 400, 12)).astype(np.int32) for _ in range(600)]
+    y = np.array([float(x[0] < 15) for x in docs])
+    want = []
+    for t in range(400):
+        has = np.array([t in x for x in docs])
+        df, pos = has.sum(), (has * y).sum()
+        chi = (pos - df * y.mean()) ** 2 / max(df * y.mean() * (1 - y.mean()) * (1 - df / len(y)), 1e-9)
+        if df >= 3 and chi > 6.6:
+            want.append((-chi, t))
+    assert len(want) > 5 and toxicity.choose_terms(docs, y, 5).tolist() == sorted(t for _, t in sorted(want)[:5])
+    assert not len(toxicity.choose_terms([np.zeros(0, np.int32)] * 4, np.array([0.0, 1, 0, 1]), 5))
+
+
 def test_op8_odd(spark, data):
     labels = table(spark, data, "labels")
     m = toxicity.train(odd_docs(spark), labels.filter("false"))

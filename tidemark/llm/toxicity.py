@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_filter, arrow_map, held_out, labelled_sample, table, texts_of
 
 BUCKETS = 1 << 22
-MAX_LABELLED = 8_000
+MAX_LABELLED = 16_000
 MAX_TERMS = 4096
 THRESHOLD = 0.3
 MEMO = 250_000
@@ -92,12 +92,14 @@ class Machine:
 
 
 def choose_terms(docs: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
-    """The terms in at least three documents whose chi-square with the label is largest."""
-    every = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    truth = np.repeat(labels, [len(x) for x in docs])
-    terms, where = np.unique(every, return_inverse=True)
-    df = np.bincount(where, minlength=len(terms)).astype(float)
-    pos = np.bincount(where, weights=truth, minlength=len(terms))
+    """The terms in at least three documents whose chi-square with the label is largest; a document names a term once, and labels are 0 or 1."""
+    seen = np.zeros((2, max((int(x.max()) + 1 for x in docs if len(x)), default=0)), np.int32)  # all, labelled
+    for x, y in zip(docs, labels):
+        seen[0][x] += 1
+        if y:
+            seen[1][x] += 1
+    terms = np.flatnonzero(seen[0])
+    df, pos = seen[:, terms].astype(float)
     n, p = len(labels), labels.mean()
     expected = df * p
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - p) * (1 - df / n), 1e-9)
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     sample = labelled_sample(docs, labels, "toxic", max_labelled, lambda c: ~held_out(c, 4))
     got = arrow_map(sample, make, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
-    rows = [np.frombuffer(x, np.int32) for x in got["terms"].to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["terms"]]
     return fit(rows, (np.array(got["label"].to_pylist(), dtype=np.int64) > 0).astype(np.int64))
 
 
