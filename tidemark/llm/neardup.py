@@ -5,14 +5,16 @@ five minima make a band, and documents that agree in a whole band share a bucket
 equal sets are one representative from the start. In each bucket the others are compared with one
 hub; what the signatures do not rule out is confirmed on the full sets. Confirmed links are joined
 into components by alternating large-star and small-star. Buckets that still hold several
-components get another hub, and in the end their remaining pairs across components are compared, so
-that a link is skipped only between documents already known to be connected.
+components get another hub, and in the end the pairs across components that their rarest shingles,
+places and sizes leave possible are compared, so that a link is skipped only between documents
+already known to be connected. A group of copies is dealt into shares where its component is told.
 
 With 48 bands of 5 minima a pair at the similarity limit of 0.75 shares no bucket with probability
 2e-6. Signatures rule a pair out more than five standard errors below the limit.
 
 Null texts and texts without words have an empty set and are linked with nothing; texts of fewer
-than five words have their whole sequence as one shingle. Rows that repeat a doc_id are one document
+than five words have their whole sequence as one shingle. Very long texts are hashed whole, in chunks of
+bounded size. An empty table gives an empty result. Rows that repeat a doc_id are one document
 to the links. Columns other than doc_id and text are not read (drop_near_duplicates keeps them).
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, forget, stored, table, texts_of
@@ -29,8 +31,8 @@ from tidemark.llm.common import arrow_map, forget, stored, table, texts_of
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
 HUB_ROUNDS = 2
-#: Counters of the sketch that orders shingles, and the rows it is added up in.
-COUNTERS, SLICES = 1 << 18, 64
+#: Cells of sizes for each e-fold, and the shares of a group of copies.
+CELLS, SHARES = 20, 8
 _rng = np.random.default_rng(7)
 FACTORS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 SHIFTS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -192,57 +194,38 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur, added up by COUNTERS residues; its size does not depend on the data."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            total += np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, -1)], pa.binary())], names=["slice", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist())
-        return pa.table({"slice": rows["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slice int, counts binary"
-    rows = sets.select("shingles").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
-
-
 def rare_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that share one of their rarest shingles, sizes permitting; no link is missed."""
-    left = stored(placed.join(sets, "doc_id"), "neardup-rest")
-    order = left.sparkSession.sparkContext.broadcast(frequency_sketch(left))  # COUNTERS numbers
+    """a, b: pairs of different components that could be links by a shared shingle and its place; no link is missed.
+
+    Shingles have one order for all documents: first those that no two components share, then by exact count,
+    rarest first. Where the first shingle that two documents share stands at places p and q, they share at most
+    n - p and m - q. So a document gives a row only for the shingles at which enough can still follow, and a
+    row meets only the sizes that its place allows: these are dealt into cells of sizes, and the cell is
+    part of the join's key.
+    """
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            first, sizes, short = [], [], []
-            for blob in batch.column(2).to_pylist():
-                x = np.frombuffer(blob, np.uint64)
-                often = order.value[(x % np.uint64(COUNTERS)).astype(np.int64)]
-                n = len(x)
-                first.append(x[np.lexsort((x, often))[: n - -(-percent * n // 100) + 1]].view(np.int64))
-                short.append(n - -(-2 * percent * n // (100 + percent)) + 1)
-                sizes.append(n)
-            columns = [pa.array(sizes, pa.int64()), pa.array(short, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "component", "n", "short", "rare"])
+            blobs = batch.column(2).to_pylist()
+            own, key = [np.frombuffer(x, np.int64) for x in blobs], [xxhash.xxh3_64_intdigest(x) >> 1 for x in blobs]
+            columns = [pa.array(key, pa.int64()), pa.array(map(len, own), pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "component", "key", "n", "own"])
 
         return run
 
-    listed = arrow_map(left.select("doc_id", "component", "shingles"), make, "doc_id long, component long, n long, short long, rare array<long>")
-    listed = listed.select("doc_id", "component", "n", "short", F.posexplode("rare").alias("at", "shingle"))
-    listed = stored(listed.select("doc_id", "component", "n", (F.col("at") < F.col("short")).alias("early"), "shingle"), "neardup-rare")
-    mixed = listed.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("early").alias("early")).filter("p <> q and early").select("shingle")
-    listed = stored(listed.join(mixed, "shingle"), "neardup-shared")
-    one, two = (listed.select("shingle", *[F.col(x).alias(x[0] + k) for x in ("doc_id", "component", "n", "early")]) for k in "12")
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & F.col("e2") & (F.col("d1") < F.col("d2")))
-    near = ordered & (F.col("c1") != F.col("c2")) & (100 * F.col("n1") >= percent * F.col("n2"))
-    pairs = one.filter("e1").join(two, "shingle").filter(near)
+    flat = arrow_map(placed.join(sets, "doc_id").select("doc_id", "component", "shingles"), make, "doc_id long, component long, key long, n long, own array<long>")
+    flat = stored(flat.select("doc_id", "component", "key", "n", F.explode("own").alias("shingle")), "neardup-rest")
+    often = flat.groupBy("shingle").agg(F.count("*").alias("times"), F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("shingle", "times")
+    own = Window.partitionBy("doc_id", "key")
+    ordered = flat.join(often, "shingle").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "shingle")) - 1)
+    most = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent).cast("long") - F.col("n")  # the largest partner
+    listed = ordered.select("doc_id", "component", "n", "shingle", F.least(most, F.floor(F.col("n") * 100 / percent).cast("long")).alias("most")).filter(100 * F.col("most") >= percent * F.col("n"))
+    listed = stored(listed, "neardup-rare")
+    cell = lambda n: F.floor(F.log(n) * CELLS).cast("int")
+    one, two = (listed.select("shingle", *[F.col(x).alias(x[0] + k) for x in ("doc_id", "component", "n", "most")]) for k in "12")
+    one = one.filter("m1 >= n1").withColumn("cell", F.explode(F.sequence(cell("n1"), cell("m1"))))
+    fits = (F.col("n2") <= F.col("m1")) & (F.col("n1") <= F.col("m2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("d1") < F.col("d2"))))
+    pairs = one.join(two.withColumn("cell", cell("n2")), ["shingle", "cell"]).filter(fits & (F.col("c1") != F.col("c2")))
     return pairs.select(F.greatest("d1", "d2").alias("a"), F.least("d1", "d2").alias("b"))
 
 
@@ -299,9 +282,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = stored(signatures(docs), "neardup-minhash")
     components = link_components(docs, signed, percent)
-    first = signed.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    where = first.join(components, first["rep"] == components["node"], "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "same").join(where, "same", "left")
+    groups = signed.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
+    where = groups.join(components, groups["rep"] == components["node"], "left").filter("many > 1 or component is not null")
+    where = where.select("same", F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    shared = signed.select("doc_id", "n_shingles", "same", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int").alias("share"))
+    out = shared.join(where, ["same", "share"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
