@@ -94,15 +94,29 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_runs_are_best_fit_decreasing():
-    for seed in range(40):
-        rng = random.Random(seed)
-        lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 120))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        runs, opened = pk.best_fit_runs(counts, 40)
-        assert opened == best_fit_decreasing(lengths, 40)
-        seen = sorted((n, r) for n, a, b, _, _ in runs for r in range(a, b))
-        assert seen == sorted((n, r) for n, c in counts.items() for r in range(c))
+@pytest.mark.parametrize("make", [lambda r: r.randint(1, 400), lambda r: r.randint(1, 12), lambda r: 137, lambda r: r.choice([133, 134, 200, 199, 60, 7, 1, 400])])
+def test_sweeps_are_near_best_fit_decreasing(spark, make):
+    rng = random.Random(5)
+    lengths = [make(rng) for _ in range(900)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = pk.best_fit_pack(pieces, 400).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
+    assert packed_well(rows, 400) <= 1 + 1.01 * best_fit_decreasing(lengths, 400)
+
+
+def test_one_sweep_gives_every_gap_the_largest_piece_that_waits(spark):
+    rng = random.Random(6)
+    lengths, gaps = [rng.randint(1, 30) for _ in range(120)], [rng.randint(1, 34) for _ in range(70)]
+    left = spark.createDataFrame([(n, i) for i, n in enumerate(lengths)], "length long, _id long")
+    rows = pk.sweep(left, spark.createDataFrame([(i, g) for i, g in enumerate(gaps)], "sequence_id long, _gap long"), max(lengths), 1).collect()
+    waiting, want = sorted(lengths), []
+    for g in sorted(gaps):
+        fit = [n for n in waiting if n <= g]
+        if fit:
+            waiting.remove(fit[-1])
+            want.append((g, fit[-1]))
+    assert sorted((r["_gap"], r["_taken"]) for r in rows if r["_taken"]) == sorted(want)
+    assert sorted((gaps[r["sequence_id"]], r["length"]) for r in rows if r["length"] and r["sequence_id"] is not None) == sorted(want)
 
 
 def test_op5_on_data(spark, data):

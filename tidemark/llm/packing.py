@@ -1,34 +1,38 @@
 """Best-fit packing of tokenized documents into fixed-length sequences (operator 5).
 
 Documents longer than a sequence are cut into whole sequences and a rest; nothing else is cut.
-The pieces are packed by bulk-synchronous best fit. Pieces and gaps are integers up to the
-capacity, so sorting them by range means counting them by length: that is done on the cluster, and
-only the counts, at most one for each possible length, come to the driver. There one superstep is
-taken for each length, longest first: the pieces of that length sweep to the successor gap (the
-smallest that holds them), runs of pieces meet runs of equal gaps, the rank of a piece inside its
-length settles which of them gets which gap, the gaps are updated, and the sweep is repeated until
-all of that length lie somewhere; only when no gap is left are sequences opened. What comes out is
-a list of runs (length, ranks, first sequence, place), whose size depends on the capacity and not
-on the number of documents. Each piece gets its rank on the cluster (row number inside a salted
-share of its length, plus the counts of the shares before it) and looks its run up.
-
-Null and empty texts are one piece that holds only the end id. Rows that repeat are packed once
-each. An empty table gives an empty result. Columns other than doc_id and text are not read.
+The pieces are packed by bulk-synchronous best fit, in a few classes: those of which one fills a
+sequence at most, then two, and so on, then all shorter ones. In supersteps the pieces of a class and the
+gaps are sorted by range (size, pieces before gaps) and swept together: reading upwards, a piece waits
+until the nearest gap that holds it comes, and a gap takes the largest piece that waits. As with brackets,
+piece and gap belong together if they stand next to each other at the same level, where the level counts the
+pieces less the gaps up to there. So the conflict of many pieces for one gap is settled by rank: the
+ranks come from row numbers inside salted shares of a size and a prefix sum over the shares' counts,
+and one shuffle by level brings the partners together. Gaps are then updated and the sweep is repeated
+until nothing fits; what is left opens new sequences. A gap that holds several of the longest pieces
+left is dealt into as many slots. The driver sees only how many pieces, tokens and gaps are left.
+
+Every group is bounded: a level has at most two rows of a size, a sequence at most capacity pieces, a share
+SHARE items or so, and the one sorted prefix sum runs over the shares' counts. Null and empty texts are one piece that holds only the
+end id; very long texts are cut into many pieces, in one row each. Rows that repeat are packed once
+each, and ties of length go by a row number. An empty table gives an empty result. Columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, stored, table
 
 CAPACITY = 2048
+#: Items of one size that one task numbers, and the classes before the shortest pieces.
+SHARE, CLASSES = 20_000, 4
 #: Entries of a worker's memo of runs of text. A full memo stays as it is: common runs come early.
 MEMO = 1_000_000
 
@@ -108,81 +112,91 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text"), make, schema)
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, rank after the last, first sequence, place) and the number of sequences."""
-    gaps: list[deque] = [deque() for _ in range(capacity + 1)]
-    runs: list[tuple[int, int, int, int, int]] = []
+def _standing(items: DataFrame, sizes: list[Column], sign: Column) -> DataFrame:
+    """Add _row, from 1 inside a share of a size, and _before, the sum of signs of all shares before it; sizes order the items."""
+    names = [f"_s{i}" for i in range(len(sizes))]
+    signed = items.withColumns({n: c for n, c in zip(names, sizes)} | {"_sign": sign})
+    many = signed.groupBy(*names).agg(F.count("*").alias("_many"))  # at most two rows for each possible size
+    salted = signed.join(F.broadcast(many), names).withColumn("_share", F.pmod(F.xxhash64("_id"), 1 + F.floor(F.col("_many") / SHARE)))
+    before = Window.orderBy(*names, "_share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(*names, "_share").agg(F.sum("_sign").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    rows = salted.withColumn("_row", F.row_number().over(Window.partitionBy(*names, "_share").orderBy("_id", "sequence_id")))
+    return rows.join(F.broadcast(counts), [*names, "_share"])  # those rows again, and one for each SHARE items
+
+
+def _opened(left: DataFrame, many: int, deep: int, first: int) -> DataFrame:
+    """left with sequence_id (from first on) for the many longest pieces, deep of them in each; null for the others."""
+    rank = F.col("_before") + F.col("_row") - 1
+    ranked = _standing(left.withColumn("sequence_id", F.lit(0)), [-F.col("length")], F.lit(1))
+    return ranked.select(*left.columns, F.when(rank < many, F.floor(rank / deep) + first).alias("sequence_id"))
+
+
+def sweep(left: DataFrame, gaps: DataFrame, longest: int, most_slots: int) -> DataFrame:
+    """One superstep. Rows of left with sequence_id where a gap takes them, and rows of gaps (_gap not null) with _taken."""
+    own = [c for c in left.columns if c != "_id"]
+    deep = F.least(F.greatest(F.floor(F.col("_gap") / longest), F.lit(1)), F.lit(most_slots)).cast("int")
+    slots = gaps.withColumn("_deep", deep).withColumn("_id", F.explode(F.sequence(F.lit(1), F.col("_deep")))).select(
+        *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in own], F.xxhash64("sequence_id", "_id").alias("_id"),
+        "sequence_id", "_gap", F.floor(F.col("_gap") / F.col("_deep")).alias("_size"),
+    )
+    none = F.lit(None).cast("long")
+    items = left.select(*own, "_id", none.alias("sequence_id"), none.alias("_gap"), F.col("length").alias("_size")).unionByName(slots)
+    is_gap = F.col("_gap").isNotNull()
+    ranked = _standing(items, [F.col("_size"), is_gap], F.when(is_gap, -1).otherwise(1))
+    level = F.when(is_gap, F.col("_before") - F.col("_row") + 1).otherwise(F.col("_before") + F.col("_row"))
+    there = Window.partitionBy("_level").orderBy("_size", "_s1", "_share", "_row")
+    met = ranked.withColumn("_level", level).withColumns({"_to": F.lead("sequence_id").over(there), "_taken": F.lag("length").over(there)})
+    # beside a piece stands a gap or nothing, as steps up and down take turns at a level
+    return met.select(*own, "_id", F.when(is_gap, F.col("sequence_id")).otherwise(F.col("_to")).alias("sequence_id"), "_gap", F.when(is_gap, F.coalesce("_taken", F.lit(0))).alias("_taken"))
+
+
+def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+    """Add sequence_id and offset to rows with a length from 1 to capacity."""
+    names = pieces.columns
+    state = stored(pieces.withColumn("length", F.col("length").cast("long")).withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    figures = [F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length"), F.max("length")]
+    of_class = F.least(F.floor(F.lit(capacity) / F.col("length")), F.lit(classes + 1)).cast("int")
+    start = {r[0]: r[1:] for r in state.groupBy(of_class).agg(*figures).collect()}
+    if any(k is None or not 1 <= low <= high <= capacity for k, (_, _, low, high) in start.items()):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    placed = [state.select(*names, "_id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).alias("_turn")).filter("false")]
+    gaps: DataFrame | None = None
     opened = 0
 
-    def lay(length: int, rank: int, sequence: int, many: int, deep: int, gap: int) -> int:
-        """deep pieces into each of many neighbouring sequences with this gap."""
-        for k in range(deep):
-            runs.append((length, rank, rank + many, sequence, capacity - gap + k * length))
-            rank += many
-        if gap > deep * length:
-            gaps[gap - deep * length].append((sequence, many))
-        return rank
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        gap = length
-        while left:
-            while gap <= capacity and not gaps[gap]:
-                gap += 1
-            if gap > capacity:
-                deep = capacity // length
-                many, over = divmod(left, deep)
-                if many:
-                    rank = lay(length, rank, opened, many, deep, capacity)
-                    opened += many
-                if over:
-                    rank = lay(length, rank, opened, 1, over, capacity)
-                    opened += 1
-                break
-            sequence, there = gaps[gap].popleft()
-            deep = gap // length
-            many = min(there, left // deep)
-            if many < there:
-                gaps[gap].appendleft((sequence + many, there - many))
-            if many:
-                rank = lay(length, rank, sequence, many, deep, gap)
-                left -= many * deep
-            else:  # fewer pieces than one such gap holds
-                gaps[gap].popleft()
-                if there > 1:
-                    gaps[gap].appendleft((sequence + 1, there - 1))
-                rank = lay(length, rank, sequence, 1, left, gap)
-                left = 0
-    return runs, opened
-
-
-def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Add sequence_id and offset to rows with a length from 1 to capacity. pieces must be stable (a stored table)."""
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    if any(not 1 <= n <= capacity for n in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
-    runs, _ = best_fit_runs(counts, capacity)
-    shares = 64
-    while shares * 1_000_000 < sum(counts.values()):
-        shares *= 2
-    salted = pieces.withColumn("_share", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int"))
-    before = (
-        salted.groupBy("length", "_share").agg(F.count("*").alias("n"))
-        .withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "_share", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
-    order = [*keys, *(c for c in ("start", "ids_crc32") if c in pieces.columns)]
-    ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_share").orderBy(*order)))
-    ranked = ranked.join(before, ["length", "_share"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-    laid = spark.createDataFrame(runs, "length long, _from long, _to long, _first long, _place long")
-    placed = ranked.join(F.broadcast(laid), (ranked["length"] == laid["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return placed.select(*[ranked[c] for c in pieces.columns], (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_place").alias("offset"))
+    def settle(rows: DataFrame) -> DataFrame:
+        """Note the pieces that have a sequence; the others are left."""
+        placed.append(rows.filter("length is not null and sequence_id is not null").select(*names, "_id", F.col("sequence_id").cast("long").alias("sequence_id"), F.lit(len(placed)).alias("_turn")))
+        return rows.filter("length is not null and sequence_id is null").select(*state.columns)
+
+    for k in sorted(start):
+        left, (n, tokens, least, longest) = state.filter(of_class == k), start[k]
+        while n:
+            before = n + 1
+            while gaps is not None and 0 < n < before:
+                room = gaps.filter(F.col("_gap") >= least).count()
+                if not room:
+                    break
+                now = stored(sweep(left, gaps, longest, 1 + 2 * n // room), "pieces-met")
+                gaps = now.filter("_gap is not null").groupBy("sequence_id").agg((F.max("_gap") - F.sum("_taken")).alias("_gap")).filter("_gap > 0")
+                left, before = settle(now), n
+                n, tokens, least, longest = left.agg(*figures).first()
+            if n:
+                whole = k <= classes  # any k of these pieces fill a sequence; of the shortest, as many open one as are needed at least
+                many, deep = (n, k) if whole else (min(n, -(-tokens // capacity)), 1)
+                now = stored(_opened(left, many, deep, opened), "pieces-opened")
+                opened += -(-many // deep)
+                fresh = now.filter("sequence_id is not null").groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("_gap")).filter("_gap > 0")
+                gaps = fresh if gaps is None else gaps.unionByName(fresh)
+                left = settle(now)
+                n, tokens, least, longest = left.agg(*figures).first()
+    every = reduce(DataFrame.unionByName, placed)
+    ahead = Window.partitionBy("sequence_id").orderBy("_turn", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    return every.select(*names, "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize once, store the pieces (not the ids), pack them."""
-    return best_fit_pack(stored(pieces_of(docs, tokenizer, capacity), "pieces"), capacity)
+    """Tokenize once (the pieces are stored, not their ids) and pack them."""
+    return best_fit_pack(pieces_of(docs, tokenizer, capacity), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
