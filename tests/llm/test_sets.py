@@ -162,14 +162,79 @@ def test_lm_sums_to_one_and_learns(spark):
     model, counts = lm.train(docs)
     u = model.units
     units = np.arange(lm.UNITS)
-    for one, two in ((0, 1), (lm.BEGIN, lm.BEGIN), (100, 3)):
-        p = 10 ** (model.joint[(one * lm.BUCKETS + two) * lm.CLASSES + units // lm.CLASS_SIZE] + model.one[one * lm.UNITS + units] + model.two[two * lm.UNITS + units])
+    begin = u.buckets - 1
+    for one, two in ((0, 1), (begin, begin), (100, 3)):
+        p = 10 ** model.told(np.full(lm.UNITS, one), np.full(lm.UNITS, two), units)
         assert p.sum() == pytest.approx(1, abs=1e-3)
     score = lambda text: lm.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, counts).first()["score"]
     assert score("a b a b a b") > score("b b a a a b")
     assert u.total == 40 * 61
 
 
+def test_op1_scores_by_plain_loops(spark, data):
+    """The score of every text from the model's weights, one token after the other, with every softmax written out."""
+    docs = table(spark, data, "documents").limit(60)
+    model, counts = lm.train(docs)
+    u, w = model.units, model.weights
+    c = {bytes(r["token"]): r["c"] for r in counts.collect()}
+    number = {t: i for i, t in enumerate(u.tokens)}
+
+    def unit_of(token):
+        return int(u.unit[number[token]]) if token in number else int(u.shape_unit[lm.shape_of(token)])
+
+    def soft(x, i):
+        x = [float(v) for v in x]
+        return x[i] - max(x) - math.log(sum(math.exp(v - max(x)) for v in x))
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in lm.score(docs, model, counts).collect():
+        text = texts[r["doc_id"]]
+        if len(text) > 3000:
+            continue
+        want, one, two = 0.0, u.buckets - 1, u.buckets - 1
+        for token in text.encode().lower().split() + [b"\n"]:
+            unit = unit_of(token)
+            of_class, place = divmod(unit, lm.CLASS_SIZE)
+            want += soft(w.class_bias + w.class_one[one] + w.class_two[two] + w.class_both[one, lm.joint_of(two)], of_class)
+            want += soft(w.unit_bias[of_class] + w.unit_one[one, of_class] + w.unit_two[two, of_class], place)
+            if token not in set(u.tokens[: lm.WORDS]):
+                want += math.log((c[token] + 1) / int(u.shape_mass[lm.shape_of(token)]))
+            one, two = int(u.bucket[unit]), one
+        assert r["score"] == pytest.approx(want / math.log(10), rel=1e-4)
+
+
+def test_lm_gradient_is_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    b, classes, size = 128, lm.CLASSES, lm.CLASS_SIZE
+    shape = lambda *x: rng.normal(0, 0.3, x)
+    w = lm.Weights(shape(classes), shape(b, classes), shape(b, classes), shape(b, lm.JOINT, classes), shape(classes, size), shape(b, classes, size), shape(b, classes, size))
+    cells = np.array([3 * classes + 1, 3 * classes + 7, 90 * classes + 1])
+    times, places, g = np.array([4.0, 2.0, 5.0]), (2, 9, 30), 11
+
+    def likelihood():
+        out = 0.0
+        for cell, n, place in zip(cells, times, places):
+            two, c = divmod(int(cell), classes)
+            out += n * (lm._log_softmax(w.classes(g, two))[c] + lm._log_softmax(w.inside(g, two, c))[place])
+        return out
+
+    (seen, guess), (_, expected), (x, y) = lm.gradient(w, 0, g, cells, times)
+    observed = np.zeros((classes, size))
+    for cell, n, place in zip(cells, times, places):
+        observed[cell % classes, place] += n
+    for array, at, slope in ((w.class_one, (g, 7), (seen - guess)[7]), (w.unit_one, (g, 1, 30), (observed - expected)[1, 30]), (w.class_both, (g, lm.joint_of(90), 1), (x - y)[lm.joint_of(90), 1])):
+        base, kept = likelihood(), array[at]
+        array[at] += 1e-4
+        assert (likelihood() - base) / 1e-4 == pytest.approx(float(slope), abs=0.02)
+        array[at] = kept
+
+
+def test_lm_dictionary_of_a_flat_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 50)
+    head, total, distinct = lm.head_of(spark.range(1000).selectExpr("cast(cast(id as string) as binary) token", "3L c"))
+    assert 20 <= head.num_rows <= 50 and (total, distinct) == (3000, 1000)
+
+
 def test_op1_odd(spark):
     model, counts = lm.train(odd_docs(spark))
     got = lm.score(odd_docs(spark), model, counts).collect()

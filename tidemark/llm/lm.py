@@ -4,22 +4,25 @@ Units are the most frequent tokens and, for all others, hashed shapes (their las
 Units of like frequency form classes. P(token | context) is P(class | context) times
 P(unit | class, context), times, for a shape, the token's share (count + 1) of the shape's; each shape
 keeps one share for tokens never seen. The features are hashed: the bucket of the token before (n-gram),
-of the one before that (skip), and, for the class, of both together.
+of the one before that (skip), and, for the class, of both together. The hash space grows with the corpus,
+from LEAST_BUCKETS to MOST_BUCKETS buckets a position.
 
-Every token of the training texts counts. One pass gathers the sufficient statistics (how often
-each class and unit follows each pair of buckets; the size of these tables does not depend on the
-data), and the weights are then trained by gradient rounds that are distributed over the slices of
-those tables: each round sends out the weights, adds up expected counts and moves every weight
-along its gradient on the logarithmic scale, so the full softmax over all training tokens is used in
-each. Scoring is one scan with sparse numpy lookups by batch; normalisers depend on the two
-buckets and the class only and are tabulated.
+Every token of the training texts counts. One pass gathers how often each class and unit follows each
+pair of buckets; these counts are added up on the cluster and stored in slices, by the first and by the
+second bucket. The weights are then trained by rounds of gradient updates that are distributed over the slices:
+a round sends out the weights, each slice works out the gradient of the log likelihood of all its tokens
+(observed less expected counts, full softmax) for the features it owns alone, and moves them along it,
+each scaled by its count. Rounds take turns between the features of the two positions. Scoring is one scan
+with sparse numpy lookups by batch; normalisers of units are worked out once for each distinct context of a batch.
 
 Counts of all training tokens stay a distributed table. Only the HEAD most frequent ones are sent out (a
-bounded dictionary); the rest of a text's tokens, none of which can be a hot key in training, are
-joined with the table and added up for each row.
+bounded dictionary); the rest of a text's tokens are joined with the table and added up for each row.
+A token that training never saw may be frequent here: that join is left to Spark's splitting of skewed keys.
 
-Null and empty texts hold only the end token. Repeated rows are scored each. Without training
-texts all counts are zero. Columns other than doc_id and text are not read.
+Null and empty texts hold only the end token. Very long texts are read whole, their tokens in chunks. Ties of
+frequency go by the token's bytes (by its hash at HEAD's edge). Repeated rows are scored each. Without training
+texts (an empty table) all counts are zero; an empty table of texts gives an empty result. Columns other than
+doc_id and text are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -32,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, held_out, small_batches, stored, table, texts_of
+from tidemark.llm.common import arrow_map, forget, held_out, small_batches, stored, table, texts_of
 
 END = b"\n"  # no word can hold it
 HEAD = 65_536
 WORDS, SHAPES, CLASS_SIZE = 3840, 256, 64
 UNITS, CLASSES = WORDS + SHAPES, (WORDS + SHAPES) // CLASS_SIZE
-BUCKETS, OWN_BUCKETS = 128, 96
-BEGIN = BUCKETS - 1
+#: Buckets of a position; three quarters are of single units, the last is the text's beginning.
+LEAST_BUCKETS, MOST_BUCKETS = 128, 512
+#: Buckets of both positions together, for each bucket of the first.
+JOINT = 64
+#: Contexts whose normalisers are worked out at once.
+CHUNK = 4096
 #: Distinct tokens a task counts before it passes its counts on.
 FLUSH = 400_000
 
@@ -91,6 +98,7 @@ class Units:
     unit_count: np.ndarray
     shape_mass: np.ndarray
     bucket: np.ndarray  # of the units
+    buckets: int
 
     def reader(self):
         """A function from texts to tokens, units, starts, places of the rare tokens and numbers in the dictionary."""
@@ -115,24 +123,44 @@ class Units:
         own = self.bucket[units]
         one, two = np.empty_like(own), np.empty_like(own)
         one[1:], two[2:] = own[:-1], own[:-2]
-        one[starts], two[starts] = BEGIN, BEGIN
+        begin = self.buckets - 1
+        one[starts], two[starts] = begin, begin
         second = starts + 1
-        two[second[second < len(own)]] = BEGIN
+        two[second[second < len(own)]] = begin
         return one, two
 
 
-def choose_units(counts: DataFrame) -> Units:
-    """counts is a stored table."""
+def buckets_for(total: int) -> int:
+    """A power of two that grows with the square root of the training tokens."""
+    out = LEAST_BUCKETS
+    while out < MOST_BUCKETS and 16 * out * out < total:
+        out *= 2
+    return out
+
+
+def head_of(counts: DataFrame) -> tuple[pa.Table, int, int]:
+    """The HEAD most frequent tokens (ties by hash), and the sums over all: tokens and distinct ones."""
     level = F.floor(F.log2("c") * 16).cast("int")  # some hundred levels at most
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("level")).collect()
-    total, distinct = sum(r["n"] for r in levels), sum(r["v"] for r in levels)
-    least, taken = 1 << 30, 0
-    for r in levels:  # whole levels from the top, as long as they fit
+    taken, least, share = 0, 1 << 30, 1.0
+    for r in levels:  # whole levels from the top, and of the one at the edge the share that still fits
+        least = r["level"]
         if taken + r["v"] > HEAD:
+            share = (HEAD - taken) / r["v"]
             break
-        taken, least = taken + r["v"], r["level"]
-    head = sorted(counts.filter(level >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
-    tokens, c = [bytes(r["token"]) for r in head], np.array([r["c"] for r in head], np.int64)
+        taken += r["v"]
+    parts = 1 << 20
+    inside = (level > least) | ((level == least) & (F.pmod(F.xxhash64("token"), F.lit(parts)) < int(share * parts)))
+    head = counts.filter(inside).select("token", "c").toArrow().sort_by([("c", "descending"), ("token", "ascending")])[:HEAD]
+    return head, sum(r["n"] for r in levels), sum(r["v"] for r in levels)
+
+
+def choose_units(counts: DataFrame) -> Units:
+    """counts is a stored table."""
+    head, total, distinct = head_of(counts)
+    tokens, c = head["token"].to_pylist(), head["c"].to_numpy()
+    buckets = buckets_for(total)
+    own_buckets = buckets * 3 // 4
     words = set(tokens[:WORDS])
 
     def make():
@@ -158,37 +186,57 @@ def choose_units(counts: DataFrame) -> Units:
     own = [place[i] if i < WORDS else place[WORDS + shape_of(t)] for i, t in enumerate(tokens)]
     shape = np.array([shape_of(t) for t in tokens[:WORDS]] + [0] * (WORDS - len(tokens[:WORDS])) + list(range(SHAPES)))
     bucket = np.empty(UNITS, np.int64)
-    bucket[place] = np.where(place < OWN_BUCKETS, place, OWN_BUCKETS + shape % (BUCKETS - OWN_BUCKETS - 1))
-    return Units(total, distinct, tokens, c, np.array(own, np.int64), place[WORDS:], every[order], mass, bucket)
+    bucket[place] = np.where(place < own_buckets, place, own_buckets + shape % (buckets - own_buckets - 1))
+    return Units(total, distinct, tokens, c, np.array(own, np.int64), place[WORDS:], every[order], mass, bucket, buckets)
 
 
 def gather(docs: DataFrame, units: Units) -> DataFrame:
-    """slice, pairs (second bucket x class), first (unit), second (unit): counts in slices by bucket."""
+    """kind, slice, cell, n: counts of (first bucket; second bucket and class), (first; unit) and (second; unit), kinds 0 to 2."""
     spark = docs.sparkSession
-    small_batches(spark)
     send = spark.sparkContext.broadcast(units)
-    schema = "slice int, pairs binary, first binary, second binary"
 
     def count(batches):
         u = send.value
-        read = u.reader()
-        pairs, first, second = np.zeros(BUCKETS * BUCKETS * CLASSES, np.int32), np.zeros(BUCKETS * UNITS, np.int32), np.zeros(BUCKETS * UNITS, np.int32)
+        read, size = u.reader(), u.buckets
+        widths = (size * CLASSES, UNITS, UNITS)
+        totals = [np.zeros(size * w, np.int32) for w in widths]
         for batch in batches:
             texts = texts_of(batch)
             for k in range(0, len(texts), 250):
                 _, own, starts, _, _ = read(texts[k : k + 250])
                 one, two = u.contexts(own, starts)
-                for total, key in ((pairs, (one * BUCKETS + two) * CLASSES + own // CLASS_SIZE), (first, one * UNITS + own), (second, two * UNITS + own)):
+                for total, key in zip(totals, ((one * size + two) * CLASSES + own // CLASS_SIZE, one * UNITS + own, two * UNITS + own)):
                     at, n = np.unique(key, return_counts=True)
                     total[at] += n.astype(np.int32)
-        blobs = [[x.tobytes() for x in t.reshape(BUCKETS, -1)] for t in (pairs, first, second)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["slice", "pairs", "first", "second"])
+        for kind, (total, width) in enumerate(zip(totals, widths)):
+            at = np.flatnonzero(total)
+            for k in range(0, len(at), 1 << 16):
+                some = at[k : k + (1 << 16)]
+                columns = [pa.array(np.full(len(some), kind, np.int8)), pa.array((some // width).astype(np.int16)), pa.array((some % width).astype(np.int32)), pa.array(total[some].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "slice", "cell", "n"])
+
+    small_batches(spark)
+    cells = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, "kind byte, slice short, cell int, n long")
+    return cells.groupBy("kind", "slice", "cell").agg(F.sum("n").alias("n"))
+
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = [sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows[c].to_pylist()) for c in ("pairs", "first", "second")]
-        return pa.table([rows["slice"][:1], *(pa.array([t.tobytes()], pa.binary()) for t in total)], names=["slice", "pairs", "first", "second"])
+def slices(cells: DataFrame, files: int = 32) -> DataFrame:
+    """way (0 by the first bucket, 1 by the second), slice, cells (other bucket and class), times, units: a row for each slice."""
+    pairs = cells.filter("kind = 0")
+    turned = pairs.select(F.lit(1).alias("way"), F.floor(F.col("cell") / CLASSES).cast("int").alias("slice"), (F.col("slice") * CLASSES + F.col("cell") % CLASSES).alias("cell"), F.lit(True).alias("pair"), "n")
+    straight = pairs.select(F.lit(0).alias("way"), F.col("slice").cast("int").alias("slice"), "cell", F.lit(True).alias("pair"), "n")
+    own = cells.filter("kind > 0").select((F.col("kind") - 1).cast("int").alias("way"), F.col("slice").cast("int").alias("slice"), "cell", F.lit(False).alias("pair"), "n")
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
+    def pack(rows: pa.Table) -> pa.Table:
+        cell, n, pair = rows["cell"].to_numpy(), rows["n"].to_numpy(), rows["pair"].to_numpy()
+        units = np.zeros(UNITS, np.int64)
+        units[cell[~pair]] = n[~pair]
+        order = np.argsort(cell[pair])
+        blobs = [cell[pair][order].astype(np.int32), n[pair][order].astype(np.int64), units]
+        return pa.table([rows["way"][:1], rows["slice"][:1], *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["way", "slice", "cells", "times", "units"])
+
+    every = straight.unionByName(turned).unionByName(own)
+    return every.groupBy("way", "slice").applyInArrow(pack, "way int, slice int, cells binary, times binary, units binary").repartition(files, "way", "slice")
 
 
 @dataclass
@@ -196,14 +244,27 @@ class Weights:
     class_bias: np.ndarray
     class_one: np.ndarray  # bucket x class
     class_two: np.ndarray
-    class_both: np.ndarray  # bucket x bucket x class
+    class_both: np.ndarray  # bucket x JOINT x class
     unit_bias: np.ndarray  # class x place
     unit_one: np.ndarray  # bucket x class x place
     unit_two: np.ndarray
 
-    def slice(self, g: int) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of classes and of units for first bucket g: (second bucket, class), (second bucket, class, place)."""
-        return self.class_bias + self.class_one[g] + self.class_two + self.class_both[g], self.unit_bias + self.unit_one[g] + self.unit_two
+    @property
+    def buckets(self) -> int:
+        return len(self.class_one)
+
+    def classes(self, one, two) -> np.ndarray:
+        """Logits of the classes for pairs of buckets."""
+        return self.class_bias + self.class_one[one] + self.class_two[two] + self.class_both[one, joint_of(two)]
+
+    def inside(self, one, two, of_class) -> np.ndarray:
+        """Logits of the units of a class for pairs of buckets."""
+        return self.unit_bias[of_class] + self.unit_one[one, of_class] + self.unit_two[two, of_class]
+
+
+def joint_of(two):
+    """The hashed place of a second bucket beside each first one."""
+    return (two * 2654435761 >> 9) % JOINT
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -215,99 +276,129 @@ def begin(units: Units) -> Weights:
     """Only the biases: the unigram model of the units."""
     n = (units.unit_count + 1.0).reshape(CLASSES, CLASS_SIZE)
     flat = lambda *shape: np.zeros(shape, np.float32)
-    shape = (BUCKETS, CLASSES, CLASS_SIZE)
-    return Weights(np.log(n.sum(1)).astype(np.float32), flat(BUCKETS, CLASSES), flat(BUCKETS, CLASSES), flat(BUCKETS, BUCKETS, CLASSES), np.log(n).astype(np.float32), flat(*shape), flat(*shape))
-
-
-def gradient_round(stats: DataFrame, w: Weights, calm: float = 2.0) -> tuple[Weights, float]:
-    """One distributed gradient round; also the mean log likelihood (natural) before it."""
+    b = units.buckets
+    shape = (b, CLASSES, CLASS_SIZE)
+    return Weights(np.log(n.sum(1)).astype(np.float32), flat(b, CLASSES), flat(b, CLASSES), flat(b, JOINT, CLASSES), np.log(n).astype(np.float32), flat(*shape), flat(*shape))
+
+
+def gradient(w: Weights, way: int, g: int, cells: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Observed and expected counts of the slice's own features: class, unit (observed is not known here: zeros), both.
+
+    The gradient of the log likelihood by a feature's weight is its observed less its expected count.
+    """
+    size = w.buckets
+    seen = np.zeros(size * CLASSES, np.float32)
+    seen[cells] = times
+    seen = seen.reshape(size, CLASSES)
+    rows = np.flatnonzero(seen.any(1))
+    seen = seen[rows]
+    pair = (lambda x: (np.full(len(x), g), x)) if way == 0 else (lambda x: (x, np.full(len(x), g)))
+    guess = seen.sum(1, keepdims=True) * np.exp(_log_softmax(w.classes(*pair(rows))))
+    both = np.zeros((2, JOINT, CLASSES), np.float32)
+    if way == 0:
+        np.add.at(both[0], joint_of(rows), seen)
+        np.add.at(both[1], joint_of(rows), guess)
+    other, of_class = cells // CLASSES, cells % CLASSES
+    order = np.argsort(of_class, kind="stable")
+    unit = np.zeros((CLASSES, CLASS_SIZE), np.float32)
+    for k in range(0, len(order), CHUNK):
+        at = order[k : k + CHUNK]
+        c = of_class[at]
+        spread = times[at, None] * np.exp(_log_softmax(w.inside(*pair(other[at]), c)))
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        unit[c[first]] += np.add.reduceat(spread, first)
+    return [(seen.sum(0), guess.sum(0)), (np.zeros_like(unit), unit), (both[0], both[1])]
+
+
+def moved(w: np.ndarray, observed: np.ndarray, expected: np.ndarray, rate: float, calm: float = 2.0, decay: float = 0.02) -> np.ndarray:
+    """A step along the gradient (with a small pull to zero), scaled by the feature's count."""
+    return (w + rate * (observed - expected - decay * w) / (np.maximum(observed, expected) + calm)).astype(np.float32)
+
+
+def gradient_round(stats: DataFrame, w: Weights, way: int, rate: float = 0.8) -> Weights:
+    """One distributed round of updates of the features of one position (and, with the first, of both together)."""
     spark = stats.sparkSession
-    send = spark.sparkContext.broadcast(w)
-    schema = "part string, slice int, step binary"
+    send = spark.sparkContext.broadcast(w)  # its size has the bound that MOST_BUCKETS sets
 
-    def run(batches):
+    def make():
         now = send.value
-        class_two, unit_two = (np.zeros((2, *x.shape)) for x in (now.class_two, now.unit_two))  # observed, expected
-        likelihood, out = np.zeros(2), []
-        for batch in batches:
-            for g, pairs, first, second in zip(*(c.to_pylist() for c in batch.columns)):
-                seen = np.frombuffer(pairs, np.int64).reshape(BUCKETS, CLASSES).astype(float)
-                own = np.frombuffer(first, np.int64).reshape(CLASSES, CLASS_SIZE)
-                unit_two[0][g] += np.frombuffer(second, np.int64).reshape(CLASSES, CLASS_SIZE)
-                classes, inside = map(_log_softmax, now.slice(g))
-                guess = seen.sum(1, keepdims=True) * np.exp(classes)
-                class_two += np.stack([seen, guess])
-                spread = seen[:, :, None] * np.exp(inside)
-                unit_two[1] += spread
-                likelihood += [(seen * classes).sum() + (own * (now.unit_bias + now.unit_one[g])).sum(), seen.sum()]
-                norm = _norms(*now.slice(g))
-                likelihood[0] += (seen * norm).sum()
-                likelihood[0] += (np.frombuffer(second, np.int64).reshape(CLASSES, CLASS_SIZE) * now.unit_two[g]).sum()
-                move = lambda a, b: np.log((a + calm) / (b + calm)).astype(np.float32).tobytes()
-                out += [("class_both", g, move(seen, guess)), ("class_one", g, move(seen.sum(0), guess.sum(0))), ("unit_one", g, move(own, spread.sum(0)))]
-        out += [("class_two", g, class_two[:, g].tobytes()) for g in range(BUCKETS)] + [("unit_two", g, unit_two[:, g].tobytes()) for g in range(BUCKETS)] + [("likelihood", 0, likelihood.tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["part", "slice", "step"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        blobs = rows["step"].to_pylist()
-        one = blobs[0] if len(blobs) == 1 else sum(np.frombuffer(x, float) for x in blobs).tobytes()
-        return pa.table([rows["part"][:1], rows["slice"][:1], pa.array([one], pa.binary())], names=["part", "slice", "step"])
-
-    rows = stats.select("slice", "pairs", "first", "second").mapInArrow(run, schema).groupBy("part", "slice").applyInArrow(add, schema).collect()
-    out = Weights(*(x.copy() for x in (w.class_bias, w.class_one, w.class_two, w.class_both, w.unit_bias, w.unit_one, w.unit_two)))
-    mean = 0.0
-    for r in rows:
-        part, g = r["part"], r["slice"]
-        if part == "likelihood":
-            total = np.frombuffer(r["step"], float)
-            mean = float(total[0] / max(total[1], 1))
-        elif part in ("class_two", "unit_two"):
-            a, b = np.frombuffer(r["step"], float).reshape(2, *getattr(out, part).shape[1:])
-            getattr(out, part)[g] += np.log((a + calm) / (b + calm)) / (3 if part == "class_two" else 2)
-        else:
-            step = np.frombuffer(r["step"], np.float32).reshape(getattr(out, part).shape[1:])
-            getattr(out, part)[g] += step / (2 if part == "unit_one" else 3)
-    return out, mean
+        own_class, own_unit = (now.class_one, now.unit_one) if way == 0 else (now.class_two, now.unit_two)
 
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[list] = [[], [], []]
+            for cells, times, units, g in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                cells, times = np.frombuffer(cells, np.int32).astype(np.int64), np.frombuffer(times, np.int64).astype(np.float32)
+                (a, b), (_, e), (x, y) = gradient(now, way, g, cells, times)
+                seen = np.frombuffer(units, np.int64).reshape(CLASSES, CLASS_SIZE).astype(np.float32)
+                steps = (moved(own_class[g], a, b, rate if way else rate / 2), moved(own_unit[g], seen, e, rate), moved(now.class_both[g], x, y, rate / 2))
+                for column, step in zip(out, steps):
+                    column.append(step.tobytes())
+            return pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(x, pa.binary()) for x in out)], names=["slice", "class", "unit", "both"])
 
-def _norms(classes: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Minus the log normaliser of the units of each (second bucket, class)."""
-    top = inside.max(-1)
-    return -(top + np.log(np.exp(inside - top[..., None]).sum(-1)))
+        return run
+
+    rows = arrow_map(stats.filter(F.col("way") == way).select("cells", "times", "units", "slice"), make, "slice int, class binary, unit binary, both binary").toArrow()
+    out = Weights(w.class_bias, w.class_one.copy(), w.class_two.copy(), w.class_both.copy(), w.unit_bias, w.unit_one.copy(), w.unit_two.copy())
+    of_class, of_unit = (out.class_one, out.unit_one) if way == 0 else (out.class_two, out.unit_two)
+    for i in range(rows.num_rows):  # one row for each bucket
+        g = rows["slice"][i].as_py()
+        of_class[g] = np.frombuffer(rows["class"][i].as_buffer(), np.float32)
+        of_unit[g] = np.frombuffer(rows["unit"][i].as_buffer(), np.float32).reshape(CLASSES, CLASS_SIZE)
+        if way == 0:
+            out.class_both[g] = np.frombuffer(rows["both"][i].as_buffer(), np.float32).reshape(JOINT, CLASSES)
+    send.destroy()
+    return out
 
 
 @dataclass
 class Model:
-    """What scoring needs: one table by both buckets and the class, two by a bucket and the unit; log10."""
+    """What scoring needs: the units, the weights, and the log normaliser of the classes for each pair of buckets."""
 
     units: Units
-    joint: np.ndarray
-    one: np.ndarray
-    two: np.ndarray
+    weights: Weights
+    class_norm: np.ndarray
 
     def log10(self, units: np.ndarray, starts: np.ndarray) -> np.ndarray:
         one, two = self.units.contexts(units, starts)
-        return self.joint[(one * BUCKETS + two) * CLASSES + units // CLASS_SIZE] + self.one[one * UNITS + units] + self.two[two * UNITS + units]
+        return self.told(one, two, units)
+
+    def told(self, one: np.ndarray, two: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """log10 P(unit | buckets), elementwise."""
+        w, (c, place) = self.weights, np.divmod(units, CLASS_SIZE)
+        out = w.class_bias[c] + w.class_one[one, c] + w.class_two[two, c] + w.class_both[one, joint_of(two), c] - self.class_norm[one, two]
+        out = out + w.unit_bias[c, place] + w.unit_one[one, c, place] + w.unit_two[two, c, place]
+        context, back = np.unique((one * w.buckets + two) * CLASSES + c, return_inverse=True)
+        norm = np.empty(len(context), np.float32)
+        for k in range(0, len(context), CHUNK):
+            pair, of_class = np.divmod(context[k : k + CHUNK], CLASSES)
+            x = w.inside(*np.divmod(pair, w.buckets), of_class)
+            top = x.max(-1)
+            norm[k : k + CHUNK] = top + np.log(np.exp(x - top[:, None]).sum(-1))
+        return (out - norm[back]) / np.float32(np.log(10))
 
 
 def freeze(units: Units, w: Weights) -> Model:
-    joint = np.empty((BUCKETS, BUCKETS, CLASSES), np.float32)
-    for g in range(BUCKETS):
-        classes, inside = w.slice(g)
-        joint[g] = _log_softmax(classes) + _norms(classes, inside)
-    tenth = np.float32(1 / np.log(10))
-    return Model(units, joint.ravel() * tenth, (w.unit_bias + w.unit_one).reshape(-1) * tenth, w.unit_two.reshape(-1) * tenth)
+    norm = np.empty((w.buckets, w.buckets), np.float32)
+    two = np.arange(w.buckets)
+    for g in range(w.buckets):
+        x = w.classes(np.full(w.buckets, g), two)
+        top = x.max(-1)
+        norm[g] = top + np.log(np.exp(x - top[:, None]).sum(-1))
+    return Model(units, w, norm)
 
 
-def train(docs: DataFrame, rounds: int = 6) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, rounds: int = 8) -> tuple[Model, DataFrame]:
     """The model and the stored table of token counts."""
     counts = stored(token_counts(docs), "lm-counts")
     units = choose_units(counts)
     weights = begin(units)
     if units.total:
-        stats = stored(gather(docs, units), "lm-statistics")
-        for _ in range(rounds):
-            weights, _ = gradient_round(stats, weights)
+        cells = stored(gather(docs, units), "lm-cells")
+        stats = stored(slices(cells), "lm-slices")
+        forget(cells)
+        for k in range(rounds):
+            weights = gradient_round(stats, weights, k % 2)
+        forget(stats)
     return freeze(units, weights), counts
 
 
