@@ -21,6 +21,7 @@ from tidemark.llm.common import stored, table
 BPE = bb.load(bb.default_vocab(), bb.default_pattern())
 TRUE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=BPE.ranks, special_tokens={})
 WORD = Tokenizer.from_file(pk.default_tokenizer())
+FRESH = pk.WordBpe(pk.default_tokenizer())
 
 
 @settings(max_examples=300, deadline=None)
@@ -69,6 +70,15 @@ def test_word_ids_of_capitals_with_combining_marks(text):
     assert got == WORD.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*map(chr, range(33, 127)), *"éÉßÿĀőŐİıǅȺ×÷ªσΣЖ中", "'s", "'ll", "don't", "\x1c", "\x00", "\u0331"]), max_size=14).map("".join), max_size=30))
+def test_word_ids_of_runs_encoded_together(runs):
+    text = " ".join(runs)
+    got = array.array("I", pk.WordBpe.encode(FRESH, [text.encode()])[0]).tolist()
+    FRESH.memo.clear()
+    assert got == WORD.encode(text, add_special_tokens=False).ids
+
+
 def packed_well(rows, capacity):
     by = {}
     for r in rows:

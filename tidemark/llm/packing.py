@@ -21,9 +21,13 @@ and text are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache, reduce
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +37,16 @@ from tidemark.llm.common import arrow_map, stored, table
 CAPACITY = 2048
 #: Items of one size that one task numbers, and the classes before the shortest pieces.
 SHARE, CLASSES = 20_000, 4
-#: Entries of a worker's memo of runs of text. A full memo stays as it is: common runs come early.
-MEMO = 1_000_000
+#: Entries of a worker's memo of runs of text, and the longest run it takes. A full memo stays as it is: common runs come early.
+MEMO, LONGEST = 800_000, 64
+#: Runs that the tokenizer is given at once; its encodings are much larger than the ids.
+AT_ONCE = 2000
+#: The pieces into which the public tokenizer splits (fixed value), and the same for plain runs in lower case: printable
+#: ASCII and the Latin letters up to U+024F but U+0130, which have one lower-case letter each and compose with nothing here.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN}]+")
+PLAIN = re.compile(f"[!-@\\[-~{LATIN}]+")
 
 
 def default_tokenizer() -> str:
@@ -56,28 +68,52 @@ class WordBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        splits = [x["pattern"].get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if splits == [SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>":
+            self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of runs. Plain ones are encoded in one text: each of their pieces ends with a token that has the word's end."""
+        plain, rest = [], []
+        for x in runs:
+            text = x.decode("utf-8", "replace")
+            (plain if self.ends.any() and PLAIN.fullmatch(text) and "<|" not in text else rest).append((x, text))
+        out: dict[bytes, bytes] = {}
+        for k in range(0, len(plain), AT_ONCE):
+            part = plain[k : k + AT_ONCE]
+            raw = self._ids([" ".join([text for _, text in part])])[0]
+            stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+            last = np.cumsum([1 if text.isalpha() else len(PIECE.findall(text)) for _, text in part])
+            if len(stops) != last[-1]:
+                rest += part
+                continue
+            at = 0
+            for (x, _), stop in zip(part, (4 * stops[last - 1]).tolist()):
+                out[x] = raw[at:stop]
+                at = stop
+        for k in range(0, len(rest), AT_ONCE):
+            part = rest[k : k + AT_ONCE]
+            out.update(zip([x for x, _ in part], self._ids([text for _, text in part])))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """ASCII runs are looked up in lower case, as the tokenizer lowers all; it composes before that, so other runs stay as they are, as do texts that may hold its special tokens."""
-        get = self.memo.get
-        runs = [x.split() if b"<|" in x else x.lower().split() if x.isascii() else [r.lower() if r.isascii() else r for r in x.split()] for x in texts]
-        out, open_, new = [], [], set()
-        for i, own in enumerate(runs):
-            got = list(map(get, own))
-            if None in got:
-                open_.append(i)
-                new.update([x for x, ids in zip(own, got) if ids is None])
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        if new:
-            order = list(new)
-            got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in order], add_special_tokens=False)
-            fresh = {run: b"".join([i.to_bytes(4, "little") for i in x.ids]) for run, x in zip(order, got)}
-            if len(self.memo) < MEMO:
-                self.memo.update(fresh)
-            for i in open_:
-                out[i] = b"".join([ids if (ids := get(x)) is not None else fresh[x] for x in runs[i]])
+        """Runs are looked up in lower case, as the tokenizer lowers all. It composes before that, so where a mark follows that
+
+        an ASCII letter may be composed with (U+0300 to U+033F, lead byte CC) only ASCII runs are; texts that may hold its special tokens stay as they are."""
+        memo = self.memo
+        runs = [x.split() if b"<|" in x else x.lower().split() if b"\xcc" not in x else [r.lower() if r.isascii() else r for r in x.split()] for x in texts]
+        fresh = self._fresh(set(chain.from_iterable(runs)).difference(memo))
+        room = max(MEMO - len(memo), 0)
+        memo.update(fresh)
+        out = [b"".join(map(memo.__getitem__, own)) for own in runs]
+        for run in chain((r for r in islice(fresh, room) if len(r) > LONGEST), islice(fresh, room, None)):
+            del memo[run]
         return out
 
 
