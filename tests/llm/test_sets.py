@@ -113,9 +113,25 @@ def test_threshold_walk_stops_early():
     x = np.floor(256 * rng.normal(0, 1, (4000, 3)))
     block = topk.Block(np.arange(4000), x)
     for q in np.floor(256 * rng.normal(0, 1, (20, 3))):
-        ids, scores = block.search(q, -1, 5)
+        ids, scores, read = block.search(q, -1, 5)
         want = np.lexsort((np.arange(4000), -(x @ q)))[:5]
-        assert ids.tolist() == want.tolist()
+        assert ids.tolist() == want.tolist() and read < 2000
+        again, _, fewer = block.search(q, -1, 5, float(scores[-1]))
+        assert again.tolist() == want.tolist() and fewer <= read
+        none, _, least = block.search(q, -1, 5, float(scores[0]) * 4 + 1e9)  # another block has better ones
+        assert not len(none) and least < 400
+
+
+def test_op6_repeated_ids_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_BLOCKS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(v) for v in rng.normal(0, 1, 4)]) for i in [*range(300), 7, 7, 50, 50]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = connect("/nowhere")
+    con.register("embeddings", df.toPandas())
+    want = sorted(con.sql(topk.ORACLE_SQL).fetchall())
+    got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0")).collect())
+    assert [(a, b, c, d) for a, b, c, d in got] == [tuple(x) for x in want]
 
 
 def test_op10_on_data(spark, data):

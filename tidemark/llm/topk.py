@@ -4,14 +4,15 @@ Vectors are dealt to blocks by a hash of their id; a block holds, for each dimen
 sorted by that dimension (ties by id). A query walks these lists from the end that its own sign
 favours, all to the same depth, and scores what it meets. No vector that it has not met can score
 more than the sum of the values at that depth; when that bound is below the k-th best score, the
-walk ends. The bound must be strictly below, as a tie may have a smaller id. Queries meet every
-block, in groups of bounded size; the blocks' winners are merged by a window. Nothing is broadcast
-and no pair table is made.
+walk ends. The bound must be strictly below, as a tie may have a smaller id. One block is searched
+first: its k-th best scores are the floors that the walks of all blocks begin with, so a block that
+holds nothing good for a query is left early. Queries meet every block, in groups of bounded size; the
+blocks' winners are merged by a window. Nothing is broadcast and no pair table is made.
 
 Components are floor(256 x) of the component as a double. Vectors that are null, empty or hold null
-or non-finite components take no part. A shorter vector counts as followed by zeros. Of rows that
-share an id the one whose vector sorts first is taken, and a query is never its own candidate. An
-empty table gives an empty result. Only the id and the vector are read.
+or non-finite components take no part. A shorter vector counts as followed by zeros. Rows that
+share an id are candidates each, but never for a query with that id; queries that share an id share
+one list of results. An empty table gives an empty result. Only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -36,18 +37,18 @@ class Block:
         self.order = np.argsort(-vectors, axis=0, kind="stable")  # n x d, largest first, ties by id
         self.values = np.take_along_axis(vectors, self.order, axis=0)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, ties to the smaller id."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids and scores of the k best that reach the floor, ties to the smaller id; also how many vectors were scored."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         depth, met = 32, np.zeros(n, bool)
-        scores = np.full(n, -np.inf)
+        scores = np.full(n, -np.inf, self.vectors.dtype)
         while True:
             depth = min(depth, n)
             now = np.zeros(n, bool)
             now[self.order[:depth, up]] = True
             now[self.order[n - depth :, down]] = True
-            if depth == n or now.sum() * 2 > n:  # the lists' rest is a scan
+            if depth == n:
                 now[:] = True
             fresh = np.flatnonzero(now & ~met)
             scores[fresh] = self.vectors[fresh] @ query
@@ -55,21 +56,24 @@ class Block:
             if met.all():
                 break
             bound = self.values[depth - 1, up] @ query[up] + self.values[n - depth, down] @ query[down]
+            if floor is not None and floor > bound:
+                break
             got = scores[met & (self.ids != own)]
             if len(got) >= k and np.partition(got, len(got) - k)[len(got) - k] > bound:
                 break
-            depth *= 4
+            depth *= 2
         scores[self.ids == own] = -np.inf
         best = np.argsort(-scores, kind="stable")[:k]  # stable and by id: ties to the smaller id
-        best = best[np.isfinite(scores[best])]
-        return self.ids[best], scores[best]
+        best = best[np.isfinite(scores[best].astype(float))]
+        if floor is not None:
+            best = best[scores[best] >= floor]
+        return self.ids[best], scores[best], int(met.sum())
 
 
 def _matrix(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, ascending, and their vectors as whole doubles."""
+    """ids, ascending, and their vectors as whole doubles."""
     ids, lists = rows["vec_id"].to_numpy(), rows["embedding"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], lists[i]))
-    order = [i for j, i in enumerate(order) if not j or ids[order[j - 1]] != ids[i]]
     out = np.zeros((len(order), width))
     for j, i in enumerate(order):
         out[j, : len(lists[i])] = lists[i]
@@ -86,8 +90,9 @@ def search_block(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         if width * np.abs(vectors).max() * np.abs(asked).max() >= EXACT:
             vectors, asked = _whole(vectors), _whole(asked)
         block = Block(ids, vectors)
+        floors = dict(zip(queries["vec_id"].to_pylist(), queries["floor"].to_pylist()))
         for q, query in zip(own.tolist(), asked):
-            got, scores = block.search(query, q, k)
+            got, scores, _ = block.search(query, q, k, floors[q])
             out[0].extend([q] * len(got))
             out[1].extend(got.tolist())
             out[2].extend(max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in scores)
@@ -108,15 +113,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n, q = candidates.count(), asked.count()
     blocks, groups = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)), max(1, -(-q // QUERY_ROWS))
     hashed = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    left = candidates.withColumn("_block", hashed(blocks)).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("_group", hashed(groups)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return search_block(a, b, k)
 
-    found = left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(rows: DataFrame, wanted: DataFrame, among: int) -> DataFrame:
+        left = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        right = wanted.withColumn("_group", hashed(groups)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(among - 1))))
+        found = left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInArrow(run, "query_id long, vec_id long, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    dealt = candidates.withColumn("_block", hashed(blocks))
+    none = F.lit(None).cast("double")
+    first = searched(dealt.filter("_block = 0"), asked.withColumn("floor", none), 1)
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).filter((F.col("n") >= k) & (F.abs("floor") < EXACT)).select(F.col("query_id").alias("vec_id"), "floor")
+    floored = asked.join(floors, "vec_id", "left")
+    return searched(dealt, floored, blocks).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
