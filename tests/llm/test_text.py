@@ -204,3 +204,11 @@ def test_native_plans(spark, data):
     plan = pii.redact(table(spark, data, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert F  # the operators use DataFrame functions only
+
+
+def test_long_secrets_are_spans_to_their_end(spark):
+    text = 'token = "' + "aB3" * 400 + '" and more'
+    docs = spark.createDataFrame([(i, text) for i in range(20)] + [(99, "nothing here")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.pii_spans(docs).collect()}
+    assert rows[0]["n_secret"] == 1 and rows[0]["spans"].endswith(f":{text.index(' and more')}") and rows[99]["n_spans"] == 0
+    assert "aB3" not in pii.redact(docs).filter("doc_id = 0").first()["text"]

@@ -14,7 +14,7 @@ labeler is and how likely each pattern is to be personal, and a logistic span cl
 to those expectations; it becomes a Spark expression. Base spans stay whatever it says; of the
 other kinds the classifier's yes counts.
 
-Null and empty texts have no spans. Starts and ends are code points, the end exclusive. Repeated
+Null and empty texts have no spans, an empty table gives an empty result. Starts and ends are code points, the end exclusive. Repeated
 rows are judged alike; columns other than doc_id and text are not read (redact keeps them as they
 are). Patterns are possessive and start only where a run starts, so very long runs take linear time.
 """
@@ -36,11 +36,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9]){13,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-OBFUSCATED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]{1,63}+){1,5}+"
+OBFUSCATED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]++(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]++){1,32}+"
 NATIONAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"? ?[:=] ?\"?[A-Za-z0-9+/_=-]{16,512}+\"?"
+SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"? ?[:=] ?\"?[A-Za-z0-9+/_=-]{16,}+\"?"
 
 #: Fixed word lists of the labelers.
 TOP_LEVEL = r"(?i)(?:com|org|net|edu|gov|mil|int|info|biz|io|co|me|ai|app|dev|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be|pl|se|no|dk|fi|pt|ru|cn|jp|kr|in|br|mx|au|nz|za|ie|cz)"
@@ -244,12 +244,13 @@ def chosen(weights: list[float]) -> Column:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base kinds, base_sha256, spans. Candidates and votes (no texts) are stored once and used twice."""
+    """doc_id, counts of base kinds, base_sha256, spans, counts of the further kinds and of all spans. Candidates and votes (no texts) are stored once and used twice."""
     spans = stored(voted(docs), "pii-votes")
     weights = span_classifier(vote_counts(spans))
-    of_kind = lambda k: F.filter("base", lambda x: x["kind"] == k)
-    many = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
-    return spans.select("doc_id", *many, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(chosen(weights)).alias("spans"))
+    spans = spans.select("doc_id", "base", chosen(weights).alias("all"))
+    many = [F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    digest = F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return spans.select("doc_id", *many[:BASE], digest, _said(F.col("all")).alias("spans"), *many[BASE:], F.size("all").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

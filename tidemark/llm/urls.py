@@ -27,7 +27,7 @@ from tidemark.llm.common import ascii_lower, stored, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: A host under one of these is an alias of what follows.
 ALIASES = ("www", "m", "blog", "mobile", "amp")
-LINK = r"(?i)(?:href|src)\s*+=\s*+[\"']?(?:[a-z][a-z0-9+.-]{0,30}:)?//([^/?#\"'\s<>]{1,253})"
+LINK = r"(?i)(?:href|src)\s*+=\s*+[\"']?(?:[a-z][a-z0-9+.-]{0,30}:)?//([^/?#\"'\s<>]+)"
 ALIAS = rf"^(?:{'|'.join(ALIASES)})\.([^.]+\..+)$"
 ROUNDS, DAMPING, THRESHOLD, STORE_EVERY = 12, 0.85, 1.0, 4
 
@@ -108,7 +108,7 @@ def oracle_sql(rules=RULES, rounds: int = ROUNDS) -> str:
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda r: f"(host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}')"
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
-    link = r"""(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]{0,30}:)?//([^/?#"''\s<>]{1,253})"""
+    link = r"""(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]{0,30}:)?//([^/?#"''\s<>]+)"""
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     text = f"""
 WITH rest AS MATERIALIZED (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
