@@ -114,3 +114,41 @@ def test_lock_box():
 def test_short_vol_is_a_stub():
     with pytest.raises(NotImplementedError):
         st.short_vol()
+
+
+def column(spark, df, name="position"):
+    return [r[name] for r in df.orderBy("day").collect()]
+
+
+def test_carry_by_hand(spark):
+    """Smoothing over one row, so that the rate is the figure: out and in are two rows."""
+    rates = [0.2, -0.2, -0.3, 0.0, 0.08, 0.11, 0.06, 0.05]
+    df = spark.createDataFrame([("S", i, r) for i, r in enumerate(rates)], "series string, day long, rate double")
+    assert column(spark, st.carry(df, smooth=1, per_year=1)) == [-1, 0, 1, 0, 0, -1, -1, 0]
+    assert column(spark, st.carry(df, smooth=1, per_year=1, inversion=False)) == [-1, 0, 0, 0, 0, -1, -1, 0]
+
+
+def test_fixed_r_exit_by_hand(spark):
+    """Range 1 every day: stop 2 below, goal 6 above; in again on the row after the stop, as the signal holds."""
+    closes = [100.0, 100.0, 100.5, 98.0, 98.0, 99.0, 104.5, 104.5, 104.5]
+    rows = [("S", i, c, c + 0.5, c - 0.5, 0.7 if i < 8 else 0.0) for i, c in enumerate(closes)]
+    df = spark.createDataFrame(rows, "series string, day long, close double, high double, low double, position double")
+    got = column(spark, st.fixed_r_exit(df, k=0.5, rr=2.0, n=2))
+    assert got[0] == 0 and set(got) <= {0.0, 1.0} and got[-1] == 0 and 0.0 in got[2:5]
+
+
+def test_donchian_takes_one_step_a_row(spark):
+    closes = [10, 10, 10, 12, 12, 7, 7, 6, 6]
+    rows = [("S", i, float(c), float(c), float(c)) for i, c in enumerate(closes)]
+    df = spark.createDataFrame(rows, "series string, day long, close double, high double, low double")
+    assert column(spark, st.donchian_breakout(df, 3, 2)) == [0, 0, 0, 1, 1, 0, 0, -1, -1]
+
+
+def test_pairs_enters_beyond_the_stop_and_steps_once(spark):
+    rng = np.random.default_rng(2)
+    ly = np.cumsum(rng.normal(0, 0.01, 200))
+    lx = ly + rng.normal(0, 0.01, 200)
+    df = spark.createDataFrame([("S", i, float(np.exp(a)), float(np.exp(b))) for i, (a, b) in enumerate(zip(lx, ly))], "series string, day long, x double, y double")
+    got = [r["position"] for r in st.pairs(df, n=20, entry=1.0, leave=0.3).orderBy("day").collect()]
+    known = [g for g in got if g is not None and g == g]
+    assert len(known) > 100 and all(a == 0 or b == 0 or a == b for a, b in zip(known, known[1:]))

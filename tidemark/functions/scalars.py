@@ -75,7 +75,7 @@ def deflated_sharpe(sr: float, n: int, skew: float, kurt: float, n_trials: int,
 def min_backtest_length(n_trials: int) -> float:
     """Years below which the best of n_trials without skill is expected to look good."""
     if n_trials < 2:
-        return 0.0
+        return math.nan
     return 2 * math.log(n_trials) / expected_max_sharpe(n_trials)
 
 

@@ -89,7 +89,7 @@ def cpcv(returns: DataFrame, n_blocks: int = 6, k_test: int = 2, embargo: int =
 
 
 def pbo(returns: DataFrame, n_blocks: int = 8, r: str = "net", strategy: str = "strategy", ts: str = "day") -> DataFrame:
-    """Probability of backtest overfitting: over all halves of the blocks, how often the best inside ranks in the lower half outside.
+    """Probability of backtest overfitting: over all halves of the blocks, how often the best inside (of equals the first name) beats less than half of all outside.
 
     Only block moments are shuffled; the halves are joined to those.
     """
@@ -103,13 +103,13 @@ def pbo(returns: DataFrame, n_blocks: int = 8, r: str = "net", strategy: str = "
     sr = ratio(mean, F.sqrt(F.greatest((F.col("ss") - F.col("n") * mean**2) / (F.col("n") - 1), F.lit(0.0))))
     g = g.select("combo", strategy, "inside", F.coalesce(F.round(sr, 12), F.lit(0.0)).alias("sr"))
     wide = g.groupBy("combo", strategy).agg(F.max(F.when(F.col("inside"), F.col("sr"))).alias("is_sr"), F.max(F.when(~F.col("inside"), F.col("sr"))).alias("oos_sr"))
-    rank = (F.rank().over(Window.partitionBy("combo").orderBy("oos_sr")) + (F.count("*").over(Window.partitionBy("combo", "oos_sr")) - 1) / 2.0) / (F.count("*").over(Window.partitionBy("combo")) + 1)
-    best = wide.withColumn("_r", rank).groupBy("combo").agg(F.max_by("_r", F.struct("is_sr", strategy)).alias("rank"))
+    beaten = (F.rank().over(Window.partitionBy("combo").orderBy("oos_sr")) - 1) / F.count("*").over(Window.partitionBy("combo"))
+    best = wide.withColumn("_r", beaten).groupBy("combo").agg(F.min_by("_r", F.struct(-F.col("is_sr"), F.col(strategy))).alias("rank"))
     return best.agg(F.count("*").alias("combos"), F.avg((F.col("rank") < 0.5).cast("double")).alias("pbo"))
 
 
 def trade_ledger(traded: DataFrame, keys: tuple[str, ...] = ("series",), ts: str = "day", k: float = 2.0, n: int = 20) -> DataFrame:
-    """One row for each run of one sign of the traded position: times, return, worst return on the way, and R (return over k daily deviations at entry)."""
+    """One row for each run of one sign of the traded position: times, return, worst return on the way, risk (the entry's weight times k daily deviations then), and return and worst return in units of it."""
     w = Window.partitionBy(*keys).orderBy(ts)
     d = traded.withColumn("_sd", prior(F.stddev_samp, F.col("ret"), w, n))
     sign = F.signum("traded")
@@ -117,8 +117,8 @@ def trade_ledger(traded: DataFrame, keys: tuple[str, ...] = ("series",), ts: str
     d = d.withColumn("trade", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_s <> 0")
     path = F.sum(F.log1p("gross")).over(Window.partitionBy(*keys, "trade").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("_p", F.exp(path) - 1)
-    g = d.groupBy(*keys, "trade").agg(F.min(ts).alias("entry"), F.max(ts).alias("exit"), F.count("*").alias("bars"), F.first("_s").alias("side"), F.max_by("_p", ts).alias("ret"), F.least(F.min("_p"), F.lit(0.0)).alias("mae"), F.min_by("_sd", ts).alias("_sd"))
-    return g.withColumn("r", ratio(F.col("ret"), k * F.col("_sd"))).drop("_sd")
+    g = d.groupBy(*keys, "trade").agg(F.min(ts).alias("entry"), F.max(ts).alias("exit"), F.count("*").alias("bars"), F.first("_s").alias("side"), F.max_by("_p", ts).alias("ret"), F.min("_p").alias("mae"), (F.abs(F.min_by("traded", ts)) * k * F.min_by("_sd", ts)).alias("risk"))
+    return g.withColumns({"r": ratio(F.col("ret"), F.col("risk")), "mae_r": ratio(F.col("mae"), F.col("risk"))})
 
 
 def expectancy(ledger: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,7 +130,7 @@ def expectancy(ledger: DataFrame, keys: list[str]) -> DataFrame:
     streak = d.filter("r <= 0").groupBy(*keys, "_g").count().groupBy(*keys).agg(F.max("count").alias("loss_streak"))
     g = d.groupBy(*keys).agg(
         F.count("*").alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg("r").alias("expectancy"), ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r <= 0, r)))).alias("payoff"),
-        (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count("*"))).alias("sqn"), ratio(F.sum(F.when(r > 0, r)), F.abs(F.sum(F.when(r <= 0, r)))).alias("profit_factor"), F.avg("mae").alias("mae"),
+        (ratio(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.count("*"))).alias("sqn"), ratio(F.sum(F.when(r > 0, r)), F.abs(F.sum(F.when(r <= 0, r)))).alias("profit_factor"), F.avg("mae_r").alias("mae_r"),
     )
     return g.join(streak, keys, "left").withColumn("loss_streak", F.coalesce("loss_streak", F.lit(0)))
 

@@ -34,16 +34,16 @@ def depth_slope(side: str, mid: Column, n: int) -> Column:
 
 
 def book_features(snapshots: DataFrame, n: int = 10) -> DataFrame:
-    """mid, spread, spread_bps, microprice, imbalance, depth and slope of both sides."""
+    """mid, spread, spread_bps, microprice, imbalance (the best bid's share of both best quantities), depth and slope of both sides (NULL for a side of fewer than n levels)."""
     s = parsed(snapshots)
     bp, bq, ap, aq = (F.get(F.get(side, F.lit(0)), F.lit(k)) for side in ("bids", "asks") for k in (0, 1))
     mid = (bp + ap) / 2
-    s = s.withColumns({"bid": bp, "bid_qty": bq, "ask": ap, "ask_qty": aq, "mid": mid, "spread": ap - bp, "bid_depth": _qty("bids", n), "ask_depth": _qty("asks", n)})
+    s = s.withColumns({"bid": bp, "bid_qty": bq, "ask": ap, "ask_qty": aq, "mid": mid, "spread": ap - bp, "bid_depth": F.when(F.size("bids") >= n, _qty("bids", n)), "ask_depth": F.when(F.size("asks") >= n, _qty("asks", n))})
     return s.withColumns({
         "spread_bps": ratio(F.col("spread"), F.col("mid")) * 10_000,
         "microprice": ratio(F.col("bid") * F.col("ask_qty") + F.col("ask") * F.col("bid_qty"), F.col("bid_qty") + F.col("ask_qty")),
-        "imbalance": ratio(F.col("bid_depth") - F.col("ask_depth"), F.col("bid_depth") + F.col("ask_depth")),
-        "bid_slope": depth_slope("bids", F.col("mid"), n), "ask_slope": depth_slope("asks", F.col("mid"), n),
+        "imbalance": ratio(F.col("bid_qty"), F.col("bid_qty") + F.col("ask_qty")),
+        "bid_slope": F.when(F.size("bids") >= n, depth_slope("bids", F.col("mid"), n)), "ask_slope": F.when(F.size("asks") >= n, depth_slope("asks", F.col("mid"), n)),
     })
 
 

@@ -14,12 +14,27 @@ def with_impact(orders: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def cost_model(orders: DataFrame) -> DataFrame:
-    """Add leg_cost, carry_cost, tax and total. orders: notional, fee_bps, impact_bps, order_type (maker pays no impact), days_held, side (+1 or -1), funding_bps_day, tax_bps."""
-    bps = F.col("notional") / 10_000
-    leg = 2 * bps * (F.col("fee_bps") + F.when(F.col("order_type") == "taker", F.col("impact_bps")).otherwise(0.0))
-    carry = bps * F.col("side") * F.col("funding_bps_day") * F.col("days_held")
-    o = orders.withColumns({"leg_cost": leg, "carry_cost": carry, "tax": bps * F.col("tax_bps")})
-    return o.withColumn("total", F.col("leg_cost") + F.col("carry_cost") + F.col("tax"))
+    """Add bps_per_leg and bps_tax (costs, positive is paid), bps_carry (a profit: negative is paid), and refused.
+
+    orders: instrument (spot or perp), fee_bps, order_type (maker or taker), half_spread_bps and impact_bps (a taker's),
+    side (+1 or -1), funding_bps_day and days_held (a perp's), tax_bps. Nothing has a default: refused names the
+    input that is missing or out of place, and the three figures are then NULL.
+    """
+    taker, perp = F.col("order_type") == "taker", F.col("instrument") == "perp"
+    refused = (
+        F.when(F.col("fee_bps").isNull(), "fee")
+        .when(~F.coalesce(F.col("instrument").isin("spot", "perp"), F.lit(False)), "instrument")
+        .when(~F.coalesce(F.col("order_type").isin("maker", "taker"), F.lit(False)), "order type")
+        .when(perp & F.col("funding_bps_day").isNull(), "funding")
+        .when(~perp & (F.coalesce("funding_bps_day", F.lit(0.0)) != 0), "funding of spot")
+        .when(taker & F.col("half_spread_bps").isNull(), "half-spread")
+        .when(taker & F.col("impact_bps").isNull(), "impact")
+    )
+    o = orders.withColumn("refused", refused)
+    fine = F.col("refused").isNull()
+    leg = F.col("fee_bps") + F.when(taker, F.col("half_spread_bps") + F.col("impact_bps")).otherwise(0.0)
+    carry = F.when(perp, -F.col("side") * F.col("funding_bps_day") * F.col("days_held")).otherwise(0.0)
+    return o.withColumns({"bps_per_leg": F.when(fine, leg), "bps_carry": F.when(fine, carry), "bps_tax": F.when(fine, F.coalesce("tax_bps", F.lit(0.0)))})
 
 
 def weighted_quantiles(df: DataFrame, keys: list[str], x: str, w: str, qs: list[float]) -> DataFrame:

@@ -34,15 +34,14 @@ def acf(gammas: DataFrame) -> DataFrame:
 def ma1_gate(gammas: DataFrame, most: int = 10, alpha: float = 0.05) -> DataFrame:
     """Add q (summed squared autocorrelations beyond lag 1, scaled by their variance under an MA(1)), critical and passes."""
     rho = lambda k: F.try_divide(F.element_at("g", k + 1), F.element_at("g", 1))
-    scale = 1 + 2 * rho(1) ** 2
-    q = F.col("n") * sum((rho(k) ** 2 for k in range(2, most + 1)), F.lit(0.0)) / scale
-    # Neighbouring autocorrelations of an MA(1) are correlated; a chi-square matched in mean and variance allows for that.
-    r = rho(1)
-    off1, off2 = 2 * r * (1 + 0 * r) / scale, r**2 / scale
-    m = most - 1
-    var = 2 * (m + 2 * (m - 1) * off1**2 + 2 * max(m - 2, 0) * off2**2)
-    g = gammas.withColumns({"q": q, "_c": var / (2 * m)})
-    df = m / F.col("_c")
+    n, lags = F.col("n"), range(2, most + 1)
+    # Bartlett: n cov(r_k, r_k+d) is the sum of rho_j rho_j+d over all j, which under an MA(1) leaves terms for d up to 2.
+    by_distance = [1 + 2 * rho(1) ** 2, 2 * rho(1), rho(1) ** 2]
+    q = sum((rho(k) ** 2 * n * (n + 2) / (n - k) for k in lags), F.lit(0.0)) / by_distance[0]
+    # q has mean len(lags) and variance twice the sum of all squared correlations of its terms: a scaled chi-square with both.
+    spread = sum((F.lit(float(len(lags) - d) * (2 if d else 1)) * (c / by_distance[0]) ** 2 for d, c in enumerate(by_distance) if d < len(lags)), F.lit(0.0))
+    g = gammas.withColumns({"q": q, "_c": spread / len(lags)})
+    df = len(lags) / F.col("_c")
 
     @F.pandas_udf(DoubleType())
     def critical(v):
@@ -57,13 +56,15 @@ def roll(gammas: DataFrame, force: bool = False, **gate) -> DataFrame:
     g0, g1 = F.element_at("g", 1), F.element_at("g", 2)
     ok = (F.col("passes") | F.lit(force)) & (g1 < 0)
     verdict = F.when(~F.col("passes") & ~F.lit(force), "abstain: not MA(1)").when(g1 >= 0, "abstain: first autocovariance not negative").otherwise("ok")
-    root = F.sqrt(F.greatest(1 - 4 * ratio(g1, g0) ** 2, F.lit(0.0)))
-    theta = ratio(-1 + root, -2 * ratio(g1, g0)) * -1
-    wold = ratio(g1, theta) * (1 + theta) ** 2
-    low = F.sqrt(F.greatest(-g1, F.lit(0.0)))
+    # An MA(1) with these moments has theta s2 = g1 and (1 + theta^2) s2 = g0; it exists if the discriminant is not negative.
+    inside = g0**2 - 4 * g1**2
+    whole = (F.col("passes") | F.lit(force)) & (inside >= 0)
+    s2 = (g0 + F.sqrt(inside)) / 2  # of the invertible one
+    theta = ratio(g1, s2)
+    bound = (g0 - F.sqrt(inside)) / 2
     return g.withColumns({
-        "verdict": verdict, "c": F.when(ok, F.sqrt(-g1)), "sigma2_w": F.when(ok, g0 + 2 * g1), "sigma2_wold": F.when(ok, wold), "bound": F.when(ok, -g1),
-        "c_low": F.when(ok, low), "c_high": F.when(ok, F.sqrt(F.greatest(g0 / 2, low**2))),
+        "verdict": verdict, "c": F.when(ok, F.sqrt(-g1)), "sigma2_w": F.when(ok, g0 + 2 * g1), "theta": F.when(whole, theta), "sigma2_wold": F.when(whole, (1 + theta) ** 2 * s2),
+        "bound": F.when(whole, bound), "c_low": F.when(ok & whole, F.sqrt(F.greatest(bound, F.lit(0.0)))), "c_high": F.when(ok & whole, F.sqrt(-g1)),
     })
 
 

@@ -52,7 +52,7 @@ def value_area(levels: DataFrame, keys: list[str], area: float = AREA, level: st
 def day_levels(trades: DataFrame, tick: float) -> DataFrame:
     """exchange, day: modal symbol only, OHLC by time, volume, poc, vah, val."""
     t = trades.withColumn("day", bar_of("ts_ms", DAY_MS))
-    modal = t.groupBy("exchange", "day", "symbol").count().groupBy("exchange", "day").agg(F.max_by("symbol", F.struct("count", "symbol")).alias("symbol"))
+    modal = t.groupBy("exchange", "day", "symbol").count().groupBy("exchange", "day").agg(F.min_by("symbol", F.struct(-F.col("count"), F.col("symbol"))).alias("symbol"))
     t = first_of(t.join(modal, ["exchange", "day", "symbol"]), ["exchange", "day", "trade_id"], ["ts_ms", "price", "qty"])
     at = F.struct("ts_ms", "trade_id")
     ohlc = t.groupBy("exchange", "day").agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"))

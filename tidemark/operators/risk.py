@@ -12,20 +12,23 @@ from tidemark.functions.windows import average_rank, by, finite, ratio
 
 
 def evt_tail(returns: DataFrame, keys: list[str], r: str = "net", threshold_q: float = 0.95, alpha: float = 0.99, least: int = 30) -> DataFrame:
-    """Losses beyond a quantile fitted by probability-weighted moments: xi, beta, var, es; NULL under `least` exceedances."""
+    """Losses beyond a quantile fitted by probability-weighted moments: xi, beta, and var and es as returns (losses are negative); NULL under `least` exceedances, for an alpha inside the body and for a degenerate fit."""
     d = returns.filter(F.col(r).isNotNull()).withColumn("_l", -F.col(r))
     u = d.groupBy(*keys).agg(F.percentile("_l", F.lit(threshold_q)).alias("u"), F.count("*").alias("n"))
     x = d.join(u, keys).filter(F.col("_l") > F.col("u")).withColumn("x", F.col("_l") - F.col("u"))
     w = Window.partitionBy(*keys)
     x = x.withColumns({"_i": F.row_number().over(w.orderBy("x")), "_m": F.count("*").over(w)})
-    g = x.groupBy(*keys).agg(F.max("_m").alias("exceed"), F.max("u").alias("u"), F.max("n").alias("n"), F.avg("x").alias("a0"), F.avg(F.col("x") * (1 - (F.col("_i") - 0.35) / F.col("_m"))).alias("a1"))
-    ok = F.col("exceed") >= least
-    xi, beta = 2 - F.col("a0") / (F.col("a0") - 2 * F.col("a1")), 2 * F.col("a0") * F.col("a1") / (F.col("a0") - 2 * F.col("a1"))
-    g = g.withColumns({"xi": F.when(ok, xi), "beta": F.when(ok, beta)})
+    g = x.groupBy(*keys).agg(F.max("_m").alias("exceed"), F.max("u").alias("u"), F.max("n").alias("n"), F.avg("x").alias("a0"), F.avg(F.col("x") * F.try_divide(F.col("_m") - F.col("_i"), F.col("_m") - 1)).alias("a1"))
+    enough, gap = F.col("exceed") >= least, F.col("a0") - 2 * F.col("a1")
+    beyond = F.lit(1 - alpha) <= F.col("exceed") / F.col("n")  # alpha lies in the fitted tail
+    xi, beta = 2 - F.col("a0") / gap, 2 * F.col("a0") * F.col("a1") / gap
+    ok = enough & beyond & (gap > 0) & (beta > 0)
+    g = g.withColumns({"xi": F.when(ok, xi), "beta": F.when(ok, beta), "u": F.when(enough, F.col("u"))})
     tail = (1 - alpha) / (F.col("exceed") / F.col("n"))
     var = F.when(F.abs("xi") < 1e-9, F.col("u") - F.col("beta") * F.log(tail)).otherwise(F.col("u") + F.col("beta") / F.col("xi") * (F.pow(tail, -F.col("xi")) - 1))
     g = g.withColumn("var", var)
-    return g.select(*keys, "n", "exceed", "u", "xi", "beta", "var", F.when(F.col("xi") < 1, (F.col("var") + F.col("beta") - F.col("xi") * F.col("u")) / (1 - F.col("xi"))).alias("es"))
+    es = F.when(F.col("xi") < 1, (F.col("var") + F.col("beta") - F.col("xi") * F.col("u")) / (1 - F.col("xi")))
+    return g.select(*keys, "n", "exceed", "u", "xi", "beta", (-F.col("var")).alias("var"), (-es).alias("es"))
 
 
 def effective_trials(returns: DataFrame, r: str = "net", strategy: str = "strategy", ts: str = "day") -> DataFrame:
@@ -86,9 +89,10 @@ def ic_profile(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10), signal:
 
 
 def ic_blocks(df: DataFrame, block: int = 21, k: int = 1, signal: str = "signal", method: str = "spearman") -> DataFrame:
-    """Mean, deviation, ratio and t of the ICs of blocks of rows."""
-    d = forward_returns(df, k).withColumn("block", F.floor((F.row_number().over(by("series", "day")) - 1) / block))
-    ics = information_coefficient(d, ["series", "block"], signal, method=method).filter("ic is not null")
+    """Mean, deviation, ratio and t of the ICs of whole blocks of rows whose signal and forward return are known."""
+    d = forward_returns(df, k).filter(F.col(signal).isNotNull() & F.col("fwd").isNotNull())
+    d = d.withColumn("block", F.floor((F.row_number().over(by("series", "day")) - 1) / block))
+    ics = information_coefficient(d, ["series", "block"], signal, method=method).filter((F.col("n") == block) & F.col("ic").isNotNull())
     return ics.groupBy("series").agg(F.count("*").alias("blocks"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), (ratio(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("*"))).alias("t"))
 
 

@@ -30,25 +30,34 @@ def fold(df: DataFrame, columns: list[str], machine: Callable[[np.ndarray], np.n
     return df.select(series, ts, *columns).groupBy(series).applyInPandas(run, f"{series} {types[series]}, {ts} {types[ts]}, {name} double")
 
 
-def hysteresis(enter_short, enter_long, leave, hold_nan: bool = True):
-    """A machine over one column: +1 / -1 on entry, 0 on leaving, else as before; NaN keeps the state (or is NaN)."""
+def one_step(step: Callable[[float, np.ndarray], float], known: Callable[[np.ndarray], bool] = lambda row: row[0] == row[0]):
+    """A machine that takes one step a row, from the state 0: out of a position and into the next one are two rows. Rows that are not known keep the state."""
 
     def machine(x: np.ndarray) -> np.ndarray:
         state, out = 0.0, np.empty(len(x))
-        for i, v in enumerate(x[:, 0]):
-            if v != v:
-                out[i] = state if hold_nan else np.nan
-                continue
-            if state and leave(v, state):
-                state = 0.0
-            if not state:
-                state = 1.0 if enter_long(v) else -1.0 if enter_short(v) else 0.0
+        for i, row in enumerate(x):
+            if known(row):
+                state = step(state, row)
             out[i] = state
         return out
 
     return machine
 
 
+def fade(entry: float, leave: float):
+    """Against a score: in beyond entry, out within leave; with a second column, flat where that is 0."""
+
+    def step(state: float, row: np.ndarray) -> float:
+        z, open_ = row[0], len(row) < 2 or row[1]
+        if not open_:
+            return 0.0
+        if not state:
+            return -1.0 if z > entry else 1.0 if z < -entry else 0.0
+        return 0.0 if abs(z) < leave else state
+
+    return one_step(step)
+
+
 def buy_and_hold() -> Column:
     return F.lit(1.0)
 
@@ -86,29 +95,20 @@ def percent_risk_size(df: DataFrame, risk: float = 0.02, n: int = 20, k: float =
 
 
 def donchian_breakout(df: DataFrame, n: int = 55, exit_n: int = 20) -> DataFrame:
-    """Long above the entry channel, short below it, flat again through the opposite exit channel."""
-    c = ft.donchian(df, n, exit_n)
+    """Long above the entry channel, short below it, flat again through the opposite exit channel; flat in the warm-up."""
 
-    def machine(x: np.ndarray) -> np.ndarray:
-        state, out = 0.0, np.full(len(x), np.nan)
-        for i, (close, hi, lo, exit_hi, exit_lo) in enumerate(x):
-            if hi != hi:
-                continue
-            if (state > 0 and close < exit_lo) or (state < 0 and close > exit_hi):
-                state = 0.0
-            if close > hi:
-                state = 1.0
-            elif close < lo:
-                state = -1.0
-            out[i] = state
-        return out
+    def step(state: float, row: np.ndarray) -> float:
+        close, hi, lo, exit_hi, exit_lo = row
+        if not state:
+            return 1.0 if close > hi else -1.0 if close < lo else 0.0
+        return 0.0 if (close < exit_lo if state > 0 else close > exit_hi) else state
 
-    return fold(c, ["close", "hi", "lo", "exit_hi", "exit_lo"], machine)
+    return fold(ft.donchian(df, n, exit_n), ["close", "hi", "lo", "exit_hi", "exit_lo"], one_step(step, lambda row: row[1] == row[1] and row[2] == row[2]))
 
 
 def vwap_reversion(df: DataFrame, n: int = 48, k: float = 2.0, exit_k: float = 0.5) -> DataFrame:
     """Against the deviation from vwap: in beyond k, out within exit_k; an unknown deviation holds."""
-    return fold(ft.vwap_bands(df, n), ["vwap_z"], hysteresis(lambda v: v >= k, lambda v: v <= -k, lambda v, _: abs(v) <= exit_k))
+    return fold(ft.vwap_bands(df, n), ["vwap_z"], fade(k, exit_k))
 
 
 def regime_gate(df: DataFrame, hurst_n: int = 200, hurst_max: float = 0.45, adx_n: int = 14, adx_max: float = 22.0) -> DataFrame:
@@ -118,23 +118,10 @@ def regime_gate(df: DataFrame, hurst_n: int = 200, hurst_max: float = 0.45, adx_
 
 
 def mean_reversion(df: DataFrame, n: int = 20, entry: float = 2.0, leave: float = 0.5, gated: bool = False, **gate) -> DataFrame:
-    """Against the z-score; with the gate closed, flat."""
+    """Against the z-score; with the gate closed, flat; an unknown score holds."""
     z = df.withColumn("z", ft.zscore(F.col("close"), by("series", "day"), n))
     z = regime_gate(z, **gate).withColumn("gate", F.col("gate").cast("double")) if gated else z.withColumn("gate", F.lit(1.0))
-
-    def machine(x: np.ndarray) -> np.ndarray:
-        state, out = 0.0, np.full(len(x), np.nan)
-        for i, (v, open_) in enumerate(x):
-            if v != v:
-                continue
-            if not open_ or (state and abs(v) <= leave):
-                state = 0.0
-            if open_ and not state:
-                state = -1.0 if v >= entry else 1.0 if v <= -entry else 0.0
-            out[i] = state
-        return out
-
-    return fold(z, ["z", "gate"], machine)
+    return fold(z, ["z", "gate"], fade(entry, leave))
 
 
 def random_entry(df: DataFrame, seed: int = 0, k: float = 3.0, n: int = 10) -> DataFrame:
@@ -159,28 +146,40 @@ def random_entry(df: DataFrame, seed: int = 0, k: float = 3.0, n: int = 10) -> D
 
 
 def fixed_r_exit(df: DataFrame, k: float = 2.0, rr: float = 3.0, n: int = 20) -> DataFrame:
-    """Overlay on position: out at k average true ranges against or rr times that in favour, the stop looked at first, until the position changes."""
+    """Overlay on position, of which only the sign counts: in where the range is known, out at k average true ranges against, rr times that in favour (the stop is looked at first), or where the sign goes; in again on a later row while it holds."""
 
     def machine(x: np.ndarray) -> np.ndarray:
-        held, entry, risk, done, out = 0.0, 0.0, 0.0, False, np.full(len(x), np.nan)
-        for i, (pos, close, high, low, a) in enumerate(x):
-            pos = 0.0 if pos != pos else pos
-            if np.sign(pos) != np.sign(held):
-                held, entry, risk, done = pos, close, k * a, False
-            elif held and not done and risk == risk:
-                stop, goal = entry - np.sign(held) * risk, entry + np.sign(held) * rr * risk
-                against, favour = (low <= stop, high >= goal) if held > 0 else (high >= stop, low <= goal)
-                done = bool(against or favour)
-            out[i] = 0.0 if done else pos
+        held, stop, goal, out = 0.0, 0.0, 0.0, np.zeros(len(x))
+        for i, (wish, close, high, low, a) in enumerate(x):
+            wish = float(np.sign(np.nan_to_num(wish)))
+            if held:
+                worst, best = (low, high) if held > 0 else (high, low)
+                if (worst - stop) * held <= 0 or (best - goal) * held >= 0 or wish != held:
+                    held = 0.0
+            elif wish and np.isfinite(a):
+                held, stop, goal = wish, close - wish * k * a, close + wish * rr * k * a
+            out[i] = held
         return out
 
     return fold(ft.atr(df, n), ["position", "close", "high", "low", "atr"], machine)
 
 
 def carry(df: DataFrame, enter: float = 0.1, leave: float = 0.055, smooth: int = 3, per_year: int = 1095, inversion: bool = True) -> DataFrame:
-    """Short the perpetual while its smoothed funding a year is high (and long while it is as far below zero). df has rate."""
-    apr = rolling(F.avg, F.col("rate"), by("series", "day"), smooth) * per_year
-    return fold(df.withColumn("_apr", apr), ["_apr"], hysteresis(lambda v: v >= enter, lambda v: inversion and v <= -enter, lambda v, _: abs(v) < leave, hold_nan=False))
+    """Short the perpetual while its exponentially smoothed funding a year is high (long while it is as far below zero, if inversion). df has rate; NULL in the warm-up."""
+    if leave > enter:
+        raise ValueError("leave must not be above enter")
+
+    def step(state: float, row: np.ndarray) -> float:
+        a = row[0]
+        if not state:
+            return -1.0 if a > enter else 1.0 if inversion and a < -enter else 0.0
+        return 0.0 if (a < leave if state < 0 else a > -leave) else state
+
+    def machine(x: np.ndarray) -> np.ndarray:
+        apr = pd.Series(x[:, 0]).ewm(span=max(1, smooth), adjust=False, min_periods=max(1, smooth)).mean().to_numpy() * per_year
+        return np.where(np.isnan(apr), np.nan, one_step(step)(apr[:, None]))
+
+    return fold(df, ["rate"], machine)
 
 
 def _ar1(x: np.ndarray) -> tuple[float, float]:
@@ -215,13 +214,14 @@ def pairs(df: DataFrame, n: int = 60, entry: float = 2.0, leave: float = 0.5, st
             half, sigma = _ar1(own)
             scale = own.std(ddof=1) if model == "coint" else sigma
             z = (own[-1] - own.mean()) / scale if scale and scale == scale else math.nan
-            if z != z or not half <= most_half_life:
+            if z != z:
+                continue
+            if not half <= most_half_life:
+                state = 0.0
+            elif not state:
+                state = -1.0 if z > entry else 1.0 if z < -entry else 0.0
+            elif abs(z) < leave or abs(z) > stop:
                 state = 0.0
-            else:
-                if state and (abs(z) <= leave or abs(z) >= stop):
-                    state = 0.0
-                if not state and entry <= abs(z) < stop:
-                    state = -float(np.sign(z))
             out[i] = state
         return pd.DataFrame({"series": g["series"], "day": g["day"], "position": out, "beta": g["beta"]})
 

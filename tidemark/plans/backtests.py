@@ -42,13 +42,16 @@ NUMBERED = "row_number() OVER (PARTITION BY series ORDER BY day) AS i"
 BREAKOUT = f"x AS (SELECT series, day, {NUMBERED}, close, {PRIOR('max', 'high', 20)} AS hi, {PRIOR('min', 'low', 20)} AS lo, {PRIOR('max', 'high', 10)} AS xhi, {PRIOR('min', 'low', 10)} AS xlo FROM daily)"
 VWAP_Z = f"v AS (SELECT series, day, close, {FULL('sum', '(high + low + close) / 3 * volume', 20)} AS pv, {FULL('sum', 'volume', 20)} AS q FROM daily), dv AS (SELECT series, day, close - pv / q AS dev FROM v), x AS (SELECT series, day, {NUMBERED}, dev / ({FULL('stddev_samp', 'dev', 20)}) AS z FROM dv)"
 CLOSE_Z = f"x AS (SELECT series, day, {NUMBERED}, (close - {FULL('avg', 'close', 20)}) / ({FULL('stddev_samp', 'close', 20)}) AS z FROM daily)"
-APR = f"rt AS (SELECT series, day, ln(close / open) / 1000 AS rate FROM daily), x AS (SELECT series, day, {NUMBERED}, ({FULL('avg', 'rate', 3)}) * 1095 AS z FROM rt)"
-FADE = "CASE WHEN s.state <> 0 AND abs(x.z) > {leave} THEN s.state WHEN x.z >= {enter} THEN -1.0 WHEN x.z <= -{enter} THEN 1.0 ELSE 0.0 END"
+FADE = "CASE WHEN x.z IS NULL THEN s.state WHEN s.state = 0 THEN CASE WHEN x.z > {enter} THEN -1.0 WHEN x.z < -{enter} THEN 1.0 ELSE 0.0 END WHEN abs(x.z) < {leave} THEN 0.0 ELSE s.state END"
+CHANNEL = "CASE WHEN x.hi IS NULL THEN s.state WHEN s.state = 0 THEN CASE WHEN x.close > x.hi THEN 1.0 WHEN x.close < x.lo THEN -1.0 ELSE 0.0 END WHEN s.state > 0 AND x.close < x.xlo THEN 0.0 WHEN s.state < 0 AND x.close > x.xhi THEN 0.0 ELSE s.state END"
+SMOOTH = f"""rt AS (SELECT series, day, {NUMBERED}, ln(close / open) / 1000 AS rate FROM daily), sm AS (SELECT series, i, day, rate AS e FROM rt WHERE i = 1 UNION ALL SELECT rt.series, rt.i, rt.day, 0.5 * sm.e + 0.5 * rt.rate FROM sm JOIN rt ON rt.series = sm.series AND rt.i = sm.i + 1),
+x AS (SELECT series, day, i, CASE WHEN i >= 3 THEN e * 1095 END AS z FROM sm)"""
+FUNDED = "CASE WHEN s.state = 0 THEN CASE WHEN x.z > 0.1 THEN -1.0 WHEN x.z < -0.1 THEN 1.0 ELSE 0.0 END WHEN s.state < 0 AND x.z < 0.055 THEN 0.0 WHEN s.state > 0 AND x.z > -0.055 THEN 0.0 ELSE s.state END"
 MACHINES = {
-    "donchian_breakout": f"{R}, {machine_sql(BREAKOUT, 'CASE WHEN x.close > x.hi THEN 1.0 WHEN x.close < x.lo THEN -1.0 WHEN (s.state > 0 AND x.close < x.xlo) OR (s.state < 0 AND x.close > x.xhi) THEN 0.0 ELSE s.state END', 'x.hi IS NOT NULL')}",
-    "vwap_reversion": f"{R}, {machine_sql(VWAP_Z, 'CASE WHEN x.z IS NULL THEN s.state ELSE ' + FADE.format(leave=0.5, enter=2.0) + ' END', 'true')}",
-    "mean_reversion": f"{R}, {machine_sql(CLOSE_Z, FADE.format(leave=0.5, enter=1.5), 'x.z IS NOT NULL')}",
-    "carry": f"{R}, {machine_sql(APR, 'CASE WHEN s.state <> 0 AND abs(x.z) >= 0.055 THEN s.state WHEN x.z <= -0.1 THEN 1.0 WHEN x.z >= 0.1 THEN -1.0 ELSE 0.0 END', 'x.z IS NOT NULL')}",
+    "donchian_breakout": f"{R}, {machine_sql(BREAKOUT, CHANNEL, 'true')}",
+    "vwap_reversion": f"{R}, {machine_sql(VWAP_Z, FADE.format(leave=0.5, enter=2.0), 'true')}",
+    "mean_reversion": f"{R}, {machine_sql(CLOSE_Z, FADE.format(leave=0.5, enter=1.5), 'true')}",
+    "carry": f"{R}, {machine_sql(SMOOTH, FUNDED, 'x.z IS NOT NULL')}",
 }
 
 for _name, _rule in {
@@ -143,7 +146,11 @@ def effective_trials(spark, d):
     return rounded(risk.effective_trials(_board(spark, d)), "n_eff")
 
 
-@query("pbo")
+@query("pbo", f"""WITH {D}, {BOARD}, nf AS (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS m FROM board), fb AS (SELECT *, len(list_filter(range(1, 8), lambda k: i >= m * k // 8)) AS block FROM nf),
+mo AS (SELECT strategy, block, count(net) AS n, sum(net) AS s, sum(net * net) AS ss FROM fb GROUP BY 1, 2), c AS (SELECT range AS c FROM range(256) WHERE bit_count(range) = 4),
+g AS (SELECT c, strategy, (c >> block) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM mo, c GROUP BY 1, 2, 3), sr AS (SELECT c, strategy, inside, CASE WHEN ss - s * s / n > 0 THEN round(s / n / sqrt((ss - s * s / n) / (n - 1)), 12) ELSE 0 END AS sr FROM g),
+w AS (SELECT c, strategy, max(sr) FILTER (inside = 1) AS a, max(sr) FILTER (inside = 0) AS b FROM sr GROUP BY 1, 2), best AS (SELECT c, b AS own FROM w QUALIFY row_number() OVER (PARTITION BY c ORDER BY a DESC, strategy) = 1),
+r AS (SELECT c, avg(CAST(own > b AS DOUBLE)) AS rank FROM w JOIN best USING (c) GROUP BY 1) SELECT count(*) AS combos, avg(CAST(rank < 0.5 AS DOUBLE)) AS pbo FROM r""")
 def pbo(spark, d):
     return bt.pbo(_board(spark, d))
 
@@ -164,11 +171,13 @@ def shrunk_sharpes(spark, d):
 
 @query("evt_tail", f"""WITH {D}, {RETURNS}, l AS (SELECT series, -ret AS l FROM r WHERE ret IS NOT NULL), u AS (SELECT series, quantile_cont(l, 0.9) AS u, count(*) AS n FROM l GROUP BY 1),
 x AS (SELECT series, l - u AS x, u, n, row_number() OVER (PARTITION BY series ORDER BY l) AS i, count(*) OVER (PARTITION BY series) AS m FROM l JOIN u USING (series) WHERE l > u),
-g AS (SELECT series, max(m) AS exceed, max(u) AS u, max(n) AS n, avg(x) AS a0, avg(x * (1 - (i - 0.35) / m)) AS a1 FROM x GROUP BY 1)
-SELECT series, n, exceed, round(u, 6) + 0.0 AS u, round(CASE WHEN exceed >= 30 THEN 2 - a0 / (a0 - 2 * a1) END, 5) + 0.0 AS xi, round(CASE WHEN exceed >= 30 THEN 2 * a0 * a1 / (a0 - 2 * a1) END, 5) + 0.0 AS beta FROM g""")
+g AS (SELECT series, max(m) AS exceed, max(u) AS u, max(n) AS n, avg(x) AS a0, avg(x * (m - i) / (m - 1)) AS a1 FROM x GROUP BY 1),
+f AS (SELECT *, CASE WHEN exceed >= 30 AND 0.05 <= exceed / n AND a0 > 2 * a1 THEN 2 - a0 / (a0 - 2 * a1) END AS xi, CASE WHEN exceed >= 30 AND 0.05 <= exceed / n AND a0 > 2 * a1 THEN 2 * a0 * a1 / (a0 - 2 * a1) END AS beta FROM g),
+v AS (SELECT *, u + beta / xi * (power(0.05 / (exceed / n), -xi) - 1) AS loss FROM f)
+SELECT series, n, exceed, round(CASE WHEN exceed >= 30 THEN u END, 6) + 0.0 AS u, round(xi, 5) + 0.0 AS xi, round(beta, 5) + 0.0 AS beta, round(-loss, 5) + 0.0 AS var, round(CASE WHEN xi < 1 THEN -(loss + beta - xi * u) / (1 - xi) END, 5) + 0.0 AS es FROM v""")
 def evt_tail(spark, d):
-    t = risk.evt_tail(ft.return_features(_prices(spark, d)), ["series"], "ret", 0.9, 0.99).select("series", "n", "exceed", "u", "xi", "beta")
-    return rounded(rounded(t, "u"), "xi beta", 5)
+    t = risk.evt_tail(ft.return_features(_prices(spark, d)), ["series"], "ret", 0.9, 0.95).select("series", "n", "exceed", "u", "xi", "beta", "var", "es")
+    return rounded(rounded(t, "u"), "xi beta var es", 5)
 
 
 def _signals(spark, d):
@@ -191,8 +200,9 @@ def ic_profile(spark, d):
     return rounded(risk.ic_profile(_signals(spark, d), method="pearson"), "ic")
 
 
-@query("ic_blocks", f"""WITH {D}, sg0 AS (SELECT series, day, close, (close - {FULL('avg', 'close', 20)}) / ({FULL('stddev_samp', 'close', 20)}) AS signal, (row_number() OVER (PARTITION BY series ORDER BY day) - 1) // 21 AS block FROM daily),
-fw AS (SELECT *, lead(close) OVER (PARTITION BY series ORDER BY day) / close - 1 AS fwd FROM sg0), b AS (SELECT series, block, CASE WHEN count(*) >= 3 THEN corr(signal, fwd) END AS ic FROM fw WHERE signal IS NOT NULL AND fwd IS NOT NULL GROUP BY 1, 2)
+@query("ic_blocks", f"""WITH {D}, sg0 AS (SELECT series, day, close, (close - {FULL('avg', 'close', 20)}) / ({FULL('stddev_samp', 'close', 20)}) AS signal FROM daily),
+fw AS (SELECT *, lead(close) OVER (PARTITION BY series ORDER BY day) / close - 1 AS fwd FROM sg0), kn AS (SELECT *, (row_number() OVER (PARTITION BY series ORDER BY day) - 1) // 21 AS block FROM fw WHERE signal IS NOT NULL AND fwd IS NOT NULL),
+b AS (SELECT series, block, corr(signal, fwd) AS ic FROM kn GROUP BY 1, 2 HAVING count(*) = 21)
 SELECT series, count(*) AS blocks, round(avg(ic), 6) + 0.0 AS mean, round(stddev_samp(ic), 6) + 0.0 AS sd, round(avg(ic) / stddev_samp(ic), 6) + 0.0 AS ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 6) + 0.0 AS t FROM b WHERE ic IS NOT NULL GROUP BY 1""")
 def ic_blocks(spark, d):
     return rounded(risk.ic_blocks(_signals(spark, d), method="pearson"), "mean sd ir t")
@@ -210,18 +220,19 @@ def regime_ic(spark, d):
     return rounded(risk.regime_ic(_signals(spark, d).withColumn("mask", F.col("close") > F.col("open"))), "ic")
 
 
-@query("trade_ledger", f"""WITH {D}, {RUN}, s AS (SELECT *, sign(traded) AS s, CASE WHEN sign(traded) IS NOT DISTINCT FROM lag(sign(traded)) OVER w THEN 0 ELSE 1 END AS f FROM bt {W}), t AS (SELECT *, CAST(sum(f) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trade FROM s),
-p AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY series, trade ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 AS p FROM t WHERE s <> 0)
-SELECT series, trade, min(day) AS entry, max(day) AS exit, count(*) AS bars, round(last(p ORDER BY day), 6) + 0.0 AS ret, round(least(min(p), 0), 6) + 0.0 AS mae FROM p GROUP BY 1, 2""")
+LEDGER = f"""s AS (SELECT *, sign(traded) AS s, CASE WHEN sign(traded) IS NOT DISTINCT FROM lag(sign(traded)) OVER w THEN 0 ELSE 1 END AS f, {PRIOR('stddev_samp', 'ret', 20)} AS sd FROM bt {W}), t AS (SELECT *, CAST(sum(f) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS trade FROM s),
+p AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY series, trade ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 AS p FROM t WHERE s <> 0),
+l AS (SELECT series, trade, min(day) AS entry, max(day) AS exit, count(*) AS bars, last(p ORDER BY day) AS ret, min(p) AS mae, abs(first(traded ORDER BY day)) * 2 * first(sd ORDER BY day) AS risk FROM p GROUP BY 1, 2)"""
+
+
+@query("trade_ledger", f"WITH {D}, {RUN}, {LEDGER} SELECT series, trade, entry, exit, bars, round(ret, 6) + 0.0 AS ret, round(mae, 6) + 0.0 AS mae, round(ret / risk, 6) + 0.0 AS r, round(mae / risk, 6) + 0.0 AS mae_r FROM l")
 def trade_ledger(spark, d):
-    return rounded(bt.trade_ledger(bt.run(_trend(spark, d))).select("series", "trade", "entry", "exit", "bars", "ret", "mae"), "ret mae")
+    return rounded(bt.trade_ledger(bt.run(_trend(spark, d))).select("series", "trade", "entry", "exit", "bars", "ret", "mae", "r", "mae_r"), "ret mae r mae_r")
 
 
-@query("expectancy", f"""WITH {D}, {RUN}, s AS (SELECT *, sign(traded) AS s, CASE WHEN sign(traded) IS NOT DISTINCT FROM lag(sign(traded)) OVER w THEN 0 ELSE 1 END AS f, {PRIOR('stddev_samp', 'ret', 20)} AS sd FROM bt {W}), t AS (SELECT *, sum(f) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS trade FROM s),
-p AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY series, trade ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 AS p FROM t WHERE s <> 0),
-l AS (SELECT series, trade, last(p ORDER BY day) / (2 * first(sd ORDER BY day)) AS r, least(min(p), 0) AS mae FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY trade) - row_number() OVER (PARTITION BY series, r > 0 ORDER BY trade) AS g FROM l WHERE r IS NOT NULL),
+@query("expectancy", f"""WITH {D}, {RUN}, {LEDGER}, k0 AS (SELECT series, trade, ret / risk AS r, mae / risk AS mae_r FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY trade) - row_number() OVER (PARTITION BY series, r > 0 ORDER BY trade) AS g FROM k0 WHERE r IS NOT NULL),
 ls AS (SELECT series, max(n) AS loss_streak FROM (SELECT series, g, count(*) AS n FROM k WHERE r <= 0 GROUP BY 1, 2) GROUP BY 1)
 SELECT series, count(*) AS trades, round(avg(CAST(r > 0 AS DOUBLE)), 6) + 0.0 AS win_rate, round(avg(r), 6) + 0.0 AS expectancy, round(avg(r) FILTER (r > 0) / abs(avg(r) FILTER (r <= 0)), 6) + 0.0 AS payoff, round(avg(r) / stddev_samp(r) * sqrt(count(*)), 6) + 0.0 AS sqn,
-round(sum(r) FILTER (r > 0) / abs(sum(r) FILTER (r <= 0)), 6) + 0.0 AS profit_factor, round(avg(mae), 6) + 0.0 AS mae, coalesce(min(loss_streak), 0) AS loss_streak FROM k LEFT JOIN ls USING (series) GROUP BY 1""")
+round(sum(r) FILTER (r > 0) / abs(sum(r) FILTER (r <= 0)), 6) + 0.0 AS profit_factor, round(avg(mae_r), 6) + 0.0 AS mae_r, coalesce(min(loss_streak), 0) AS loss_streak FROM k LEFT JOIN ls USING (series) GROUP BY 1""")
 def expectancy(spark, d):
-    return rounded(bt.expectancy(bt.trade_ledger(bt.run(_trend(spark, d))), ["series"]), "win_rate expectancy payoff sqn profit_factor mae")
+    return rounded(bt.expectancy(bt.trade_ledger(bt.run(_trend(spark, d))), ["series"]), "win_rate expectancy payoff sqn profit_factor mae_r")

@@ -140,9 +140,9 @@ def asof_forward(spark, d):
 
 FEATURES = "mid spread_bps microprice imbalance bid_depth ask_depth bid_slope ask_slope"
 _slope = lambda side: f"(SELECT CASE WHEN sum(d * d) <> 0 THEN sum(d * q) / sum(d * d) END FROM (SELECT abs(x[1] - mid) / mid * 10000 AS d, sum(x[2]) OVER (ORDER BY i) AS q FROM (SELECT unnest({side}[1:10]) AS x, unnest(range(10)) AS i)))"
-BOOK_SQL = f"""{book_sql()}, f0 AS (SELECT exchange, symbol, ts_ms, bids, asks, bids[1][1] AS bid, bids[1][2] AS bid_qty, asks[1][1] AS ask, asks[1][2] AS ask_qty, (bids[1][1] + asks[1][1]) / 2 AS mid, list_sum(list_transform(bids[1:10], lambda x: x[2])) AS bid_depth, list_sum(list_transform(asks[1:10], lambda x: x[2])) AS ask_depth FROM book),
-f AS (SELECT *, (ask - bid) / mid * 10000 AS spread_bps, (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) AS microprice, (bid_depth - ask_depth) / (bid_depth + ask_depth) AS imbalance,
-    {_slope('bids')} AS bid_slope, {_slope('asks')} AS ask_slope FROM f0)"""
+BOOK_SQL = f"""{book_sql()}, f0 AS (SELECT exchange, symbol, ts_ms, bids, asks, bids[1][1] AS bid, bids[1][2] AS bid_qty, asks[1][1] AS ask, asks[1][2] AS ask_qty, (bids[1][1] + asks[1][1]) / 2 AS mid, CASE WHEN len(bids) >= 10 THEN list_sum(list_transform(bids[1:10], lambda x: x[2])) END AS bid_depth, CASE WHEN len(asks) >= 10 THEN list_sum(list_transform(asks[1:10], lambda x: x[2])) END AS ask_depth FROM book),
+f AS (SELECT *, (ask - bid) / mid * 10000 AS spread_bps, (bid * ask_qty + ask * bid_qty) / (bid_qty + ask_qty) AS microprice, bid_qty / (bid_qty + ask_qty) AS imbalance,
+    CASE WHEN len(bids) >= 10 THEN {_slope('bids')} END AS bid_slope, CASE WHEN len(asks) >= 10 THEN {_slope('asks')} END AS ask_slope FROM f0)"""
 
 
 @query("book_features", f"WITH {BOOK_SQL} SELECT exchange, ts_ms, {sql_rounded(FEATURES)} FROM f")

@@ -107,6 +107,18 @@ def roll_spread(spark, d):
     return rounded(r.select("series", "c", "sigma2_w"), "c sigma2_w")
 
 
+@query("roll_bounds", f"""{T}, ch AS (SELECT exchange AS series, ts_ms, price - lag(price) OVER (PARTITION BY exchange ORDER BY ts_ms) AS dp FROM tape), e AS (SELECT series, dp - avg(dp) OVER (PARTITION BY series) AS e, ts_ms FROM ch WHERE dp IS NOT NULL),
+lg AS (SELECT series, e, {', '.join(f'lag(e, {k}) OVER w AS l{k}' for k in range(1, 11))} FROM e WINDOW w AS (PARTITION BY series ORDER BY ts_ms)),
+m AS (SELECT series, count(*) AS n, sum(e * e) / count(*) AS g0, {', '.join(f'sum(e * l{k}) / count(*) AS g{k}' for k in range(1, 11))} FROM lg GROUP BY 1),
+i AS (SELECT *, CASE WHEN g0 * g0 >= 4 * g1 * g1 THEN sqrt(g0 * g0 - 4 * g1 * g1) END AS d FROM m)
+SELECT series, round(n * (n + 2) * ({' + '.join(f'(g{k} / g0) ** 2 / (n - {k})' for k in range(2, 11))}) / (1 + 2 * (g1 / g0) ** 2), 6) + 0.0 AS q, round(g1 / ((g0 + d) / 2), 6) + 0.0 AS theta, round((1 + g1 / ((g0 + d) / 2)) ** 2 * (g0 + d) / 2, 6) + 0.0 AS sigma2_wold, round((g0 - d) / 2, 6) + 0.0 AS bound,
+round(CASE WHEN g1 < 0 THEN sqrt((g0 - d) / 2) END, 6) + 0.0 AS c_low, round(CASE WHEN g1 < 0 AND d IS NOT NULL THEN sqrt(-g1) END, 6) + 0.0 AS c_high FROM i""")
+def roll_bounds(spark, d):
+    """The figures of the MA(1) reading, whatever its gate says."""
+    names = "q theta sigma2_wold bound c_low c_high"
+    return rounded(micro.roll(micro.autocovariances(_changes(spark, d), 10), force=True).select("series", *names.split()), names)
+
+
 @query("roll_gate")
 def roll_gate(spark, d):
     return rounded(micro.roll(micro.autocovariances(_changes(spark, d), 10)).select("series", "q", "critical", "passes", "verdict", "c", "sigma2_wold", "c_low", "c_high"), "q critical c sigma2_wold c_low c_high")
@@ -147,16 +159,21 @@ def markout(spark, d):
     return rounded(j.groupBy("horizon").agg(F.count("at_price").alias("n"), F.avg(F.col("s") * (F.col("at_price") - F.col("price"))).alias("markout")), "markout")
 
 
-@query("cost_model", """WITH o AS (SELECT o_orderkey, o_orderpriority AS venue, o_totalprice AS notional, o_orderkey % 3 + 1.0 AS fee_bps, CASE WHEN o_orderkey % 2 = 0 THEN 'taker' ELSE 'maker' END AS order_type, o_orderkey % 30 AS days_held, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS side FROM orders),
-i AS (SELECT *, CASE WHEN notional <= 100000 THEN 1.0 WHEN notional <= 300000 THEN 2.5 WHEN notional <= 600000 THEN 6.0 END AS impact_bps FROM o)
-SELECT o_orderkey, round(2 * notional / 10000 * (fee_bps + CASE WHEN order_type = 'taker' THEN impact_bps ELSE 0 END), 4) + 0.0 AS leg_cost, round(notional / 10000 * side * 1.5 * days_held, 4) + 0.0 AS carry_cost, round(notional / 10000 * 2.0, 4) + 0.0 AS tax FROM i""")
+@query("cost_model", """WITH o AS (SELECT o_orderkey, o_totalprice AS notional, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 3 + 1.0 END AS fee_bps, CASE WHEN o_orderkey % 2 = 0 THEN 'taker' ELSE 'maker' END AS order_type, CASE WHEN o_orderkey % 3 = 0 THEN 'spot' ELSE 'perp' END AS instrument, o_orderkey % 30 AS days_held,
+    CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS side, CASE WHEN o_orderkey % 13 <> 0 THEN 0.5 END AS half_spread_bps, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 17 <> 0 THEN 1.5 END AS funding_bps_day FROM orders),
+i AS (SELECT *, CASE WHEN notional <= 100000 THEN 1.0 WHEN notional <= 300000 THEN 2.5 WHEN notional <= 400000 THEN 6.0 END AS impact_bps FROM o),
+r AS (SELECT *, CASE WHEN fee_bps IS NULL THEN 'fee' WHEN instrument = 'perp' AND funding_bps_day IS NULL THEN 'funding' WHEN order_type = 'taker' AND half_spread_bps IS NULL THEN 'half-spread' WHEN order_type = 'taker' AND impact_bps IS NULL THEN 'impact' END AS refused FROM i)
+SELECT o_orderkey, refused, CASE WHEN refused IS NULL THEN CAST(fee_bps + CASE WHEN order_type = 'taker' THEN half_spread_bps + impact_bps ELSE 0 END AS DOUBLE) END AS bps_per_leg, CASE WHEN refused IS NULL THEN CAST(CASE WHEN instrument = 'perp' THEN -side * funding_bps_day * days_held ELSE 0 END AS DOUBLE) + 0.0::DOUBLE END AS bps_carry, CASE WHEN refused IS NULL THEN CAST(2 AS DOUBLE) END AS bps_tax FROM r""")
 def cost_model(spark, d):
+    key = F.col("o_orderkey")
     o = spark.read.parquet(f"{d}/orders.parquet").select(
-        "o_orderkey", F.col("o_orderpriority").alias("venue"), F.col("o_totalprice").alias("notional"), (F.col("o_orderkey") % 3 + 1.0).alias("fee_bps"), F.when(F.col("o_orderkey") % 2 == 0, "taker").otherwise("maker").alias("order_type"),
-        (F.col("o_orderkey") % 30).alias("days_held"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("side"), F.lit(1.5).alias("funding_bps_day"), F.lit(2.0).alias("tax_bps"),
+        "o_orderkey", F.col("o_orderpriority").alias("venue"), F.col("o_totalprice").alias("notional"), F.when(key % 11 != 0, (key % 3 + 1).cast("double")).alias("fee_bps"), F.when(key % 2 == 0, "taker").otherwise("maker").alias("order_type"),
+        F.when(key % 3 == 0, "spot").otherwise("perp").alias("instrument"), (key % 30).alias("days_held"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("side"), F.when(key % 13 != 0, 0.5).alias("half_spread_bps"),
+        F.when((key % 3 != 0) & (key % 17 != 0), 1.5).alias("funding_bps_day"), F.lit(2.0).alias("tax_bps"),
     )
-    steps = o.select("venue").distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("notional"), F.lit(b).alias("impact_bps")) for n, b in ((1e5, 1.0), (3e5, 2.5), (6e5, 6.0))]))).select("venue", "s.*")
-    return rounded(costs.cost_model(costs.with_impact(o, steps)).select("o_orderkey", "leg_cost", "carry_cost", "tax"), "leg_cost carry_cost tax", 4)
+    steps = o.select("venue").distinct().withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("notional"), F.lit(b).alias("impact_bps")) for n, b in ((1e5, 1.0), (3e5, 2.5), (4e5, 6.0))]))).select("venue", "s.*")
+    got = costs.cost_model(costs.with_impact(o, steps))
+    return got.select("o_orderkey", "refused", "bps_per_leg", (F.col("bps_carry") + F.lit(0.0)).alias("bps_carry"), "bps_tax")
 
 
 @query("weighted_quantiles", """WITH g AS (SELECT l_returnflag AS k, l_discount AS x, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), c AS (SELECT *, (sum(w) OVER (PARTITION BY k ORDER BY x ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY k) AS p FROM g),

@@ -54,7 +54,7 @@ def day_sink(df: DataFrame, path: str, checkpoint: str, interval: str = "500 mil
 
 
 def new_ids_only(trades: DataFrame) -> DataFrame:
-    """Rows whose numeric id is above every id of their symbol in earlier batches: a reconnect's first page repeats rows."""
+    """Rows whose numeric id is above every id of their venue and symbol in earlier batches: a reconnect's first page repeats rows."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
@@ -68,7 +68,7 @@ def new_ids_only(trades: DataFrame) -> DataFrame:
         state.update((top,))
 
     columns = trades.select("exchange", "symbol", "trade_id", "ts_ms", "price", "qty", "aggressor_buy")
-    return columns.groupBy("symbol").applyInPandasWithState(run, columns.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return columns.groupBy("exchange", "symbol").applyInPandasWithState(run, columns.schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_downsample(rows: DataFrame, ms: int) -> DataFrame:
@@ -76,15 +76,14 @@ def stream_downsample(rows: DataFrame, ms: int) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for f in frames:
-            f = f.sort_values("ts_ms")
-            keep = []
-            for i, t in enumerate(f["ts_ms"]):
-                if last is None or t - last >= ms:
-                    keep.append(i)
-                    last = int(t)
-            if keep:
-                yield f.iloc[keep]
+        f = pd.concat(list(frames)).sort_values("ts_ms")  # a venue's rows of one micro-batch come in several frames
+        keep = []
+        for i, t in enumerate(f["ts_ms"]):
+            if last is None or t - last >= ms:
+                keep.append(i)
+                last = int(t)
+        if keep:
+            yield f.iloc[keep]
         if last is not None:
             state.update((last,))
 
