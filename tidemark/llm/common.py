@@ -15,8 +15,8 @@ from tidemark.session import ship
 #: Words are maximal runs of anything but ASCII white space; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in one Arrow batch; with documents of a few KB it keeps a batch at some MB.
-BATCH_ROWS = 1000
+#: Rows in one Arrow batch, and the bytes of those that a function gets at once (or one row, if that is longer).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Shares by hash among which a bounded sample's threshold is found.
 PARTS = 1024
 
@@ -40,21 +40,40 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")  # one machine: its folder is shared
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again: the lineage ends here."""
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet below the shared folder (or to path, there) and read it again: the lineage ends here."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the system: workers and the driver live on between stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table that stored() wrote."""
     spark, path = df.sparkSession, getattr(df, "_stored_at", None)
@@ -63,6 +82,16 @@ def forget(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of BATCH_BYTES or so: one that is longer is halved, down to single rows."""
+    if batch.num_rows > 1 and batch.get_total_buffer_size() > BATCH_BYTES and batch.nbytes > BATCH_BYTES:
+        half = batch.num_rows // 2
+        yield from parts_of(batch.slice(0, half))
+        yield from parts_of(batch.slice(half))
+    else:
+        yield batch
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with one function for a task: make() builds it (dictionaries and the like) when the task begins."""
     small_batches(df.sparkSession)
@@ -70,9 +99,12 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            for part in parts_of(batch):
+                out = fn(part)
+                if out is not None:
+                    yield out
+        del fn
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -98,7 +130,10 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            yield batch.filter(pa.array(fn(batch), pa.bool_()))
+            for part in parts_of(batch):
+                yield part.filter(pa.array(fn(part), pa.bool_()))
+        del fn
+        trim()
 
     return df.mapInArrow(run, df.schema)
 

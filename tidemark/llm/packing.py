@@ -12,8 +12,8 @@ and one shuffle by level brings the partners together. Gaps are then updated and
 until nothing fits; what is left opens new sequences. A gap that holds several of the longest pieces
 left is dealt into as many slots. The driver sees only how many pieces, tokens and gaps are left.
 
-Every group is bounded: a level has at most two rows of a size, a sequence at most capacity pieces, a share
-SHARE items or so, and the one sorted prefix sum runs over the shares' counts. Null and empty texts are one piece that holds only the
+A level has at most two rows of a size, a sequence at most capacity pieces; a size that many pieces have is numbered
+in up to MOST_SHARES tasks, and the one sorted prefix sum runs over the shares' counts (two for each size and share). Null and empty texts are one piece that holds only the
 end id; very long texts are cut into many pieces, in one row each. Rows that repeat are packed once
 each, and ties of length go by a row number. An empty table gives an empty result. Columns other than doc_id
 and text are not read.
@@ -24,21 +24,22 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import arrow_map, stored, table
+from tidemark.llm.common import arrow_map, scratch_path, stored, table
 
 CAPACITY = 2048
-#: Items of one size that one task numbers, and the classes before the shortest pieces.
-SHARE, CLASSES = 20_000, 4
+#: Items for which there is one more share of each size, the most shares, and the classes before the shortest pieces.
+SHARE, MOST_SHARES, CLASSES = 500_000, 128, 4
 #: Entries of a worker's memo of runs of text, and the longest run it takes. A full memo stays as it is: common runs come early.
-MEMO, LONGEST = 800_000, 64
+MEMO, LONGEST = 700_000, 64
 #: Runs that the tokenizer is given at once; its encodings are much larger than the ids.
 AT_ONCE = 2000
 #: The pieces into which the public tokenizer splits (fixed value), and the same for plain runs in lower case: printable
@@ -148,26 +149,25 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as binary) text"), make, schema)
 
 
-def _standing(items: DataFrame, sizes: list[Column], sign: Column) -> DataFrame:
+def _standing(items: DataFrame, sizes: list[Column], sign: Column, shares: int) -> DataFrame:
     """Add _row, from 1 inside a share of a size, and _before, the sum of signs of all shares before it; sizes order the items."""
     names = [f"_s{i}" for i in range(len(sizes))]
-    signed = items.withColumns({n: c for n, c in zip(names, sizes)} | {"_sign": sign})
-    many = signed.groupBy(*names).agg(F.count("*").alias("_many"))  # at most two rows for each possible size
-    salted = signed.join(F.broadcast(many), names).withColumn("_share", F.pmod(F.xxhash64("_id"), 1 + F.floor(F.col("_many") / SHARE)))
+    salted = items.withColumns({n: c for n, c in zip(names, sizes)} | {"_sign": sign, "_share": F.pmod(F.xxhash64("_id"), F.lit(shares)).cast("int")})
     before = Window.orderBy(*names, "_share").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy(*names, "_share").agg(F.sum("_sign").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     rows = salted.withColumn("_row", F.row_number().over(Window.partitionBy(*names, "_share").orderBy("_id", "sequence_id")))
-    return rows.join(F.broadcast(counts), [*names, "_share"])  # those rows again, and one for each SHARE items
+    return rows.join(F.broadcast(counts), [*names, "_share"])  # at most two rows for each possible size and share
 
 
-def _opened(left: DataFrame, many: int, deep: int, first: int) -> DataFrame:
+def _opened(left: DataFrame, many: int, deep: int, first: int, shares: int = 1) -> DataFrame:
     """left with sequence_id (from first on) for the many longest pieces, deep of them in each; null for the others."""
     rank = F.col("_before") + F.col("_row") - 1
-    ranked = _standing(left.withColumn("sequence_id", F.lit(0)), [-F.col("length")], F.lit(1))
-    return ranked.select(*left.columns, F.when(rank < many, F.floor(rank / deep) + first).alias("sequence_id"))
+    ranked = _standing(left.withColumn("sequence_id", F.lit(0)), [-F.col("length")], F.lit(1), shares)
+    none = F.lit(None).cast("long")
+    return ranked.select(*left.columns, F.when(rank < many, F.floor(rank / deep) + first).alias("sequence_id"), none.alias("_gap"), none.alias("_taken"))
 
 
-def sweep(left: DataFrame, gaps: DataFrame, longest: int, most_slots: int) -> DataFrame:
+def sweep(left: DataFrame, gaps: DataFrame, longest: int, most_slots: int, shares: int = 1) -> DataFrame:
     """One superstep. Rows of left with sequence_id where a gap takes them, and rows of gaps (_gap not null) with _taken."""
     own = [c for c in left.columns if c != "_id"]
     deep = F.least(F.greatest(F.floor(F.col("_gap") / longest), F.lit(1)), F.lit(most_slots)).cast("int")
@@ -178,7 +178,7 @@ def sweep(left: DataFrame, gaps: DataFrame, longest: int, most_slots: int) -> Da
     none = F.lit(None).cast("long")
     items = left.select(*own, "_id", none.alias("sequence_id"), none.alias("_gap"), F.col("length").alias("_size")).unionByName(slots)
     is_gap = F.col("_gap").isNotNull()
-    ranked = _standing(items, [F.col("_size"), is_gap], F.when(is_gap, -1).otherwise(1))
+    ranked = _standing(items, [F.col("_size"), is_gap], F.when(is_gap, -1).otherwise(1), shares)
     level = F.when(is_gap, F.col("_before") - F.col("_row") + 1).otherwise(F.col("_before") + F.col("_row"))
     there = Window.partitionBy("_level").orderBy("_size", "_s1", "_share", "_row")
     met = ranked.withColumn("_level", level).withColumns({"_to": F.lead("sequence_id").over(there), "_taken": F.lag("length").over(there)})
@@ -195,14 +195,19 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CL
     start = {r[0]: r[1:] for r in state.groupBy(of_class).agg(*figures).collect()}
     if any(k is None or not 1 <= low <= high <= capacity for k, (_, _, low, high) in start.items()):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    placed = [state.select(*names, "_id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).alias("_turn")).filter("false")]
+    spark = pieces.sparkSession
+    steps = scratch_path(spark, "pieces-steps")
+    kind = StructType([*state.schema.fields, *(StructField(c, LongType()) for c in ("sequence_id", "_gap", "_taken"))])
     gaps: DataFrame | None = None
-    opened = 0
+    opened, turn = 0, 0
+    shares = lambda n: min(MOST_SHARES, 1 + (n + opened) // SHARE)
 
-    def settle(rows: DataFrame) -> DataFrame:
-        """Note the pieces that have a sequence; the others are left."""
-        placed.append(rows.filter("length is not null and sequence_id is not null").select(*names, "_id", F.col("sequence_id").cast("long").alias("sequence_id"), F.lit(len(placed)).alias("_turn")))
-        return rows.filter("length is not null and sequence_id is null").select(*state.columns)
+    def step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write a superstep's rows to its own folder of steps; what they are now, and the pieces that are left."""
+        nonlocal turn
+        now = stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]), "", f"{steps}/_turn={turn}")
+        turn += 1
+        return now, now.filter("length is not null and sequence_id is null").select(*state.columns)
 
     for k in sorted(start):
         left, (n, tokens, least, longest) = state.filter(of_class == k), start[k]
@@ -212,20 +217,21 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CL
                 room = gaps.filter(F.col("_gap") >= least).count()
                 if not room:
                     break
-                now = stored(sweep(left, gaps, longest, 1 + 2 * n // room), "pieces-met")
+                now, left = step(sweep(left, gaps, longest, 1 + 2 * n // room, shares(n)))
                 gaps = now.filter("_gap is not null").groupBy("sequence_id").agg((F.max("_gap") - F.sum("_taken")).alias("_gap")).filter("_gap > 0")
-                left, before = settle(now), n
+                before = n
                 n, tokens, least, longest = left.agg(*figures).first()
             if n:
                 whole = k <= classes  # any k of these pieces fill a sequence; of the shortest, as many open one as are needed at least
                 many, deep = (n, k) if whole else (min(n, -(-tokens // capacity)), 1)
-                now = stored(_opened(left, many, deep, opened), "pieces-opened")
+                now, left = step(_opened(left, many, deep, opened, shares(n)))
                 opened += -(-many // deep)
                 fresh = now.filter("sequence_id is not null").groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("_gap")).filter("_gap > 0")
                 gaps = fresh if gaps is None else gaps.unionByName(fresh)
-                left = settle(now)
                 n, tokens, least, longest = left.agg(*figures).first()
-    every = reduce(DataFrame.unionByName, placed)
+    if not turn:
+        return state.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    every = spark.read.schema(StructType([*kind.fields, StructField("_turn", IntegerType())])).parquet(steps).filter("length is not null and sequence_id is not null")
     ahead = Window.partitionBy("sequence_id").orderBy("_turn", "_id").rowsBetween(Window.unboundedPreceding, -1)
     return every.select(*names, "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long").alias("offset"))
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_filter, arrow_map, held_out, labelled_sample, table, texts_of
+from tidemark.llm.common import arrow_filter, arrow_map, held_out, labelled_sample, table, texts_of, trim
 
 BUCKETS = 1 << 22
 MAX_LABELLED = 16_000
@@ -172,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sample = labelled_sample(docs, labels, "toxic", max_labelled, lambda c: ~held_out(c, 4))
     got = arrow_map(sample, make, "doc_id long, label int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["terms"]]
-    return fit(rows, (np.array(got["label"].to_pylist(), dtype=np.int64) > 0).astype(np.int64))
+    machine = fit(rows, (np.array(got["label"].to_pylist(), dtype=np.int64) > 0).astype(np.int64))
+    del got, rows
+    trim()
+    return machine
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
