@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ UNITS, CLASSES = WORDS + SHAPES, (WORDS + SHAPES) // CLASS_SIZE
 LEAST_BUCKETS, MOST_BUCKETS = 128, 512
 #: Buckets of both positions together, for each bucket of the first.
 JOINT = 64
-#: Contexts whose normalisers are worked out at once.
-CHUNK = 4096
+#: Contexts whose normalisers are worked out at once, and tables of counts that are added up at once.
+CHUNK, FAN = 4096, 64
 #: Distinct tokens a task counts before it passes its counts on.
 FLUSH = 400_000
 
@@ -190,53 +191,54 @@ def choose_units(counts: DataFrame) -> Units:
     return Units(total, distinct, tokens, c, np.array(own, np.int64), place[WORDS:], every[order], mass, bucket, buckets)
 
 
-def gather(docs: DataFrame, units: Units) -> DataFrame:
-    """kind, slice, cell, n: counts of (first bucket; second bucket and class), (first; unit) and (second; unit), kinds 0 to 2."""
+def gather(docs: DataFrame, units: Units, files: int = 32) -> DataFrame:
+    """way (0 by the first bucket, 1 by the second), slice, part, cells, n: the counts of each slice.
+
+    A cell is a class beside the other bucket, or, from buckets * CLASSES on, a unit of the slice itself. Tasks pass on
+    the cells they met; at most FAN tables of a slice are added up at once, in as many levels as there are tasks for.
+    """
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast(units)
+    size = units.buckets
+    schema = "way int, slice int, part int, cells binary, n binary"
+    names = ["way", "slice", "part", "cells", "n"]
 
     def count(batches):
         u = send.value
-        read, size = u.reader(), u.buckets
-        widths = (size * CLASSES, UNITS, UNITS)
-        totals = [np.zeros(size * w, np.int32) for w in widths]
+        read, part = u.reader(), TaskContext.get().partitionId()
+        pairs, first, second = np.zeros(size * size * CLASSES, np.int32), np.zeros(size * UNITS, np.int32), np.zeros(size * UNITS, np.int32)
         for batch in batches:
             texts = texts_of(batch)
             for k in range(0, len(texts), 250):
                 _, own, starts, _, _ = read(texts[k : k + 250])
                 one, two = u.contexts(own, starts)
-                for total, key in zip(totals, ((one * size + two) * CLASSES + own // CLASS_SIZE, one * UNITS + own, two * UNITS + own)):
+                for total, key in ((pairs, (one * size + two) * CLASSES + own // CLASS_SIZE), (first, one * UNITS + own), (second, two * UNITS + own)):
                     at, n = np.unique(key, return_counts=True)
                     total[at] += n.astype(np.int32)
-        for kind, (total, width) in enumerate(zip(totals, widths)):
-            at = np.flatnonzero(total)
-            for k in range(0, len(at), 1 << 16):
-                some = at[k : k + (1 << 16)]
-                columns = [pa.array(np.full(len(some), kind, np.int8)), pa.array((some // width).astype(np.int16)), pa.array((some % width).astype(np.int32)), pa.array(total[some].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "slice", "cell", "n"])
+        cube = pairs.reshape(size, size, CLASSES)
+        for way, own in enumerate((first.reshape(size, -1), second.reshape(size, -1))):
+            for g in range(size):
+                flat = np.concatenate([(cube[g] if way == 0 else cube[:, g]).ravel(), own[g]])
+                at = np.flatnonzero(flat)
+                if len(at):
+                    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), flat[at].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (way, g, part)), *blobs], names=names)
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size * CLASSES + UNITS, np.int64)
+        for cells, n in zip(rows["cells"], rows["n"]):
+            total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
+        at = np.flatnonzero(total)
+        return pa.table([*(rows[c][:1] for c in names[:3]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=names)
 
     small_batches(spark)
-    cells = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, "kind byte, slice short, cell int, n long")
-    return cells.groupBy("kind", "slice", "cell").agg(F.sum("n").alias("n"))
-
-
-def slices(cells: DataFrame, files: int = 32) -> DataFrame:
-    """way (0 by the first bucket, 1 by the second), slice, cells (other bucket and class), times, units: a row for each slice."""
-    pairs = cells.filter("kind = 0")
-    turned = pairs.select(F.lit(1).alias("way"), F.floor(F.col("cell") / CLASSES).cast("int").alias("slice"), (F.col("slice") * CLASSES + F.col("cell") % CLASSES).alias("cell"), F.lit(True).alias("pair"), "n")
-    straight = pairs.select(F.lit(0).alias("way"), F.col("slice").cast("int").alias("slice"), "cell", F.lit(True).alias("pair"), "n")
-    own = cells.filter("kind > 0").select((F.col("kind") - 1).cast("int").alias("way"), F.col("slice").cast("int").alias("slice"), "cell", F.lit(False).alias("pair"), "n")
-
-    def pack(rows: pa.Table) -> pa.Table:
-        cell, n, pair = rows["cell"].to_numpy(), rows["n"].to_numpy(), rows["pair"].to_numpy()
-        units = np.zeros(UNITS, np.int64)
-        units[cell[~pair]] = n[~pair]
-        order = np.argsort(cell[pair])
-        blobs = [cell[pair][order].astype(np.int32), n[pair][order].astype(np.int64), units]
-        return pa.table([rows["way"][:1], rows["slice"][:1], *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["way", "slice", "cells", "times", "units"])
-
-    every = straight.unionByName(turned).unionByName(own)
-    return every.groupBy("way", "slice").applyInArrow(pack, "way int, slice int, cells binary, times binary, units binary").repartition(files, "way", "slice")
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    tasks = rows.rdd.getNumPartitions()
+    out = rows.mapInArrow(count, schema)
+    while tasks > FAN:
+        out = out.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("way", "slice", "part").applyInArrow(add, schema)
+        tasks = -(-tasks // FAN)
+    return out.groupBy("way", "slice").applyInArrow(add, schema).repartition(files, "way", "slice")
 
 
 @dataclass
@@ -326,18 +328,21 @@ def gradient_round(stats: DataFrame, w: Weights, way: int, rate: float = 0.8) ->
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], []]
-            for cells, times, units, g in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for cells, times, g in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 cells, times = np.frombuffer(cells, np.int32).astype(np.int64), np.frombuffer(times, np.int64).astype(np.float32)
-                (a, b), (_, e), (x, y) = gradient(now, way, g, cells, times)
-                seen = np.frombuffer(units, np.int64).reshape(CLASSES, CLASS_SIZE).astype(np.float32)
+                pair = cells < now.buckets * CLASSES
+                (a, b), (_, e), (x, y) = gradient(now, way, g, cells[pair], times[pair])
+                seen = np.zeros(UNITS, np.float32)
+                seen[cells[~pair] - now.buckets * CLASSES] = times[~pair]
+                seen = seen.reshape(CLASSES, CLASS_SIZE)
                 steps = (moved(own_class[g], a, b, rate if way else rate / 2), moved(own_unit[g], seen, e, rate), moved(now.class_both[g], x, y, rate / 2))
                 for column, step in zip(out, steps):
                     column.append(step.tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(x, pa.binary()) for x in out)], names=["slice", "class", "unit", "both"])
+            return pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(x, pa.binary()) for x in out)], names=["slice", "class", "unit", "both"])
 
         return run
 
-    rows = arrow_map(stats.filter(F.col("way") == way).select("cells", "times", "units", "slice"), make, "slice int, class binary, unit binary, both binary").toArrow()
+    rows = arrow_map(stats.filter(F.col("way") == way).select("cells", "n", "slice"), make, "slice int, class binary, unit binary, both binary").toArrow()
     out = Weights(w.class_bias, w.class_one.copy(), w.class_two.copy(), w.class_both.copy(), w.unit_bias, w.unit_one.copy(), w.unit_two.copy())
     of_class, of_unit = (out.class_one, out.unit_one) if way == 0 else (out.class_two, out.unit_two)
     for i in range(rows.num_rows):  # one row for each bucket
@@ -393,9 +398,7 @@ def train(docs: DataFrame, rounds: int = 8) -> tuple[Model, DataFrame]:
     units = choose_units(counts)
     weights = begin(units)
     if units.total:
-        cells = stored(gather(docs, units), "lm-cells")
-        stats = stored(slices(cells), "lm-slices")
-        forget(cells)
+        stats = stored(gather(docs, units), "lm-slices")
         for k in range(rounds):
             weights = gradient_round(stats, weights, k % 2)
         forget(stats)
