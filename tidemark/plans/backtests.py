@@ -91,9 +91,11 @@ def backtest_funding(spark, d):
     return rounded(bt.run_funding(_trend(spark, d).withColumn("rate", F.log(F.col("close") / F.col("open")) / 1000)).select("series", "day", "net"), "net", 8)
 
 
-@query("look_ahead", f"WITH {D}, {RUN} SELECT series, day FROM bt WHERE false")
+@query("look_ahead", f"WITH {D}, {RUN}, pl AS (SELECT series, day, position, CASE WHEN dayofmonth(day) = 13 THEN position ELSE traded END AS traded FROM bt), lb AS (SELECT *, coalesce(lag(position) OVER w, 0) AS want FROM pl {W}) SELECT series, day FROM lb WHERE traded IS DISTINCT FROM want")
 def look_ahead(spark, d):
-    return bt.look_ahead(bt.run(_trend(spark, d))).select("series", "day")
+    """A backtest with planted faults: on the 13th it trades the same day's position."""
+    planted = bt.run(_trend(spark, d)).withColumn("traded", F.when(F.dayofmonth("day") == 13, F.col("position")).otherwise(F.col("traded")))
+    return bt.look_ahead(planted).select("series", "day")
 
 
 STATS = "n mean sharpe sortino vol cagr max_drawdown calmar hit_rate var5 cvar5 skew kurt"

@@ -10,7 +10,7 @@ from tidemark.sources.schemas import DAY_MS, SHIP_SQL, TAPE_SQL, book, book_sql,
 
 HOUR = 3_600_000
 START, END = 1_704_067_200_000, 1_704_067_200_000 + 30 * DAY_MS  # 2024-01-01, thirty days
-GAP = 600_000
+GAP = HOUR  # silence that counts as a hole: long enough that the sparse test tape has covered bars, holes and several segments
 
 OHLC = "open high low close"
 TIERED = "delta_small delta_medium delta_large delta_whale"

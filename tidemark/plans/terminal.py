@@ -23,16 +23,16 @@ def tape_floor(spark, d):
     return rounded(rounded(tm.tape_floor(tape(spark, d), 2000.0), "buy sell", 4), "share")
 
 
-@query("news_relevance", f"""WITH n AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t, lower(source) AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '{tm.COINS.replace("(", "(?:")}') THEN 'coin' WHEN regexp_matches(s, '{tm.PRESS.replace("(", "(?:")}') THEN 'press' WHEN regexp_matches(t, '{tm.KEYWORDS.replace("(", "(?:")}') THEN 'keyword' WHEN regexp_matches(t, '{tm.VENUES.replace("(", "(?:")}') THEN 'venue' END AS why FROM n""")
+@query("news_relevance", f"""WITH n AS (SELECT doc_id, lower(text) AS t, lower(source) AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '{tm.COINS.replace("(", "(?:")}') THEN 'coin' WHEN regexp_matches(s, '{tm.PRESS.replace("(", "(?:")}') THEN 'press' WHEN regexp_matches(t, '{tm.KEYWORDS.replace("(", "(?:")}') THEN 'keyword' WHEN regexp_matches(t, '{tm.VENUES.replace("(", "(?:")}') THEN 'venue' END AS why FROM n""")
 def news_relevance(spark, d):
-    items = read(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"), "source", F.array().cast("array<string>").alias("symbols"))
+    items = read(spark, d, "documents").select("doc_id", F.col("text").alias("title"), "source", F.array().cast("array<string>").alias("symbols"))
     return tm.news_relevance(items).select("doc_id", "why")
 
 
-@query("news_counts", f"""WITH n AS (SELECT lower(split_part(text, chr(10), 1)) AS t, lower(source) AS s FROM documents), k AS (SELECT *, regexp_matches(t, '{tm.COINS.replace("(", "(?:")}') OR regexp_matches(s, '{tm.PRESS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.KEYWORDS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.VENUES.replace("(", "(?:")}') AS hit FROM n)
+@query("news_counts", f"""WITH n AS (SELECT lower(text) AS t, lower(source) AS s FROM documents), k AS (SELECT *, regexp_matches(t, '{tm.COINS.replace("(", "(?:")}') OR regexp_matches(s, '{tm.PRESS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.KEYWORDS.replace("(", "(?:")}') OR regexp_matches(t, '{tm.VENUES.replace("(", "(?:")}') AS hit FROM n)
 SELECT count(*) AS total, count(*) FILTER (hit) AS kept, count(*) FILTER (NOT coalesce(hit, false)) AS filtered, count(*) FILTER (regexp_matches(t, '\\b(?:bitcoin|btc)\\b')) AS btc FROM k""")
 def news_counts(spark, d):
-    return tm.news_counts(read(spark, d, "documents").select(F.element_at(F.split("text", "\n"), 1).alias("title"), "source", F.array().cast("array<string>").alias("symbols")))
+    return tm.news_counts(read(spark, d, "documents").select(F.col("text").alias("title"), "source", F.array().cast("array<string>").alias("symbols")))
 
 
 JOURNAL = "jn AS (SELECT trade_id, ts_ms, exchange AS tag, CASE WHEN qty <> 0 THEN round((price - 50) / 25, 4) END AS r FROM tape)"
