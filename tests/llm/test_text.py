@@ -212,3 +212,12 @@ def test_long_secrets_are_spans_to_their_end(spark):
     rows = {r["doc_id"]: r for r in pii.pii_spans(docs).collect()}
     assert rows[0]["n_secret"] == 1 and rows[0]["spans"].endswith(f":{text.index(' and more')}") and rows[99]["n_spans"] == 0
     assert "aB3" not in pii.redact(docs).filter("doc_id = 0").first()["text"]
+
+
+def test_labelled_sample_is_bounded_where_documents_repeat(spark):
+    from tidemark.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i % 5, f"text {i % 10}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    got = sorted(tuple(r) for r in labelled_sample(docs, labels, "toxic", 10).collect())
+    assert got == [(i, f"text {i}", i % 2) for i in range(5)]

@@ -143,7 +143,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_labelle
 
     The threshold on the hash comes from counts (of all rows, then of PARTS shares of the rows under a first,
     wide threshold), so nothing is sorted and the sample, which is broadcast to the documents, has at most
-    max_labelled rows whatever the tables' size. All labels are taken where they are fewer.
+    max_labelled rows whatever the tables' size. All labels are taken where they are fewer. Where a doc_id has
+    several texts, the first in order counts, so that repeated documents do not make the sample larger.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
     if training is not None:
@@ -158,4 +159,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_labelle
     while end < PARTS and total + counts.get(end, 0) <= max_labelled:
         total += counts.get(end, 0)
         end += 1
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows.filter(part < end)), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows.filter(part < end)), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
