@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import size_tier
-from tidemark.functions.windows import islands, previous
+from tidemark.functions.windows import islands
 from tidemark.operators.asof import asof_join
 from tidemark.sources.schemas import DAY_MS
 
@@ -48,11 +48,18 @@ def grid(spark: SparkSession, start_ms: int, end_ms: int, bar_ms: int) -> DataFr
 
 
 def holes(events: DataFrame, start_ms: int, end_ms: int, gap_ms: int, keys: tuple[str, ...] = ("exchange",)) -> DataFrame:
-    """h0, h1: silences longer than gap_ms, the window's head and tail included."""
-    seen = events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms)).select(*keys, "ts_ms").distinct()
-    inner = previous(seen, "h0", "ts_ms", list(keys)).select(*keys, F.coalesce("h0", F.lit(start_ms)).alias("h0"), F.col("ts_ms").alias("h1"))
-    tail = seen.groupBy(*keys).agg(F.max("ts_ms").alias("h0")).withColumn("h1", F.lit(end_ms).cast("long"))
-    return inner.unionByName(tail).filter(F.col("h1") - F.col("h0") > gap_ms)
+    """h0, h1: silences longer than gap_ms, the window's head and tail included.
+
+    Two events more than gap_ms apart lie in different cells of that width, so the first and last event of each
+    cell are enough: events are reduced by a partial aggregation and never sorted or shuffled as rows.
+    """
+    seen = events.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms))
+    cells = seen.groupBy(*keys, bar_of("ts_ms", max(gap_ms, 1)).alias("_cell")).agg(F.min("ts_ms").alias("_a"), F.max("ts_ms").alias("_z"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    before = F.struct(F.coalesce(F.lag("_z").over(w), F.lit(start_ms)).alias("h0"), F.col("_a").alias("h1"))
+    tail = F.when(F.lead("_a").over(w).isNull(), F.struct(F.col("_z").alias("h0"), F.lit(end_ms).cast("long").alias("h1")))
+    sides = cells.select(*keys, before.alias("_before"), tail.alias("_tail"))
+    return sides.select(*keys, F.explode(F.array_compact(F.array("_before", "_tail"))).alias("_h")).select(*keys, "_h.h0", "_h.h1").filter(F.col("h1") - F.col("h0") > gap_ms)
 
 
 def gap_by_bar(gaps: DataFrame, bar_ms: int, keys: tuple[str, ...] = ("exchange",)) -> DataFrame:

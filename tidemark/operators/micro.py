@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions.scalars import chi2_quantile
-from tidemark.functions.windows import by, ratio
+from tidemark.functions.windows import by, previous, ratio
 
 
 def autocovariances(df: DataFrame, most: int = 10, x: str = "dp", keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
@@ -119,7 +119,7 @@ def by_blocks(df: DataFrame, blocks: int, most: int = 10, x: str = "dp", ts: str
 
 def segment_moments(df: DataFrame, gap: int, x: str = "sign", order: str = "id") -> DataFrame:
     """Pooled first and second moments of a series cut where the id jumps by more than gap or the hour changes: n0, s0, ssq, n1, s1."""
-    w = by(["exchange"], order)
-    d = df.withColumn("_b", (F.col(order) - F.lag(order).over(w) > gap) | (F.col("hour") != F.lag("hour").over(w)))
-    d = d.withColumn("_p", F.when(~F.coalesce("_b", F.lit(True)), F.lag(x).over(w)))
+    d = previous(df.withColumn("_own", F.struct(F.col(order).alias("o"), F.col("hour").alias("h"), F.col(x).alias("x"))), "_was", "_own", ["exchange"], order, 1_000_000)
+    cut = (F.col(order) - F.col("_was.o") > gap) | (F.col("hour") != F.col("_was.h"))
+    d = d.withColumn("_p", F.when(~F.coalesce(cut, F.lit(True)), F.col("_was.x")))
     return d.groupBy("exchange", "day").agg(F.count(x).alias("n0"), F.sum(x).alias("s0"), F.sum(F.col(x) ** 2).alias("ssq"), F.count("_p").alias("n1"), F.sum(F.col(x) * F.col("_p")).alias("s1"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import snap
+from tidemark.functions.scalars import size_tier, snap
+from tidemark.functions.windows import running_sums
 from tidemark.operators.bars import TIERS, bar_of
-from tidemark.functions.scalars import size_tier
 from tidemark.operators.quality import first_of
 from tidemark.sources.schemas import DAY_MS
 
@@ -75,11 +75,10 @@ def vwap_sigma(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def anchored_vwap(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Running vwap, sigma and bands from the first row of each key."""
-    w = Window.partitionBy(*keys).orderBy("ts_ms", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    q, p = F.sum("qty").over(w), F.sum(F.col("price") * F.col("qty")).over(w)
-    q2 = F.sum(F.col("price") ** 2 * F.col("qty")).over(w)
-    out = trades.withColumn("vwap", F.try_divide(p, q))
-    out = out.withColumn("sigma", F.sqrt(F.greatest(F.try_divide(q2, q) - F.col("vwap") ** 2, F.lit(0.0))))
+    p, q = F.col("price"), F.col("qty")
+    out = running_sums(trades, {"_q": q, "_pq": p * q, "_ppq": p**2 * q}, keys)
+    out = out.withColumn("vwap", F.try_divide("_pq", "_q"))
+    out = out.withColumn("sigma", F.sqrt(F.greatest(F.try_divide("_ppq", "_q") - F.col("vwap") ** 2, F.lit(0.0)))).drop("_q", "_pq", "_ppq")
     return out.withColumns({"upper": F.col("vwap") + 2 * F.col("sigma"), "lower": F.col("vwap") - 2 * F.col("sigma")})
 
 

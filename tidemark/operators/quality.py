@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import previous, sessions
+from tidemark.functions.windows import previous
 from tidemark.sources.schemas import DAY_MS
 
 
@@ -36,9 +36,8 @@ def bad_values(trades: DataFrame) -> DataFrame:
 
 
 def inversions(df: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
-    """Rows whose time is before that of the row that arrived before."""
-    w = Window.partitionBy(*keys).orderBy(arrival)
-    return df.withColumn("_b", F.lag("ts_ms").over(w)).groupBy(*keys).agg(F.count(F.when(F.col("ts_ms") < F.col("_b"), 1)).alias("inversions"), F.max(F.col("_b") - F.col("ts_ms")).alias("worst_ms"))
+    """Rows whose time is before that of the row that arrived before; arrival is a number, sorted in chunks of a million."""
+    return previous(df, "_b", "ts_ms", keys, arrival, 1_000_000).groupBy(*keys).agg(F.count(F.when(F.col("ts_ms") < F.col("_b"), 1)).alias("inversions"), F.max(F.col("_b") - F.col("ts_ms")).alias("worst_ms"))
 
 
 def gap_stats(df: DataFrame, gap_ms: int) -> DataFrame:
@@ -50,8 +49,7 @@ def gap_stats(df: DataFrame, gap_ms: int) -> DataFrame:
 
 def id_holes(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """Runs of missing ids, as first and last missing."""
-    w = Window.partitionBy(*keys).orderBy(id_col)
-    d = df.select(*keys, id_col).distinct().withColumn("_n", F.lead(id_col).over(w))
+    d = previous(df.select(*keys, id_col).distinct(), "_n", id_col, keys, id_col, 1_000_000, ahead=True)
     return d.filter(F.col("_n") > F.col(id_col) + 1).select(*keys, (F.col(id_col) + 1).alias("first_missing"), (F.col("_n") - 1).alias("last_missing"))
 
 
@@ -117,9 +115,15 @@ def table_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataF
 
 
 def bursts(df: DataFrame, gap_ms: int, keys: list[str]) -> DataFrame:
-    """Sessions: events no more than gap_ms apart."""
-    d = df.withColumn("session", sessions(F.col("ts_ms"), Window.partitionBy(*keys).orderBy("ts_ms"), gap_ms))
-    return d.groupBy(*keys, "session").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n"))
+    """Sessions: events no more than gap_ms apart.
+
+    As in `bars.holes`, a cell of that width lies in one session: first, last and count by cell are enough to find them.
+    """
+    cells = df.groupBy(*keys, F.floor(F.col("ts_ms") / max(gap_ms, 1)).alias("_cell")).agg(F.min("ts_ms").alias("_a"), F.max("ts_ms").alias("_z"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    d = cells.withColumn("_new", (F.col("_a") - F.lag("_z").over(w) > gap_ms).cast("int"))
+    d = d.withColumn("session", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long"))
+    return d.groupBy(*keys, "session").agg(F.min("_a").alias("first_ms"), F.max("_z").alias("last_ms"), F.sum("_n").alias("n"))
 
 
 def quiet_periods(sessions_df: DataFrame, keys: list[str]) -> DataFrame:

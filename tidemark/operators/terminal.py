@@ -1,20 +1,18 @@
 """The terminal's tape and book operators: filters and tiers, journals, screens, trailing windows, detectors and alerts.
 
-Rules that remember what they kept or fired are ordered folds by series (applyInPandas); everything
-else is a window or an aggregate.
+Rules that remember what they kept or fired pass one row from a chunk of time to the next (`windows.spaced`);
+everything else is a window or an aggregate.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import iso_week, size_tier, utc_day
-from tidemark.functions.windows import by, ratio, running_sums
+from tidemark.functions.windows import by, nearest_rank, overlapped, previous, ratio, running_sums, spaced
 
 
 def valid_trade() -> Column:
@@ -94,8 +92,8 @@ def cvd(trades: DataFrame) -> DataFrame:
 def intensity(trades: DataFrame, short_ms: int, long_ms: int) -> DataFrame:
     """At each print: prints and notional a second over two trailing windows (now - w, now], and the short rate's z against the completed short buckets before."""
     v = F.col("price") * F.col("qty")
-    w = Window.partitionBy("exchange").orderBy("ts_ms")
-    t = trades
+    w = Window.partitionBy("exchange", "_chunk").orderBy("ts_ms")
+    t = overlapped(trades, max(short_ms, long_ms))
     for name, ms in (("short", short_ms), ("long", long_ms)):
         frame = w.rangeBetween(-(ms - 1), 0)
         t = t.withColumns({f"rate_{name}": F.count("*").over(frame) * 1000.0 / ms, f"notional_{name}": F.sum(v).over(frame) * 1000.0 / ms})
@@ -103,15 +101,16 @@ def intensity(trades: DataFrame, short_ms: int, long_ms: int) -> DataFrame:
     counts = trades.groupBy("exchange", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     past = Window.partitionBy("exchange").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("exchange", "bucket", F.avg("n").over(past).alias("_m"), F.stddev_samp("n").over(past).alias("_s"))
-    t = t.withColumn("bucket", bucket).join(counts, ["exchange", "bucket"])
+    t = t.filter("_own").drop("_own", "_chunk").withColumn("bucket", bucket).join(counts, ["exchange", "bucket"])
     return t.withColumn("z", ratio(F.col("rate_short") * short_ms / 1000 - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def trailing_by_level(trades: DataFrame, ms: int, tick: float) -> DataFrame:
     """Bought and sold quantity at a print's level over the trailing window."""
-    t = trades.withColumn("level", F.floor(F.round(F.col("price") / tick, 9)).cast("long"))
-    w = Window.partitionBy("exchange", "level").orderBy("ts_ms").rangeBetween(-(ms - 1), 0)
-    return t.withColumns({"buy": F.sum(F.when(F.col("aggressor_buy"), F.col("qty")).otherwise(0.0)).over(w), "sell": F.sum(F.when(~F.col("aggressor_buy"), F.col("qty")).otherwise(0.0)).over(w)})
+    t = overlapped(trades.withColumn("level", F.floor(F.round(F.col("price") / tick, 9)).cast("long")), ms)
+    w = Window.partitionBy("exchange", "level", "_chunk").orderBy("ts_ms").rangeBetween(-(ms - 1), 0)
+    t = t.withColumns({"buy": F.sum(F.when(F.col("aggressor_buy"), F.col("qty")).otherwise(0.0)).over(w), "sell": F.sum(F.when(~F.col("aggressor_buy"), F.col("qty")).otherwise(0.0)).over(w)})
+    return t.filter("_own").drop("_own", "_chunk")
 
 
 def last_prints(trades: DataFrame, n: int, least: float = 0.0) -> DataFrame:
@@ -122,8 +121,7 @@ def last_prints(trades: DataFrame, n: int, least: float = 0.0) -> DataFrame:
 def trade_circles(trades: DataFrame, most: float = 3.0) -> DataFrame:
     """Add size: root of notional over its nearest-rank 95th percentile, capped."""
     v = F.col("price") * F.col("qty")
-    ranked = trades.select("exchange", v.alias("v"), F.row_number().over(Window.partitionBy("exchange").orderBy(v)).alias("i"), F.count("*").over(Window.partitionBy("exchange")).alias("n"))
-    p95 = ranked.filter(F.col("i") == F.ceil(0.95 * F.col("n"))).select("exchange", F.col("v").alias("p95"))
+    p95 = nearest_rank(trades.select("exchange", v.alias("v")), "v", 0.95, ["exchange"], "p95")
     return trades.join(F.broadcast(p95), "exchange").withColumn("size", F.least(F.sqrt(F.coalesce(F.try_divide(v, F.col("p95")), F.lit(0.0))), F.lit(most)))  # one row for each venue
 
 
@@ -151,49 +149,21 @@ def absorption(prints: DataFrame, bars: DataFrame, times: float = 3.0) -> DataFr
     return d.filter(F.when(F.col("buy") >= F.col("sell"), F.col("_no_high")).otherwise(F.col("_no_low"))).select("exchange", "bar", "level", F.when(F.col("buy") >= F.col("sell"), "buy").otherwise("sell").alias("side"), v.alias("volume"))
 
 
-# -- folds
-
-
-def _by_series(df: DataFrame, columns: list[str], schema: str, run) -> DataFrame:
-    """run gets one venue's rows in time order and returns a frame of the schema."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return run(g.sort_values(["ts_ms", "trade_id"]).reset_index(drop=True))
-
-    return df.select("exchange", "ts_ms", "trade_id", *columns).groupBy("exchange").applyInPandas(one, schema)
+# -- rules that remember what they kept or fired
 
 
 def downsample(df: DataFrame, ms: int) -> DataFrame:
     """Rows at least ms after the last one that was kept (which is no tumbling window)."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], -math.inf
-        for i, t in enumerate(g["ts_ms"].to_numpy()):
-            if t - last >= ms:
-                keep.append(i)
-                last = t
-        return g.iloc[keep]
-
-    return _by_series(df, [], "exchange string, ts_ms long, trade_id string", run)
+    return spaced(df.select("exchange", "ts_ms", "trade_id"), ms, ["exchange"]).filter("kept").select("exchange", "ts_ms", "trade_id")
 
 
 def blocks(trades: DataFrame, ms: int) -> DataFrame:
     """Consecutive prints of one side and price within ms of their block's first print, as one."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out, start = [], None
-        for t, p, q, side in zip(g["ts_ms"], g["price"], g["qty"], g["aggressor_buy"]):
-            if start is not None and (side, p) == start and t - out[-1][0] <= ms:
-                out[-1][3] += q
-                out[-1][4] += 1
-            else:
-                out.append([t, p, side, q, 1])
-                start = (side, p)
-        f = pd.DataFrame(out, columns=["ts_ms", "price", "aggressor_buy", "qty", "prints"])
-        f.insert(0, "exchange", g["exchange"].iloc[0])
-        return f
-
-    return _by_series(trades, ["price", "qty", "aggressor_buy"], "exchange string, ts_ms long, price double, aggressor_buy boolean, qty double, prints long", run)
+    t = trades.select("exchange", "ts_ms", "trade_id", "price", "qty", "aggressor_buy").withColumn("_is", F.struct("aggressor_buy", "price"))
+    t = previous(t, "_was", "_is", ["exchange"], ties=("trade_id",)).withColumn("_turn", ~F.col("_was").eqNullSafe(F.col("_is"))).drop("_is", "_was")
+    d = spaced(t, ms + 1, ["exchange"], "_turn")
+    g = d.groupBy("exchange", F.col("start_ms").alias("ts_ms"), "start_id", "price", "aggressor_buy").agg(F.sum("qty").alias("qty"), F.count("*").alias("prints"))
+    return g.select("exchange", "ts_ms", "price", "aggressor_buy", "qty", "prints")
 
 
 def volume_clock(trades: DataFrame, volume: float) -> DataFrame:
@@ -208,19 +178,10 @@ def volume_clock(trades: DataFrame, volume: float) -> DataFrame:
 def alerts(df: DataFrame, rule: str, level: float, cooldown_ms: int, value: str = "price") -> DataFrame:
     """Times at which a rule fires, no sooner than cooldown_ms after it fired last: above, below, cross_up, cross_down, change (of at least level against the row before, as a share)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g[value].to_numpy(float)
-        before = np.concatenate([[np.nan], x[:-1]])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            hit = {"above": x > level, "below": x < level, "cross_up": (before <= level) & (x > level), "cross_down": (before >= level) & (x < level), "change": np.abs(x / before - 1) >= level}[rule]
-        keep, last = [], -math.inf
-        for i in np.flatnonzero(hit):
-            if g["ts_ms"].iloc[i] - last >= cooldown_ms:
-                keep.append(i)
-                last = g["ts_ms"].iloc[i]
-        return g.iloc[keep][["exchange", "ts_ms", value]]
-
-    return _by_series(df, [value], f"exchange string, ts_ms long, {value} double", run)
+    x, before = F.col(value), F.col("_before")
+    d = previous(df.select("exchange", "ts_ms", "trade_id", value), "_before", value, ["exchange"], ties=("trade_id",))
+    hit = {"above": x > level, "below": x < level, "cross_up": (before <= level) & (x > level), "cross_down": (before >= level) & (x < level), "change": F.abs(F.try_divide(x, before) - 1) >= level}[rule]
+    return spaced(d.filter(hit).drop("_before"), cooldown_ms, ["exchange"]).filter("kept").select("exchange", "ts_ms", value)
 
 
 def sampled_corr(df: DataFrame, ms: int) -> DataFrame:

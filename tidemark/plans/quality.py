@@ -31,9 +31,9 @@ def bad_values(spark, d):
     return q.bad_values(tape(spark, d))
 
 
-@query("inversions", f"{T}, x AS (SELECT exchange, ts_ms, lag(ts_ms) OVER (PARTITION BY exchange ORDER BY trade_id) AS b FROM tape) SELECT exchange, count(*) FILTER (ts_ms < b) AS inversions, max(b - ts_ms) AS worst_ms FROM x GROUP BY 1")
+@query("inversions", f"{T}, x AS (SELECT exchange, ts_ms, lag(ts_ms) OVER (PARTITION BY exchange ORDER BY CAST(trade_id AS BIGINT)) AS b FROM tape) SELECT exchange, count(*) FILTER (ts_ms < b) AS inversions, max(b - ts_ms) AS worst_ms FROM x GROUP BY 1")
 def inversions(spark, d):
-    return q.inversions(tape(spark, d), "trade_id", ["exchange"])
+    return q.inversions(tape(spark, d).withColumn("arrival", F.col("trade_id").cast("long")), "arrival", ["exchange"])
 
 
 @query("gap_stats", f"{T}, x AS (SELECT exchange, ts_ms - lag(ts_ms) OVER (PARTITION BY exchange ORDER BY ts_ms) AS step FROM tape) SELECT exchange, count(*) FILTER (step > 600000) AS gaps, max(step) FILTER (step > 600000) AS longest, CAST(coalesce(sum(step) FILTER (step > 600000), 0) AS BIGINT) AS total, round(quantile_cont(step, 0.95), 3) + 0.0 AS p95 FROM x WHERE step IS NOT NULL GROUP BY 1")
