@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars, books, profiles, terminal as tm
 from tidemark.plans.profiles import FOOT
 from tidemark.plans.registry import query, rounded
-from tidemark.sources.schemas import DAY_MS, TAPE_SQL, book, read, tape
+from tidemark.sources.schemas import DAY_MS, TAPE_SQL, book, book_sql, read, tape
 
 T = f"WITH {TAPE_SQL}"
 VALID = "v AS (SELECT *, price * qty AS notional FROM tape WHERE price > 0 AND qty > 0)"
@@ -92,7 +92,12 @@ def trade_circles(spark, d):
     return rounded(tm.trade_circles(tape(spark, d)).select("trade_id", "size"), "size")
 
 
-@query("opening_type")
+@query("opening_type", f"""{T}, b AS (SELECT exchange, ts_ms // 3600000 AS bar, ts_ms // {DAY_MS} AS day, first(price ORDER BY ts_ms, trade_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts_ms, trade_id) AS close FROM tape GROUP BY 1, 2, 3),
+i AS (SELECT *, row_number() OVER w AS i, first(open) OVER w AS o FROM b WINDOW w AS (PARTITION BY exchange, day ORDER BY bar)), s AS (SELECT *, sign(close - o) AS s FROM i WHERE i <= 6),
+x AS (SELECT *, s * lag(s) OVER (PARTITION BY exchange, day ORDER BY bar) < 0 AS x FROM s),
+g AS (SELECT exchange, day, count(*) AS n, count(*) FILTER (x) AS c, last(s ORDER BY bar) AS l, max(high) - first(o) AS up, first(o) - min(low) AS down FROM x GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN l > 0 THEN down ELSE up END AS against, CASE WHEN l > 0 THEN up ELSE down END AS along FROM g)
+SELECT exchange, day, n, CASE WHEN n < 6 THEN 'pending' WHEN c = 0 AND against <= 0.1 * along THEN 'drive' WHEN c <= 1 AND against <= 0.5 * along THEN 'test_drive' WHEN c <= 1 THEN 'rejection_reverse' ELSE 'auction' END AS kind FROM a""")
 def opening_type(spark, d):
     b = bars.trade_bars(tape(spark, d), 3_600_000).withColumn("day", F.floor(F.col("bar") / 24).cast("long"))
     return tm.opening_type(b, 6)
@@ -111,10 +116,14 @@ def downsample(spark, d):
     return tm.downsample(tape(spark, d), 21_600_000).select("exchange", "ts_ms")
 
 
-@query("print_blocks")
+@query("print_blocks", f"""WITH RECURSIVE {TAPE_SQL}, t AS (SELECT exchange, ts_ms, trade_id, floor(price / 20) * 20.0 AS price, qty, aggressor_buy FROM tape),
+f AS (SELECT *, CASE WHEN lag(price) OVER w IS DISTINCT FROM price OR lag(aggressor_buy) OVER w IS DISTINCT FROM aggressor_buy THEN 1 ELSE 0 END AS f FROM t WINDOW w AS (PARTITION BY exchange ORDER BY ts_ms, trade_id)),
+r AS (SELECT *, sum(f) OVER (PARTITION BY exchange ORDER BY ts_ms, trade_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+k AS (SELECT exchange, run, min(ts_ms) AS s FROM r GROUP BY 1, 2 UNION ALL SELECT k.exchange, k.run, (SELECT min(r.ts_ms) FROM r WHERE r.exchange = k.exchange AND r.run = k.run AND r.ts_ms > k.s + 3600000) FROM k WHERE k.s IS NOT NULL)
+SELECT r.exchange, k.s AS ts_ms, r.price, r.aggressor_buy, round(sum(r.qty), 6) + 0.0 AS qty, count(*) AS prints FROM r JOIN k ON r.exchange = k.exchange AND r.run = k.run AND k.s <= r.ts_ms AND r.ts_ms <= k.s + 3600000 GROUP BY 1, r.run, 2, 3, 4""")
 def print_blocks(spark, d):
     t = tape(spark, d).withColumn("price", F.floor(F.col("price") / 20) * 20.0)
-    return tm.blocks(t, 3_600_000)
+    return rounded(tm.blocks(t, 3_600_000), "qty")
 
 
 @query("volume_clock", f"""{T}, a AS (SELECT *, sum(qty) OVER (PARTITION BY exchange ORDER BY ts_ms, trade_id ROWS UNBOUNDED PRECEDING) AS c1 FROM tape WHERE qty > 0), b AS (SELECT *, c1 - qty AS c0, unnest(range(CAST(floor((c1 - qty) / 1000) AS BIGINT), CAST(ceil(c1 / 1000) AS BIGINT))) AS k FROM a),
@@ -135,7 +144,13 @@ def sampled_corr(spark, d):
     return rounded(tm.sampled_corr(tape(spark, d), DAY_MS), "r")
 
 
-@query("walls")
+LEVELS = "lv AS (SELECT exchange, ts_ms, 'bid' AS side, x[1] AS price, x[2] AS qty FROM (SELECT exchange, ts_ms, unnest(bids) AS x FROM book) UNION ALL SELECT exchange, ts_ms, 'ask', x[1], x[2] FROM (SELECT exchange, ts_ms, unnest(asks) AS x FROM book))"
+
+
+@query("walls", f"""WITH {book_sql()}, {LEVELS}, sn AS (SELECT exchange, ts_ms, row_number() OVER (PARTITION BY exchange ORDER BY ts_ms) AS no FROM (SELECT DISTINCT exchange, ts_ms FROM lv)),
+rk AS (SELECT exchange, ts_ms, qty, row_number() OVER (PARTITION BY exchange, ts_ms ORDER BY qty) AS i, count(*) OVER (PARTITION BY exchange, ts_ms) AS n FROM lv), pc AS (SELECT exchange, ts_ms, qty AS p95 FROM rk WHERE i = greatest(ceil(0.95 * n), 1)),
+big AS (SELECT lv.*, no, no - row_number() OVER (PARTITION BY lv.exchange, side, price ORDER BY no) AS g FROM lv JOIN pc ON lv.exchange = pc.exchange AND lv.ts_ms = pc.ts_ms AND qty >= 0.6 * p95 JOIN sn ON lv.exchange = sn.exchange AND lv.ts_ms = sn.ts_ms)
+SELECT exchange, side, price, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS n, max(qty) AS qty, CASE WHEN max(no) = (SELECT max(no) FROM sn WHERE sn.exchange = big.exchange) THEN 'standing' ELSE 'gone' END AS state FROM big GROUP BY exchange, side, price, g HAVING count(*) >= 2""")
 def walls(spark, d):
     f = books.parsed(book(spark, d)).select("exchange", "ts_ms", F.explode(F.array(F.struct(F.lit("bid").alias("side"), F.col("bids").alias("l")), F.struct(F.lit("ask").alias("side"), F.col("asks").alias("l")))).alias("s")).select("exchange", "ts_ms", "s.side", F.explode("s.l").alias("x"))
     return tm.walls(f.select("exchange", "ts_ms", "side", F.col("x")[0].alias("price"), F.col("x")[1].alias("qty")), 0.6, 2)
