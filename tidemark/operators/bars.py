@@ -127,29 +127,40 @@ def causal_bucket_volume(daily: DataFrame, buckets_per_day: int) -> DataFrame:
     return daily.withColumn("_past", past).select("exchange", "day", (median / buckets_per_day).alias("bucket_volume"))
 
 
-def volume_buckets(trades: DataFrame, buckets_per_day: int = 50, window: int = 50, bucket_volume: float | None = None) -> DataFrame:
+def volume_buckets(trades: DataFrame, buckets_per_day: int = 50, window: int = 50, bucket_volume: float | None = None, gap_ms: int = 60_000) -> DataFrame:
     """Day-anchored buckets of equal volume; a trade is split exactly where a bucket ends; only complete buckets.
 
-    exchange, day, k, open_ms, close_ms, buy, sell, imbalance and vpin (mean imbalance of the last window buckets).
+    exchange, day, k, open_ms, close_ms, buy, sell, trade_count, duration_s, imbalance and vpin (mean imbalance of the
+    last window buckets) with window_span_s, the time that those buckets took, and window_gap_s, the silences longer than
+    gap_ms inside it: those within its buckets and between them, each counted in full.
     """
     t = trades.filter(F.col("qty") > 0).withColumn("day", bar_of("ts_ms", DAY_MS))
     if bucket_volume is None:
         t = t.join(causal_bucket_volume(daily_volume(trades), buckets_per_day), ["exchange", "day"]).filter(F.col("bucket_volume") > 0)
     else:
         t = t.withColumn("bucket_volume", F.lit(float(bucket_volume)))
-    w = Window.partitionBy("exchange", "day").orderBy("ts_ms", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("c1", F.sum("qty").over(w)).withColumn("c0", F.col("c1") - F.col("qty"))
+    order = Window.partitionBy("exchange", "day").orderBy("ts_ms", "trade_id")
+    t = t.withColumns({"c1": F.sum("qty").over(order.rowsBetween(Window.unboundedPreceding, 0)), "step": F.col("ts_ms") - F.lag("ts_ms").over(order)}).withColumn("c0", F.col("c1") - F.col("qty"))
     v = F.col("bucket_volume")
     first, last = F.floor(F.col("c0") / v).cast("long"), (F.ceil(F.col("c1") / v) - 1).cast("long")
     t = t.withColumn("k", F.explode(F.sequence(first, F.greatest(first, last))))
     t = t.withColumn("part", F.least("c1", (F.col("k") + 1) * v) - F.greatest("c0", F.col("k") * v)).filter("part > 0")
     g = t.groupBy("exchange", "day", "k").agg(
         F.max("bucket_volume").alias("bucket_volume"), F.min("ts_ms").alias("open_ms"), F.max("ts_ms").alias("close_ms"), F.sum("part").alias("volume"),
-        F.sum(F.when(F.col("aggressor_buy"), F.col("part")).otherwise(0.0)).alias("buy"), F.sum(F.when(~F.col("aggressor_buy"), F.col("part")).otherwise(0.0)).alias("sell"),
+        F.sum(F.when(F.col("aggressor_buy"), F.col("part")).otherwise(0.0)).alias("buy"), F.sum(F.when(~F.col("aggressor_buy"), F.col("part")).otherwise(0.0)).alias("sell"), F.count("*").alias("trade_count"),
+        F.coalesce(F.sum(F.when((F.col("c0") > F.col("k") * v) & (F.col("step") > gap_ms), F.col("step"))), F.lit(0)).alias("_inner"),  # the print before is in the bucket too
     )
     g = g.filter(F.col("volume") >= F.col("bucket_volume") * (1 - 1e-9)).withColumn("imbalance", F.abs(F.col("buy") - F.col("sell")) / F.col("bucket_volume"))
-    roll = Window.partitionBy("exchange").orderBy("day", "k").rowsBetween(-(window - 1), 0)
-    return g.withColumn("vpin", F.when(F.count("imbalance").over(roll) == window, F.avg("imbalance").over(roll)))
+    own = Window.partitionBy("exchange").orderBy("day", "k")
+    roll = own.rowsBetween(-(window - 1), 0)
+    full = F.count("*").over(roll) == window
+    silence = F.col("open_ms") - F.lag("close_ms").over(own)
+    g = g.withColumn("_between", F.when(silence > gap_ms, silence).otherwise(0))
+    return g.withColumns({
+        "duration_s": (F.col("close_ms") - F.col("open_ms")) / 1000, "vpin": F.when(full, F.avg("imbalance").over(roll)),
+        "window_span_s": F.when(full, (F.col("close_ms") - F.lag("open_ms", window - 1).over(own)) / 1000),
+        "window_gap_s": F.when(full, (F.sum("_inner").over(roll) + F.sum("_between").over(roll) - F.lag("_between", window - 1).over(own)) / 1000),
+    }).drop("_inner", "_between")
 
 
 def vpin_on_grid(buckets: DataFrame, bars: DataFrame, bar_ms: int) -> DataFrame:

@@ -102,6 +102,26 @@ def ladder_rows(snapshots: DataFrame, tick: float, rows: int) -> DataFrame:
     return g.withColumns({"row": F.row_number().over(w), "total": F.sum("qty").over(w.rowsBetween(Window.unboundedPreceding, 0)), "ticks": F.round(away / tick, 6)}).filter(F.col("row") <= rows)
 
 
+def depth_velocity(snapshots: DataFrame, tick: float, rows: int, window_ms: int) -> DataFrame:
+    """Change of the quantity resting at each price bucket, a second, from the oldest to the newest snapshot of the window that ends at a venue's newest.
+
+    A bucket that one of the two lacks holds 0 there; 0 also where the window has one snapshot only.
+    """
+    times = snapshots.groupBy("exchange").agg(F.max("ts_ms").alias("_last"))
+    near = snapshots.join(times, "exchange").filter(F.col("ts_ms") >= F.col("_last") - window_ms)
+    ends = near.groupBy("exchange").agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"))
+    two = snapshots.join(ends, "exchange").filter(F.col("ts_ms").isin(F.col("_first"), F.col("_last")))
+    at = ladder_rows(two.drop("_first", "_last"), tick, rows).join(ends, "exchange")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("ts_ms") == F.col(c), F.col("qty"))), F.lit(0.0))
+    g = at.groupBy("exchange", "price").agg(total("_last").alias("qty"), total("_first").alias("_was"), ((F.max("_last") - F.max("_first")) / 1000).alias("_s"))
+    return g.select("exchange", "price", "qty", F.coalesce(ratio(F.col("qty") - F.col("_was"), F.col("_s")), F.lit(0.0)).alias("velocity"))
+
+
+def depth_range(snapshots: DataFrame, tick: float, rows: int) -> DataFrame:
+    """Lowest and highest price bucket of each snapshot."""
+    return ladder_rows(snapshots, tick, rows).groupBy("exchange", "ts_ms").agg(F.min("price").alias("low"), F.max("price").alias("high"))
+
+
 def merged_book(snapshots: DataFrame, tick: float, top: int = 10) -> DataFrame:
     """Several venues' books at one instant: each cut to its best `top` levels, then added up by price with a venue map."""
     f = parsed(snapshots).select("exchange", "ts_ms", F.explode(F.array(F.struct(F.lit("bid").alias("side"), F.slice("bids", 1, top).alias("l")), F.struct(F.lit("ask").alias("side"), F.slice("asks", 1, top).alias("l")))).alias("s"))

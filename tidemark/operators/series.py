@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import expected_max_sharpe, min_backtest_length
-from tidemark.functions.windows import by, finite, ratio
+from tidemark.functions.windows import by, finite, ratio, running_sums
 from tidemark.operators.quality import first_of
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -215,7 +215,7 @@ def pulled_walls(levels: DataFrame, trades: DataFrame, times: float = 8.0, withi
     """Large levels that vanished soon after they came with little traded at their price (spoof), or traded far more than they ever showed (iceberg).
 
     levels: exchange, ts_ms, side, price, qty. A level is large from `times` its snapshot's median on. Runs of snapshots are found by gaps and
-    islands; trades are matched by (exchange, price), which bounds the join to prints at those prices.
+    islands; what was traded at a price while a run stood is a difference of running sums, so prints are not joined with runs.
     """
     med = levels.groupBy("exchange", "ts_ms").agg(F.percentile("qty", F.lit(0.5)).alias("_m"))
     snaps = levels.select("exchange", "ts_ms").distinct().withColumn("no", F.row_number().over(by("exchange", "ts_ms"))).withColumn("next_ms", F.lead("ts_ms").over(by("exchange", "ts_ms")))
@@ -223,8 +223,12 @@ def pulled_walls(levels: DataFrame, trades: DataFrame, times: float = 8.0, withi
     d = d.withColumn("_g", F.col("no") - F.row_number().over(Window.partitionBy("exchange", "side", "price").orderBy("no")))
     runs = d.groupBy("exchange", "side", "price", "_g").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.max_by("next_ms", "ts_ms").alias("gone_ms"), F.max("qty").alias("shown")).drop("_g")
     t = trades.select("exchange", "price", F.col("ts_ms").alias("_t"), F.col("qty").alias("_q"))
-    hit = runs.join(t, ["exchange", "price"], "left").withColumn("_q", F.when(F.col("_t").between(F.col("first_ms"), F.coalesce("gone_ms", "last_ms")), F.col("_q")))
-    g = hit.groupBy("exchange", "side", "price", "first_ms", "last_ms", "gone_ms", "shown").agg(F.coalesce(F.sum("_q"), F.lit(0.0)).alias("traded"))
+    # the sum at a price between two times is the difference of two running sums: each run puts in one mark before its first time and one after its last
+    run = F.struct("side", "first_ms", "last_ms", "gone_ms", "shown")
+    mark = lambda at, side: runs.select("exchange", "price", at.alias("ts_ms"), F.lit(side).alias("_side"), F.lit(0.0).alias("_q"), run.alias("_run"))
+    t = t.join(runs.select("exchange", "price").distinct(), ["exchange", "price"], "left_semi").select("exchange", "price", F.col("_t").alias("ts_ms"), F.lit(0).alias("_side"), "_q", F.lit(None).cast(runs.select(run.alias("r")).schema["r"].dataType).alias("_run"))
+    sums = running_sums(t.unionByName(mark(F.col("first_ms"), -1)).unionByName(mark(F.coalesce("gone_ms", "last_ms"), 1)), {"_sum": F.col("_q")}, ["exchange", "price"], ties=("_side",))
+    g = sums.filter(F.col("_side") != 0).groupBy("exchange", "price", "_run").agg(F.round(F.sum(F.col("_side") * F.col("_sum")), 9).alias("traded")).select("exchange", "price", "_run.*", "traded")
     kind = F.when(F.col("traded") >= 3 * F.col("shown"), "iceberg").when(F.col("gone_ms").isNotNull() & (F.col("gone_ms") - F.col("first_ms") <= within_ms) & (F.col("traded") < cover * F.col("shown")), "spoof").otherwise("wall")
     return g.withColumn("kind", kind)
 

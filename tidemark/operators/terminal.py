@@ -113,6 +113,22 @@ def trailing_by_level(trades: DataFrame, ms: int, tick: float) -> DataFrame:
     return t.filter("_own").drop("_own", "_chunk")
 
 
+def trailing_sum(events: DataFrame, value: str, ms: int, name: str, keys: tuple[str, ...] = ("exchange",)) -> DataFrame:
+    """Add name: the sum of value over (now - ms, now] at each event, like the notional liquidated in the last minutes."""
+    w = Window.partitionBy(*keys, "_chunk").orderBy("ts_ms").rangeBetween(-(ms - 1), 0)
+    return overlapped(events, ms).withColumn(name, F.sum(value).over(w)).filter("_own").drop("_own", "_chunk")
+
+
+def leg_cvd(trades: DataFrame, perps: list[str], sample_ms: int) -> DataFrame:
+    """Running signed notional of perpetual and spot venues at the end of each closed bucket with prints; the newest bucket is still open and left out."""
+    x = F.when(F.col("aggressor_buy"), 1.0).otherwise(-1.0) * F.col("price") * F.col("qty")
+    perp = F.col("exchange").isin(perps)
+    g = trades.filter(x != 0).groupBy((F.floor(F.col("ts_ms") / sample_ms) * sample_ms).cast("long").alias("ts_ms")).agg(F.sum(F.when(perp, x).otherwise(0.0)).alias("_p"), F.sum(F.when(~perp, x).otherwise(0.0)).alias("_s"))
+    g = running_sums(g, {"cvd_perp": F.col("_p"), "cvd_spot": F.col("_s")}, [], ties=())
+    newest = g.agg(F.max("ts_ms").alias("_end"))
+    return g.join(F.broadcast(newest), F.col("ts_ms") < F.col("_end")).select("ts_ms", "cvd_perp", "cvd_spot")  # one row
+
+
 def last_prints(trades: DataFrame, n: int, least: float = 0.0) -> DataFrame:
     """The newest n prints from a notional on."""
     return trades.filter(F.col("price") * F.col("qty") >= least).orderBy(F.desc("ts_ms"), F.desc("trade_id")).limit(n)

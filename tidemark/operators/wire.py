@@ -89,6 +89,11 @@ def binance_crowding(df: DataFrame, metrics: dict[str, str], symbol: str) -> Dat
     return d.select(F.lit("binance").alias("exchange"), F.coalesce("x.symbol", F.lit(symbol)).alias("symbol"), F.col("x.timestamp").alias("ts_ms"), F.explode(rows).alias("r")).select("exchange", "symbol", "ts_ms", "r.*").filter("value is not null")
 
 
+def binance_oi_hist(df: DataFrame, symbol: str) -> DataFrame:
+    """Open interest by period, in coins and in dollars, as two rows each: neither is derived from the other."""
+    return binance_crowding(df, {"sumOpenInterest": "oi_sum_coin", "sumOpenInterestValue": "oi_sum_usd"}, symbol)
+
+
 def okx_trades(df: DataFrame, contract: float = CONTRACT) -> DataFrame:
     d = parse(df, "data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string>>").select(F.explode("f.data").alias("x"))
     return d.select(F.lit("okx").alias("exchange"), F.col("x.instId").alias("symbol"), F.col("x.tradeId").alias("trade_id"), whole("x.ts").alias("ts_ms"), num("x.px").alias("price"), (num("x.sz") * contract).alias("qty"), (F.col("x.side") == "buy").alias("aggressor_buy"))

@@ -109,9 +109,16 @@ b1 AS (SELECT *, abs(buy - sell) / bucket_volume AS imbalance FROM b0 WHERE volu
 buckets AS (SELECT *, CASE WHEN count(*) OVER w = 10 THEN avg(imbalance) OVER w END AS vpin FROM b1 WINDOW w AS (PARTITION BY exchange ORDER BY day, k ROWS 9 PRECEDING))"""
 
 
-@query("volume_buckets", f"WITH {TAPE_SQL}, {BUCKETS_SQL} SELECT exchange, day, k, open_ms, close_ms, {sql_rounded('buy sell imbalance vpin')} FROM buckets")
+CLOCK = "buy sell imbalance vpin duration_s window_span_s window_gap_s"
+
+
+@query("volume_buckets", f"""WITH {TAPE_SQL}, {BUCKETS_SQL}, st AS (SELECT exchange, day, k, ts_ms - lag(ts_ms) OVER (PARTITION BY exchange, day, k ORDER BY ts_ms) AS dt FROM t3 WHERE part > 0),
+si AS (SELECT exchange, day, k, count(*) AS trade_count, coalesce(sum(dt) FILTER (dt > 600000), 0) AS within_ms FROM st GROUP BY 1, 2, 3),
+be AS (SELECT b.*, trade_count, within_ms, CASE WHEN open_ms - lag(close_ms) OVER w > 600000 THEN open_ms - lag(close_ms) OVER w ELSE 0 END AS between_ms FROM buckets b JOIN si USING (exchange, day, k) WINDOW w AS (PARTITION BY exchange ORDER BY day, k)),
+wi AS (SELECT *, (close_ms - open_ms) / 1000 AS duration_s, (close_ms - lag(open_ms, 9) OVER o) / 1000 AS window_span_s, CASE WHEN lag(open_ms, 9) OVER o IS NOT NULL THEN (sum(within_ms) OVER w + sum(between_ms) OVER (PARTITION BY exchange ORDER BY day, k ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) / 1000 END AS window_gap_s FROM be WINDOW o AS (PARTITION BY exchange ORDER BY day, k), w AS (PARTITION BY exchange ORDER BY day, k ROWS 9 PRECEDING))
+SELECT exchange, day, k, open_ms, close_ms, trade_count, {sql_rounded(CLOCK)} FROM wi""")
 def volume_buckets(spark, d):
-    return rounded(bars.volume_buckets(tape(spark, d), 20, 10).select("exchange", "day", "k", "open_ms", "close_ms", "buy", "sell", "imbalance", "vpin"), "buy sell imbalance vpin")
+    return rounded(bars.volume_buckets(tape(spark, d), 20, 10, gap_ms=600_000).select("exchange", "day", "k", "open_ms", "close_ms", "trade_count", *CLOCK.split()), CLOCK)
 
 
 @query("vpin_on_grid", f"""{ALL_COVERED.replace("WITH ", "WITH ", 1)}, {BUCKETS_SQL}, closed AS (SELECT exchange, close_ms, last(vpin ORDER BY day, k) AS vpin FROM buckets WHERE vpin IS NOT NULL GROUP BY 1, 2)
@@ -181,6 +188,29 @@ def ladder_rows(spark, d):
     return rounded(out.select("exchange", "ts_ms", "side", "price", "qty", F.col("row").cast("long").alias("row"), "total", "ticks"), "qty total")
 
 
+GROUPED_SQL = """s AS (SELECT exchange, ts_ms, (bids[1][1] + asks[1][1]) / 2 AS mid, bids, asks FROM book), x AS (SELECT exchange, ts_ms, mid, 'bid' AS side, unnest(bids) AS l FROM s UNION ALL SELECT exchange, ts_ms, mid, 'ask', unnest(asks) FROM s),
+g0 AS (SELECT exchange, ts_ms, side, CASE WHEN side = 'bid' THEN floor(l[1]) ELSE ceil(l[1]) END AS price, sum(l[2]) AS qty, max(mid) AS mid FROM x GROUP BY 1, 2, 3, 4), g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY exchange, ts_ms, side ORDER BY abs(price - mid)) <= 5)"""
+
+
+@query("depth_velocity", f"""WITH {book_sql()}, {GROUPED_SQL}, e AS (SELECT exchange, max(ts_ms) AS b FROM book GROUP BY 1), e2 AS (SELECT e.exchange, b, min(ts_ms) AS a FROM e JOIN book ON e.exchange = book.exchange AND ts_ms >= b - 60000 GROUP BY 1, 2),
+q AS (SELECT g.exchange, price, coalesce(sum(qty) FILTER (ts_ms = b), 0) AS qty, coalesce(sum(qty) FILTER (ts_ms = a), 0) AS was, any_value(b - a) / 1000 AS s FROM g JOIN e2 ON g.exchange = e2.exchange AND ts_ms IN (a, b) GROUP BY 1, 2)
+SELECT exchange, price, round(qty, 6) + 0.0 AS qty, round(CASE WHEN s > 0 THEN (qty - was) / s ELSE 0 END, 6) + 0.0 AS velocity FROM q""")
+def depth_velocity(spark, d):
+    return rounded(books.depth_velocity(book(spark, d), 1.0, 5, 60_000), "qty velocity")
+
+
+@query("depth_range", f"WITH {book_sql()}, {GROUPED_SQL} SELECT exchange, ts_ms, min(price) AS low, max(price) AS high FROM g GROUP BY 1, 2")
+def depth_range(spark, d):
+    return books.depth_range(book(spark, d), 1.0, 5)
+
+
+@query("depth_imbalance", f"""WITH {book_sql()}, s AS (SELECT exchange, ts_ms, (bids[1][1] + asks[1][1]) / 2 AS mid, bids, asks FROM book), v AS (SELECT exchange, ts_ms, list_sum([x[2] for x in bids if abs(x[1] - mid) <= 3]) AS b, list_sum([x[2] for x in asks if abs(x[1] - mid) <= 3]) AS a FROM s)
+SELECT exchange, ts_ms, round((b - a) / (b + a), 6) + 0.0 AS imbalance FROM v""")
+def depth_imbalance(spark, d):
+    f = books.book_features(book(spark, d))
+    return rounded(f.select("exchange", "ts_ms", books.depth_imbalance("bids", "asks", F.col("mid"), 3.0).alias("imbalance")), "imbalance")
+
+
 @query("merged_book", f"""WITH {book_sql()}, x AS (SELECT exchange, ts_ms // 10000 AS slot, 'bid' AS side, unnest(bids[1:5]) AS l FROM book UNION ALL SELECT exchange, ts_ms // 10000, 'ask', unnest(asks[1:5]) FROM book)
 SELECT slot AS ts_ms, side, round(l[1]) AS price, round(sum(l[2]), 6) + 0.0 AS qty, count(DISTINCT exchange) AS venues FROM x GROUP BY 1, 2, 3""")
 def merged_book(spark, d):

@@ -34,6 +34,18 @@ def buy_and_hold_equity(spark, d):
     return rounded(sr.buy_and_hold_equity(_prices(spark, d)).select("series", "day", "equity"), "equity")
 
 
+@query("slice_range", f"{T} SELECT trade_id, ts_ms FROM tape WHERE ts_ms BETWEEN 1704153600000 AND 1704240000000")
+def slice_range(spark, d):
+    return sr.slice_range(tape(spark, d), 1_704_153_600_000, 1_704_240_000_000, "ts_ms").select("trade_id", "ts_ms")
+
+
+@query("last_finite", f"{T}, x AS (SELECT exchange, ts_ms, CASE WHEN qty > 10 THEN price END AS x FROM tape) SELECT exchange, ts_ms // 3600000 AS bar, arg_max(x, ts_ms) FILTER (x IS NOT NULL) AS x FROM x GROUP BY 1, 2")
+def last_finite(spark, d):
+    x = F.when(F.col("qty") > 10, F.col("price")).otherwise(F.when(F.col("qty") > 5, F.lit(float("nan"))))
+    t = tape(spark, d).withColumn("x", x)
+    return t.groupBy("exchange", F.floor(F.col("ts_ms") / 3_600_000).cast("long").alias("bar")).agg(sr.last_finite("x", "ts_ms").alias("x"))
+
+
 @query("periods_per_year", f"{T}, x AS (SELECT exchange AS series, ts_ms - lag(ts_ms) OVER (PARTITION BY exchange ORDER BY ts_ms) AS d FROM tape) SELECT series, round(365 * 86400000.0::DOUBLE / quantile_cont(d, 0.5), 4) + 0.0 AS per_year FROM x WHERE d > 0 GROUP BY 1")
 def periods_per_year(spark, d):
     return rounded(sr.periods_per_year(tape(spark, d).withColumnRenamed("exchange", "series")), "per_year", 4)

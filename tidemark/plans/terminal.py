@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import bars, books, profiles, terminal as tm
 from tidemark.plans.profiles import FOOT
 from tidemark.plans.registry import query, rounded
@@ -77,6 +78,23 @@ def trailing_by_level(spark, d):
     return tm.trailing_by_level(tape(spark, d), 3_600_000, 10.0).select("trade_id", "level", "buy", "sell")
 
 
+@query("trailing_liquidations", f"{T} SELECT trade_id, round(sum(price * qty) OVER (PARTITION BY exchange ORDER BY ts_ms RANGE 299999 PRECEDING), 4) + 0.0 AS last_5m FROM tape WHERE qty > 20")
+def trailing_liquidations(spark, d):
+    forced = tape(spark, d).filter("qty > 20").withColumn("notional_usd", F.col("price") * F.col("qty"))
+    return rounded(tm.trailing_sum(forced, "notional_usd", 300_000, "last_5m").select("trade_id", "last_5m"), "last_5m", 4)
+
+
+@query("leg_cvd", f"""{T}, b AS (SELECT ts_ms // 600000 * 600000 AS ts_ms, sum(CASE WHEN exchange IN ('click', 'view') THEN x ELSE 0 END) AS p, sum(CASE WHEN exchange IN ('click', 'view') THEN 0 ELSE x END) AS s FROM (SELECT *, CASE WHEN aggressor_buy THEN 1 ELSE -1 END * price * qty AS x FROM tape) WHERE x <> 0 GROUP BY 1)
+SELECT ts_ms, round(sum(p) OVER (ORDER BY ts_ms), 4) + 0.0 AS cvd_perp, round(sum(s) OVER (ORDER BY ts_ms), 4) + 0.0 AS cvd_spot FROM b QUALIFY ts_ms < max(ts_ms) OVER ()""")
+def leg_cvd(spark, d):
+    return rounded(tm.leg_cvd(tape(spark, d), ["click", "view"], 600_000), "cvd_perp cvd_spot", 4)
+
+
+@query("log_bar_width", f"{T} SELECT trade_id, round(greatest(0, least(1, ln(1 + qty) / ln(1 + 50))), 6) + 0.0 AS width FROM tape")
+def log_bar_width(spark, d):
+    return rounded(tape(spark, d).select("trade_id", scalars.log_bar_width(F.col("qty"), F.lit(50.0)).alias("width")), "width")
+
+
 @query("last_prints", f"{T} SELECT trade_id, ts_ms, price FROM tape WHERE price * qty >= 5000 ORDER BY ts_ms DESC, trade_id DESC LIMIT 12")
 def last_prints(spark, d):
     return tm.last_prints(tape(spark, d), 12, 5000.0).select("trade_id", "ts_ms", "price")

@@ -151,3 +151,20 @@ def depth_chain_rule(spark, d):
     t = t.withColumns({"ev_first": F.col("seq") * 10, "ev_u": F.col("seq") * 10 + 9, "snapshot_last_id": F.lit(500)})
     t = t.withColumn("ev_pu", F.when(F.col("seq") % 7 == 0, -1).otherwise(F.lag("ev_u").over(by("symbol", "seq"))))
     return wire.chain_rule(t).select("symbol", "seq", "verdict")
+
+
+@query("wire_binance_open_interest", f"{T} SELECT 'binance' AS exchange, exchange AS symbol, ts_ms, qty AS oi FROM tape")
+def binance_open_interest(spark, d):
+    return wire.binance_open_interest(frames(spark, d, "named_struct('symbol', exchange, 'time', ts_ms, 'openInterest', cast(qty as string))"))
+
+
+@query("wire_okx_open_interest", f"{T} SELECT 'okx' AS exchange, exchange AS symbol, ts_ms, price AS oi FROM tape WHERE ts_ms // 3600000 % 5 <> 0")
+def okx_open_interest(spark, d):
+    f = frames(spark, d, "named_struct('instId', exchange, 'ts', cast(ts_ms as string), 'oiCcy', cast(price as string))", "named_struct('code', if(seq % 5 = 0, '50001', '0'), 'data', {x})", "ts_ms div 3600000")
+    return wire.okx_open_interest(f)
+
+
+@query("wire_binance_oi_hist", f"{T} SELECT 'binance' AS exchange, exchange AS symbol, ts_ms, 'oi_sum_coin' AS metric, qty AS value FROM tape UNION ALL SELECT 'binance', exchange, ts_ms, 'oi_sum_usd', price FROM tape")
+def binance_oi_hist(spark, d):
+    f = frames(spark, d, "named_struct('symbol', exchange, 'timestamp', ts_ms, 'sumOpenInterest', cast(qty as string), 'sumOpenInterestValue', cast(price as string))", "{x}", "ts_ms div 3600000")
+    return wire.binance_oi_hist(f, "EVT")
