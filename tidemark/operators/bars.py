@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import size_tier
-from tidemark.functions.windows import islands
 from tidemark.operators.asof import asof_join
 from tidemark.sources.schemas import DAY_MS
 
@@ -71,7 +70,10 @@ def gap_by_bar(gaps: DataFrame, bar_ms: int, keys: tuple[str, ...] = ("exchange"
 
 
 def covered_bars(trades: DataFrame, start_ms: int, end_ms: int, bar_ms: int, gap_ms: int) -> DataFrame:
-    """Every (exchange, bar) of the window with trade columns, coverage, segment, cvd, vwap and gap flags."""
+    """Every (exchange, bar) of the window with trade columns, coverage, segment, cvd, vwap and gap flags.
+
+    A segment is a run of wholly covered bars; any other bar has a segment of its own, and the cvd begins anew in each.
+    """
     venues = trades.select("exchange").distinct()
     every = venues.crossJoin(F.broadcast(grid(trades.sparkSession, start_ms, end_ms, bar_ms)))  # the grid's size is fixed by the window
     inside = trades.filter((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms))
@@ -82,11 +84,13 @@ def covered_bars(trades: DataFrame, start_ms: int, end_ms: int, bar_ms: int, gap
     flow = ["volume", "buy", "sell", "notional", "n", *[f"delta_{t}" for t in TIERS]]
     out = out.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c)).when(alive, F.lit(0)) for c in flow})
     w = Window.partitionBy("exchange").orderBy("bar")
-    out = out.withColumn("segment", islands(F.col("coverage") >= 1, w))
+    whole = F.col("coverage") >= 1
+    fresh = F.when(whole & F.coalesce(F.lag(whole).over(w), F.lit(False)), 0).otherwise(1)
+    out = out.withColumn("_fresh", fresh).withColumn("segment", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_fresh")
     out = out.withColumns({"delta": F.col("buy") - F.col("sell"), "vwap": F.try_divide("notional", "volume"), "is_gap": F.col("coverage") < 1})
     cvd = F.sum(F.coalesce("delta", F.lit(0.0))).over(Window.partitionBy("exchange", "segment").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
     spans = (F.col("coverage") < 1) | F.coalesce(F.lag("coverage").over(w) < 1, F.lit(True)) | F.col("close").isNull() | F.lag("close").over(w).isNull()
-    return out.withColumns({"cvd": F.when(F.col("segment").isNotNull() & F.col("delta").isNotNull(), cvd), "ret_spans_gap": spans})
+    return out.withColumns({"cvd": F.when(F.col("delta").isNotNull(), cvd), "ret_spans_gap": spans})
 
 
 def coverage_mask(least: float = 1.0) -> Column:
@@ -107,7 +111,7 @@ def coverage_summary(bars: DataFrame) -> DataFrame:
     c = F.col("coverage")
     return bars.groupBy("exchange").agg(
         F.count("*").alias("bars"), F.count(F.when(c >= 1, 1)).alias("full"), F.count(F.when((c > 0) & (c < 1), 1)).alias("partial"), F.count(F.when(c <= 0, 1)).alias("empty"),
-        F.coalesce(F.sum("gap_ms"), F.lit(0)).alias("gap_ms"), F.countDistinct("segment").alias("segments"),
+        F.coalesce(F.sum("gap_ms"), F.lit(0)).alias("gap_ms"), F.countDistinct(F.when(c >= 1, F.col("segment"))).alias("segments"),
     )
 
 

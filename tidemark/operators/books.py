@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import ratio
 from tidemark.operators.bars import bar_of
+from tidemark.sources.schemas import DAY_MS
 
 LADDER = "array<array<double>>"
 
@@ -48,21 +49,22 @@ def book_features(snapshots: DataFrame, n: int = 10) -> DataFrame:
 
 
 def ofi(features: DataFrame, gap_ms: int) -> DataFrame:
-    """Add ofi against the snapshot before; NULL across a gap longer than gap_ms."""
-    w = Window.partitionBy("exchange", "symbol").orderBy("ts_ms")
+    """Add ofi against the snapshot before on the same UTC day, NULL across a gap longer than gap_ms, and pair_ms, the time between them."""
+    features = features.withColumn("_day", bar_of("ts_ms", DAY_MS))
+    w = Window.partitionBy("exchange", "symbol", "_day").orderBy("ts_ms")
     b = {c: F.lag(c).over(w) for c in ("bid", "bid_qty", "ask", "ask_qty", "ts_ms")}
     value = (
         F.when(F.col("bid") >= b["bid"], F.col("bid_qty")).otherwise(0.0) - F.when(F.col("bid") <= b["bid"], b["bid_qty"]).otherwise(0.0)
         - F.when(F.col("ask") <= b["ask"], F.col("ask_qty")).otherwise(0.0) + F.when(F.col("ask") >= b["ask"], b["ask_qty"]).otherwise(0.0)
     )
-    return features.withColumn("ofi", F.when(F.col("ts_ms") - b["ts_ms"] <= gap_ms, value))
+    return features.withColumns({"ofi": F.when(F.col("ts_ms") - b["ts_ms"] <= gap_ms, value), "pair_ms": F.col("ts_ms") - b["ts_ms"]}).drop("_day")
 
 
 def book_bars(snapshots: DataFrame, bar_ms: int, gap_ms: int, n: int = 10) -> DataFrame:
-    """The last state and the summed ofi of each bar."""
+    """The last state of each bar, its summed ofi (NULL without pairs), the pairs in it and those it leaves out for a gap."""
     f = ofi(book_features(snapshots, n), gap_ms)
     last = [F.max_by(c, "ts_ms").alias(c) for c in ("mid", "spread_bps", "microprice", "imbalance", "bid_depth", "ask_depth", "bid_slope", "ask_slope")]
-    return f.groupBy("exchange", bar_of("ts_ms", bar_ms).alias("bar")).agg(*last, F.sum("ofi").alias("ofi"), F.count("*").alias("snapshots"))
+    return f.groupBy("exchange", bar_of("ts_ms", bar_ms).alias("bar")).agg(*last, F.sum("ofi").alias("ofi"), F.count("ofi").alias("ofi_n"), F.count(F.when(F.col("pair_ms") > gap_ms, 1)).alias("ofi_gap_pairs"), F.count("*").alias("snapshots"))
 
 
 def walk_price(side: str, notional: float) -> Column:

@@ -60,9 +60,9 @@ def gap_by_bar(spark, d):
 COVERED_SQL = f"""grid AS (SELECT exchange, bar FROM (SELECT DISTINCT exchange FROM tape), (SELECT unnest(range({START // HOUR}, {END // HOUR})) AS bar)),
 c0 AS (SELECT g.exchange, g.bar, t.open, t.close, t.volume, t.buy, t.sell, t.notional, t.n, p.gap_ms, 1 - coalesce(p.gap_ms, 0) / {HOUR}.0 AS coverage FROM grid g LEFT JOIN trade_bars t ON g.exchange = t.exchange AND g.bar = t.bar LEFT JOIN gaps p ON g.exchange = p.exchange AND g.bar = p.bar),
 c1 AS (SELECT * EXCLUDE (volume, buy, sell, n), CASE WHEN volume IS NULL AND coverage > 0 THEN 0 ELSE volume END AS volume, CASE WHEN buy IS NULL AND coverage > 0 THEN 0 ELSE buy END AS buy, CASE WHEN sell IS NULL AND coverage > 0 THEN 0 ELSE sell END AS sell, CASE WHEN n IS NULL AND coverage > 0 THEN 0 ELSE n END AS n,
-    CASE WHEN coverage >= 1 AND NOT coalesce(lag(coverage >= 1) OVER (PARTITION BY exchange ORDER BY bar), false) THEN 1 ELSE 0 END AS fresh FROM c0),
-c2 AS (SELECT *, CASE WHEN coverage >= 1 THEN CAST(sum(fresh) OVER (PARTITION BY exchange ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) END AS segment, buy - sell AS delta FROM c1),
-covered AS (SELECT *, CASE WHEN segment IS NOT NULL AND delta IS NOT NULL THEN sum(coalesce(delta, 0)) OVER (PARTITION BY exchange, segment ORDER BY bar ROWS UNBOUNDED PRECEDING) END AS cvd,
+    CASE WHEN coverage >= 1 AND coalesce(lag(coverage >= 1) OVER (PARTITION BY exchange ORDER BY bar), false) THEN 0 ELSE 1 END AS fresh FROM c0),
+c2 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY exchange ORDER BY bar ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS segment, buy - sell AS delta FROM c1),
+covered AS (SELECT *, CASE WHEN delta IS NOT NULL THEN sum(coalesce(delta, 0)) OVER (PARTITION BY exchange, segment ORDER BY bar ROWS UNBOUNDED PRECEDING) END AS cvd,
     coverage < 1 OR coalesce(lag(coverage) OVER w < 1, true) OR close IS NULL OR lag(close) OVER w IS NULL AS ret_spans_gap, CASE WHEN volume <> 0 THEN notional / volume END AS vwap FROM c2 WINDOW w AS (PARTITION BY exchange ORDER BY bar))"""
 ALL_COVERED = f"WITH {TAPE_SQL}, {BARS_SQL}, {HOLES_SQL}, {GAPS_SQL}, {COVERED_SQL}"
 
@@ -86,7 +86,7 @@ def gap_flat_positions(spark, d):
     return bars.gap_flat_positions(_covered(spark, d).withColumn("position", F.lit(1.0))).select("exchange", "bar", "position")
 
 
-@query("coverage_summary", f"""{ALL_COVERED} SELECT exchange, count(*) AS bars, count(*) FILTER (coverage >= 1) AS "full", count(*) FILTER (coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (coverage <= 0) AS empty, CAST(coalesce(sum(gap_ms), 0) AS BIGINT) AS gap_ms, count(DISTINCT segment) AS segments FROM covered GROUP BY 1""")
+@query("coverage_summary", f"""{ALL_COVERED} SELECT exchange, count(*) AS bars, count(*) FILTER (coverage >= 1) AS "full", count(*) FILTER (coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (coverage <= 0) AS empty, CAST(coalesce(sum(gap_ms), 0) AS BIGINT) AS gap_ms, count(DISTINCT segment) FILTER (coverage >= 1) AS segments FROM covered GROUP BY 1""")
 def coverage_summary(spark, d):
     return bars.coverage_summary(_covered(spark, d))
 
@@ -157,9 +157,9 @@ def book_features(spark, d):
     return rounded(books.book_features(book(spark, d)).select("exchange", "ts_ms", *FEATURES.split()), FEATURES)
 
 
-OFI_SQL = """o AS (SELECT exchange, ts_ms, mid, CASE WHEN ts_ms - lag(ts_ms) OVER w <= 30000 THEN
+OFI_SQL = f"""o AS (SELECT exchange, ts_ms, mid, ts_ms - lag(ts_ms) OVER w AS pair_ms, CASE WHEN ts_ms - lag(ts_ms) OVER w <= 30000 THEN
     CASE WHEN bid >= lag(bid) OVER w THEN bid_qty ELSE 0 END - CASE WHEN bid <= lag(bid) OVER w THEN lag(bid_qty) OVER w ELSE 0 END
-    - CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END + CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END END AS ofi FROM f WINDOW w AS (PARTITION BY exchange, symbol ORDER BY ts_ms))"""
+    - CASE WHEN ask <= lag(ask) OVER w THEN ask_qty ELSE 0 END + CASE WHEN ask >= lag(ask) OVER w THEN lag(ask_qty) OVER w ELSE 0 END END AS ofi FROM f WINDOW w AS (PARTITION BY exchange, symbol, ts_ms // {DAY_MS} ORDER BY ts_ms))"""
 
 
 @query("book_ofi", f"WITH {BOOK_SQL}, {OFI_SQL} SELECT exchange, ts_ms, {sql_rounded('ofi')} FROM o")
@@ -167,9 +167,9 @@ def book_ofi(spark, d):
     return rounded(books.ofi(books.book_features(book(spark, d)), 30_000).select("exchange", "ts_ms", "ofi"), "ofi")
 
 
-@query("book_bars", f"WITH {BOOK_SQL}, {OFI_SQL} SELECT exchange, ts_ms // 60000 AS bar, round(last(mid ORDER BY ts_ms), 6) + 0.0 AS mid, round(sum(ofi), 6) + 0.0 AS ofi, count(*) AS snapshots FROM o GROUP BY 1, 2")
+@query("book_bars", f"WITH {BOOK_SQL}, {OFI_SQL} SELECT exchange, ts_ms // 60000 AS bar, round(last(mid ORDER BY ts_ms), 6) + 0.0 AS mid, round(sum(ofi), 6) + 0.0 AS ofi, count(ofi) AS ofi_n, count(*) FILTER (pair_ms > 30000) AS ofi_gap_pairs, count(*) AS snapshots FROM o GROUP BY 1, 2")
 def book_bars(spark, d):
-    return rounded(books.book_bars(book(spark, d), 60_000, 30_000).select("exchange", "bar", "mid", "ofi", "snapshots"), "mid ofi")
+    return rounded(books.book_bars(book(spark, d), 60_000, 30_000).select("exchange", "bar", "mid", "ofi", "ofi_n", "ofi_gap_pairs", "snapshots"), "mid ofi")
 
 
 @query("book_walk", f"""WITH {book_sql()}, x AS (SELECT exchange, ts_ms, unnest(asks) AS l, unnest(range(16)) AS i FROM book),

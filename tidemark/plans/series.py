@@ -56,7 +56,7 @@ def backtest_report(spark, d):
     return sr.report(bt.run(_trend(spark, d)))
 
 
-@query("segments", f"""{ALL_COVERED} SELECT exchange, segment, min(bar) AS first_bar, max(bar) AS last_bar, count(*) AS bars FROM covered WHERE segment IS NOT NULL GROUP BY 1, 2""")
+@query("segments", f"""{ALL_COVERED} SELECT exchange, dense_rank() OVER (PARTITION BY exchange ORDER BY segment) - 1 AS segment, min(bar) AS first_bar, max(bar) AS last_bar, count(*) AS bars FROM covered WHERE coverage >= 1 GROUP BY exchange, covered.segment""")
 def segments(spark, d):
     return sr.segments(_covered(spark, d).drop("segment"))
 
