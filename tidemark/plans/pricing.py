@@ -154,8 +154,8 @@ def markout(spark, d):
     t = tape(spark, d)
     c = t.filter("exchange = 'click'").select("symbol", "ts_ms", "price", F.when(F.col("aggressor_buy"), 1).otherwise(-1).alias("s"))
     c = c.withColumn("horizon", F.explode(F.array(*map(F.lit, (0, 600_000, 3_600_000))))).withColumn("want", F.col("ts_ms") + F.col("horizon"))
-    r = t.filter("exchange = 'view'").select("symbol", F.col("ts_ms").alias("at_ms"), F.col("price").alias("at_price"))
-    j = asof.asof_join(c, r, ["symbol"], "want", "at_ms", forward=True, strict=True, tolerance=3_600_000)
+    r = t.filter("exchange = 'view'").select("symbol", F.col("ts_ms").alias("at_ms"), F.col("price").alias("at_price"), F.col("trade_id").cast("long").alias("at_id"))
+    j = asof.asof_join(c, r, ["symbol"], "want", "at_ms", forward=True, strict=True, tolerance=3_600_000, ties=("at_id",))
     return rounded(j.groupBy("horizon").agg(F.count("at_price").alias("n"), F.avg(F.col("s") * (F.col("at_price") - F.col("price"))).alias("markout")), "markout")
 
 
