@@ -32,3 +32,7 @@ def test_markout(spark, tied):
     assert of_tied(spark, tied, "markout") == ""
     plan = QUERIES["markout"](spark, tied)._jdf.queryExecution().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_asof_backward(spark, tied):
+    assert of_tied(spark, tied, "asof_backward") == ""

@@ -129,7 +129,7 @@ def vpin_on_grid(spark, d):
 
 def _legs(spark, d):
     t = tape(spark, d)
-    return t.filter("exchange = 'click'").select("symbol", "trade_id", "ts_ms"), t.filter("exchange = 'view'").select("symbol", F.col("ts_ms").alias("quote_ms"), F.col("price").alias("quote"))
+    return t.filter("exchange = 'click'").select("symbol", "trade_id", "ts_ms"), t.filter("exchange = 'view'").select("symbol", F.col("ts_ms").alias("quote_ms"), F.col("price").alias("quote"), F.col("trade_id").cast("long").alias("quote_id"))
 
 
 LEGS_SQL = "l AS (SELECT symbol, trade_id, ts_ms FROM tape WHERE exchange = 'click'), r AS (SELECT symbol, ts_ms AS quote_ms, price AS quote FROM tape WHERE exchange = 'view')"
@@ -137,12 +137,13 @@ LEGS_SQL = "l AS (SELECT symbol, trade_id, ts_ms FROM tape WHERE exchange = 'cli
 
 @query("asof_backward", f"WITH {TAPE_SQL}, {LEGS_SQL} SELECT l.symbol, trade_id, ts_ms, quote_ms, quote FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts_ms >= r.quote_ms")
 def asof_backward(spark, d):
-    return asof.asof_join(*_legs(spark, d), ["symbol"], "ts_ms", "quote_ms")
+    return asof.asof_join(*_legs(spark, d), ["symbol"], "ts_ms", "quote_ms", ties=("quote_id",))
 
 
 @query("asof_forward", f"WITH {TAPE_SQL}, {LEGS_SQL} SELECT l.symbol, trade_id, ts_ms, CASE WHEN quote_ms - ts_ms <= 900000 THEN quote_ms END AS quote_ms, CASE WHEN quote_ms - ts_ms <= 900000 THEN quote END AS quote FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts_ms < r.quote_ms")
 def asof_forward(spark, d):
-    return asof.asof_join(*_legs(spark, d), ["symbol"], "ts_ms", "quote_ms", forward=True, strict=True, tolerance=900_000)
+    left, right = _legs(spark, d)
+    return asof.asof_join(left, right.drop("quote_id"), ["symbol"], "ts_ms", "quote_ms", forward=True, strict=True, tolerance=900_000)
 
 
 FEATURES = "mid spread_bps microprice imbalance bid_depth ask_depth bid_slope ask_slope"
