@@ -36,3 +36,7 @@ def test_markout(spark, tied):
 
 def test_asof_backward(spark, tied):
     assert of_tied(spark, tied, "asof_backward") == ""
+
+
+def test_asof_forward(spark, tied):
+    assert of_tied(spark, tied, "asof_forward") == ""

@@ -142,8 +142,7 @@ def asof_backward(spark, d):
 
 @query("asof_forward", f"WITH {TAPE_SQL}, {LEGS_SQL} SELECT l.symbol, trade_id, ts_ms, CASE WHEN quote_ms - ts_ms <= 900000 THEN quote_ms END AS quote_ms, CASE WHEN quote_ms - ts_ms <= 900000 THEN quote END AS quote FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.ts_ms < r.quote_ms")
 def asof_forward(spark, d):
-    left, right = _legs(spark, d)
-    return asof.asof_join(left, right.drop("quote_id"), ["symbol"], "ts_ms", "quote_ms", forward=True, strict=True, tolerance=900_000)
+    return asof.asof_join(*_legs(spark, d), ["symbol"], "ts_ms", "quote_ms", forward=True, strict=True, tolerance=900_000, ties=("quote_id",))
 
 
 FEATURES = "mid spread_bps microprice imbalance bid_depth ask_depth bid_slope ask_slope"
