@@ -40,3 +40,14 @@ def test_asof_backward(spark, tied):
 
 def test_asof_forward(spark, tied):
     assert of_tied(spark, tied, "asof_forward") == ""
+
+
+@pytest.mark.parametrize("name", ["roll_spread"])
+def test_any_order_of_the_files(spark, tied, tmp_path_factory, name):
+    """The SQL reads the record in its order, in one thread; the query reads it turned round."""
+    turned = tmp_path_factory.mktemp("turned")
+    con = connect(tied)
+    con.sql("SET threads = 1")
+    con.sql(f"COPY (SELECT * FROM events ORDER BY event_id DESC) TO '{turned}/events.parquet' (FORMAT parquet)")
+    for path in (tied, str(turned)):
+        assert compare(spark, con, QUERIES[name], ORACLES[name], path) == ""

@@ -80,7 +80,8 @@ def parse_instrument(spark, d):
 
 
 def _changes(spark, d):
-    t = tape(spark, d).select(F.col("exchange").alias("series"), F.col("ts_ms").alias("ts"), F.col("price").alias("p"))
+    """Price changes; ts orders prints of one instant by their ids, however the files are read and shuffled."""
+    t = tape(spark, d).select(F.col("exchange").alias("series"), F.struct("ts_ms", F.col("trade_id").cast("long").alias("id")).alias("ts"), F.col("price").alias("p"))
     from tidemark.functions.windows import by
 
     return t.withColumn("dp", F.col("p") - F.lag("p").over(by("series", "ts")))
