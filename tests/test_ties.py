@@ -42,7 +42,7 @@ def test_asof_forward(spark, tied):
     assert of_tied(spark, tied, "asof_forward") == ""
 
 
-@pytest.mark.parametrize("name", ["roll_spread", "autocovariances"])
+@pytest.mark.parametrize("name", ["roll_spread", "autocovariances", "roll_bounds"])
 def test_any_order_of_the_files(spark, tied, tmp_path_factory, name):
     """The SQL reads the record in its order, in one thread; the query reads it turned round."""
     turned = tmp_path_factory.mktemp("turned")
