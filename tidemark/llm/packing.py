@@ -25,10 +25,11 @@ import json
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -48,6 +49,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN}]+")
 PLAIN = re.compile(f"[!-@\\[-~{LATIN}]+")
+#: ASCII characters that are neither letters nor digits. After an ASCII letter or digit, those at a run's end are a piece of their own.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def default_tokenizer() -> str:
@@ -75,47 +78,98 @@ class WordBpe:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if splits == [SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>":
             self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        # Words of a to z in lower case are pieces as they stand: nothing to compose, lower, split or map.
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, runs: set[bytes]) -> dict[bytes, bytes]:
+    def _encoded(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """The ids of runs. Plain ones are encoded in one text: each of their pieces ends with a token that has the word's end."""
-        plain, rest = [], []
+        words, plain, rest = [], [], []
+        split = bool(self.ends.any())
         for x in runs:
+            if split and x.isalpha() and x.islower():
+                words.append(x)
+                continue
             text = x.decode("utf-8", "replace")
-            (plain if self.ends.any() and PLAIN.fullmatch(text) and "<|" not in text else rest).append((x, text))
+            (plain if split and PLAIN.fullmatch(text) and "<|" not in text else rest).append((x, text))
         out: dict[bytes, bytes] = {}
-        for k in range(0, len(plain), AT_ONCE):
-            part = plain[k : k + AT_ONCE]
-            raw = self._ids([" ".join([text for _, text in part])])[0]
+
+        def together(part: list[bytes], text: str, last: np.ndarray, tokenizer) -> bool:
+            raw = self._ids([text], tokenizer)[0]
             stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
-            last = np.cumsum([1 if text.isalpha() else len(PIECE.findall(text)) for _, text in part])
             if len(stops) != last[-1]:
-                rest += part
-                continue
+                return False
             at = 0
-            for (x, _), stop in zip(part, (4 * stops[last - 1]).tolist()):
+            for x, stop in zip(part, (4 * stops[last - 1]).tolist()):
                 out[x] = raw[at:stop]
                 at = stop
+            return True
+
+        for k in range(0, len(words), AT_ONCE):
+            part = words[k : k + AT_ONCE]
+            if not together(part, b" ".join(part).decode("ascii"), np.arange(1, len(part) + 1), self.bare):
+                rest += [(x, x.decode("ascii")) for x in part]
+        for k in range(0, len(plain), AT_ONCE):
+            part = plain[k : k + AT_ONCE]
+            last = np.cumsum([1 if text.isalpha() else len(PIECE.findall(text)) for _, text in part])
+            if not together([x for x, _ in part], " ".join([text for _, text in part]), last, self.tokenizer):
+                rest += part
         for k in range(0, len(rest), AT_ONCE):
             part = rest[k : k + AT_ONCE]
             out.update(zip([x for x, _ in part], self._ids([text for _, text in part])))
         return out
 
+    def _known(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of distinct runs. Of a run with marks at its end that is not in the memo, the run before them and the marks are looked up."""
+        memo, split = self.memo, bool(self.ends.any())
+        out = list(map(memo.get, runs))
+        whole, cuts, fresh = [], [], {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            x = runs[i]
+            head = x.rstrip(MARKS)
+            if len(head) < len(x) and head[-1:].isalnum() and split and b"<|" not in x:
+                marks = x[len(head) :]
+                one, two = memo.get(head), memo.get(marks)
+                if one is None:
+                    fresh[head] = None
+                if two is None:
+                    fresh[marks] = None
+                cuts.append((i, head, marks, one, two))
+            else:
+                fresh[x] = None
+                whole.append(i)
+        fresh = self._encoded(list(fresh))
+        for i in whole:
+            out[i] = fresh[runs[i]]
+        for i, head, marks, one, two in cuts:
+            out[i] = (one or fresh[head]) + (two or fresh[marks])
+        if len(memo) < MEMO:
+            memo.update((x, ids) for x, ids in islice(fresh.items(), MEMO - len(memo)) if len(x) <= LONGEST)
+            memo.update((runs[i], out[i]) for i, *_ in cuts[: MEMO - len(memo)] if len(runs[i]) <= LONGEST)
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Runs are looked up in lower case, as the tokenizer lowers all. It composes before that, so where a mark follows that
 
-        an ASCII letter may be composed with (U+0300 to U+033F, lead byte CC) only ASCII runs are; texts that may hold its special tokens stay as they are."""
-        memo = self.memo
-        runs = [x.split() if b"<|" in x else x.lower().split() if b"\xcc" not in x else [r.lower() if r.isascii() else r for r in x.split()] for x in texts]
-        fresh = self._fresh(set(chain.from_iterable(runs)).difference(memo))
-        room = max(MEMO - len(memo), 0)
-        memo.update(fresh)
-        out = [b"".join(map(memo.__getitem__, own)) for own in runs]
-        for run in chain((r for r in islice(fresh, room) if len(r) > LONGEST), islice(fresh, room, None)):
-            del memo[run]
-        return out
+        an ASCII letter may be composed with (U+0300 to U+033F, lead byte CC) only ASCII runs are; texts that may hold its special tokens stay as they are.
+        Runs are cut, numbered and put together again by Arrow; Python sees each distinct one once."""
+        lower = [x if b"<|" in x else x.lower() if b"\xcc" not in x else b" ".join([r.lower() if r.isascii() else r for r in x.split()]) for x in texts]
+        whole = pa.array(lower, pa.large_binary())
+        runs = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(whole), *whole.buffers()[1:]))
+        coded = runs.values.dictionary_encode()
+        ids = pa.array(self._known(_items(coded.dictionary)), pa.large_binary()).take(coded.indices)
+        return _items(ids, runs.offsets.to_numpy())
+
+
+def _items(column: pa.Array, at: np.ndarray | None = None) -> list[bytes]:
+    """The bytes of a large column's items, or of the spans of items between the places at."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    places = (ends if at is None else ends[at]).tolist()
+    view = (data or pa.py_buffer(b"")).to_pybytes()
+    return [view[a:b] for a, b in zip(places, places[1:])]
 
 
 @lru_cache(maxsize=1)
