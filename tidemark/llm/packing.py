@@ -66,7 +66,7 @@ class WordBpe:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -79,7 +79,8 @@ class WordBpe:
         if splits == [SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>":
             self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         # Words of a to z in lower case are pieces as they stand: nothing to compose, lower, split or map.
-        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.bare = Tokenizer(self.tokenizer.model)  # the same model, not a copy
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
