@@ -1,14 +1,15 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's docs. All stages but the last return the columns of documents.
+as the next stage's docs. All stages but the last return the columns of documents. Where Python workers or shuffles are about
+to need the room, executors give back what the stage before left in their heaps.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import stored, table, trim_executors
 from tidemark.llm.neardup import drop_near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import redact
@@ -19,6 +20,7 @@ from tidemark.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    trim_executors(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,16 +31,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    trim_executors(spark)
     return drop_near_duplicates(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
+    trim_executors(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
+    trim_executors(spark)
     return pack_documents(docs)
 
 

@@ -74,6 +74,36 @@ def trim() -> None:
         pass
 
 
+#: What this worker keeps from task to task, and the keys that the task now running asked for.
+KEPT: dict = {}
+ASKED: set = set()
+
+
+def kept(key, make: Callable):
+    """make()'s object, which this worker keeps for later tasks that ask for it."""
+    ASKED.add(key)
+    if key not in KEPT:
+        KEPT[key] = make()
+    return KEPT[key]
+
+
+def begun(make: Callable[[], Callable]) -> Callable:
+    """The task's function. What make() did not ask for is let go: a worker that goes on to another stage holds that stage's objects only."""
+    ASKED.clear()
+    fn = make()
+    if KEPT.keys() - ASKED:
+        for key in KEPT.keys() - ASKED:
+            del KEPT[key]
+        trim()
+    return fn
+
+
+def trim_executors(spark: SparkSession) -> None:
+    """A collection in each executor: a heap that shuffles made grow is given back before Python workers need the room. No data are read."""
+    tasks = spark.sparkContext.defaultParallelism  # as many as run at once, so each executor gets its share of them
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table that stored() wrote."""
     spark, path = df.sparkSession, getattr(df, "_stored_at", None)
@@ -92,12 +122,12 @@ def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
     """mapInArrow with one function for a task: make() builds it (dictionaries and the like) when the task begins."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn = begun(make)
         for batch in batches:
             for part in parts_of(batch):
                 out = fn(part)
@@ -128,7 +158,7 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn = begun(make)
         for batch in batches:
             for part in parts_of(batch):
                 yield part.filter(pa.array(fn(part), pa.bool_()))

@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -34,13 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import arrow_map, scratch_path, stored, table
+from tidemark.llm.common import arrow_map, kept, scratch_path, stored, table
 
 CAPACITY = 2048
 #: Items for which there is one more share of each size, the most shares, and the classes before the shortest pieces.
 SHARE, MOST_SHARES, CLASSES = 500_000, 128, 4
 #: Entries of a worker's memo of runs of text, and the longest run it takes. A full memo stays as it is: common runs come early.
-MEMO, LONGEST = 700_000, 64
+MEMO, LONGEST = 250_000, 64
 #: Runs that the tokenizer is given at once; its encodings are much larger than the ids.
 AT_ONCE = 2000
 #: The pieces into which the public tokenizer splits (fixed value), and the same for plain runs in lower case: printable
@@ -173,9 +172,8 @@ def _items(column: pa.Array, at: np.ndarray | None = None) -> list[bytes]:
     return [view[a:b] for a, b in zip(places, places[1:])]
 
 
-@lru_cache(maxsize=1)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return kept(("packing", path), lambda: WordBpe(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, labelled_sample, small_batches, table, texts_of
+from tidemark.llm.common import arrow_map, labelled_sample, table, texts_of
 
 MAX_LABELLED = 20_000
 MIN_WORDS = 50
@@ -222,19 +222,20 @@ def quality_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    small_batches(docs.sparkSession)
     names = [f"_quality_{c}" for c in COUNTS]
     schema = docs.schema
     for c in names:
         schema = type(schema)([*schema.fields]).add(c, "long")
 
-    def run(batches):
-        for batch in batches:
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [counts_of(x) for x in texts_of(batch)]
             columns = zip(*rows) if rows else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *names])
+            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *names])
+
+        return run
 
-    counted = docs.mapInArrow(run, schema)
+    counted = arrow_map(docs, make, schema)
     inner = F.struct(*[F.col(f"_quality_{c}").alias(c) for c in COUNTS])
     flat = counted.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_quality_row"), inner.alias("_quality_counts")).select("_quality_row", "_quality_counts.*")
     return flat.filter(verdict(rules)).select("_quality_row.*")
