@@ -51,3 +51,38 @@ def test_any_order_of_the_files(spark, tied, tmp_path_factory, name):
     con.sql(f"COPY (SELECT * FROM events ORDER BY event_id DESC) TO '{turned}/events.parquet' (FORMAT parquet)")
     for path in (tied, str(turned)):
         assert compare(spark, con, QUERIES[name], ORACLES[name], path) == ""
+
+
+@pytest.mark.parametrize("name", ["autocovariances", "roll_bounds"])
+def test_one_frame_for_all_lags(spark, tied, name):
+    """A lag() for each of them read the series again and ran out of heap on spilled ones."""
+    plan = QUERIES[name](spark, tied)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(_e" not in plan and plan.count("collect_list(_e") == 1
+
+
+def test_autocovariances_exactly(spark, tied):
+    """Cents as integers in the order of time and id, no window and no float; a series of three prints has fewer changes than lags."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.windows import by
+    from tidemark.operators import micro
+    from tidemark.plans.pricing import _changes
+    from tidemark.sources.schemas import tape
+
+    rows = tape(spark, tied).select("exchange", "ts_ms", F.col("trade_id").cast("long"), "price").collect()
+    few = spark.createDataFrame([("few", 1, 1, 1.0), ("few", 2, 2, 3.0), ("few", 3, 3, 8.0)], "series string, ts long, id long, p double")
+    d = _changes(spark, tied).select("series", "ts", "dp")
+    got = {r["series"]: r for r in micro.autocovariances(d, 10).collect()}
+    assert sorted(got) == ["click", "purchase", "view"]
+    for s, r in got.items():
+        cents = [round(v * 100) for _, _, v in sorted(tuple(x)[1:] for x in rows if x[0] == s)]
+        dp = [b - a for a, b in zip(cents, cents[1:])]
+        mu = Fraction(sum(dp), len(dp))
+        e = [x - mu for x in dp]
+        assert r["n"] == len(dp)
+        for k in range(11):
+            assert r["g"][k] == pytest.approx(float(sum(a * b for a, b in zip(e[k:], e)) / len(dp) / 10000), rel=1e-9, abs=1e-9)
+    short = micro.autocovariances(few.withColumn("dp", F.col("p") - F.lag("p").over(by("series", "ts"))), 10).first()
+    assert short["n"] == 2 and short["g"] == [2.25, -1.125] + [0.0] * 9

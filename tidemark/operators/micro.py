@@ -22,8 +22,9 @@ def autocovariances(df: DataFrame, most: int = 10, x: str = "dp", keys: list[str
     keys = keys or ["series"]
     d = df.filter(F.col(x).isNotNull())
     d = d.join(d.groupBy(*keys).agg(F.avg(x).alias("_mu")), keys).withColumn("_e", F.col(x) - F.col("_mu"))
-    w = by(keys, ts)
-    d = d.withColumns({f"_c{k}": F.col("_e") * (F.lag("_e", k).over(w) if k else F.col("_e")) for k in range(most + 1)})
+    # One frame for all lags: each lag() reads the series again, with a buffer for every file the window has spilled.
+    d = d.withColumn("_l", F.collect_list("_e").over(by(keys, ts).rowsBetween(-most, 0)))
+    d = d.withColumns({f"_c{k}": F.col("_e") * F.try_element_at("_l", F.lit(-1 - k)) for k in range(most + 1)})
     return d.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"_c{k}").alias(f"_c{k}") for k in range(most + 1)]).select(*keys, "n", F.array(*[F.coalesce(F.col(f"_c{k}") / F.col("n"), F.lit(0.0)) for k in range(most + 1)]).alias("g"))
 
 
