@@ -86,3 +86,19 @@ def test_autocovariances_exactly(spark, tied):
             assert r["g"][k] == pytest.approx(float(sum(a * b for a, b in zip(e[k:], e)) / len(dp) / 10000), rel=1e-9, abs=1e-9)
     short = micro.autocovariances(few.withColumn("dp", F.col("p") - F.lag("p").over(by("series", "ts"))), 10).first()
     assert short["n"] == 2 and short["g"] == [2.25, -1.125] + [0.0] * 9
+
+
+@pytest.mark.parametrize("odd", ["no name", "no time", "few"])
+def test_autocovariances_of_odd_records(spark, tied, tmp_path, odd):
+    """A venue without a name is a series, prints without a time come last, and a lag longer than the series is NULL."""
+    import duckdb
+
+    out = tmp_path / "odd"
+    out.mkdir()
+    some = {
+        "no name": "SELECT * REPLACE (nullif(event_type, 'view') AS event_type) FROM e",
+        "no time": "SELECT * REPLACE (CASE WHEN event_id % 50 <> 7 THEN ts END AS ts) FROM e",
+        "few": "SELECT * FROM e UNION ALL SELECT 9000 + i, TIMESTAMP '2024-01-20' + to_seconds(i), 1, 'few' || k, i * i % 7 + 0.25, '{\"k\": 1}' FROM range(1, 6) r(k), range(0, 5) q(i) WHERE i < k",
+    }[odd]
+    duckdb.sql(f"COPY (WITH e AS (SELECT * FROM '{tied}/events.parquet') FROM ({some}) ORDER BY ts NULLS LAST, event_id) TO '{out}/events.parquet' (FORMAT parquet)")
+    assert of_tied(spark, str(out), "autocovariances") == ""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -21,7 +21,8 @@ def autocovariances(df: DataFrame, most: int = 10, x: str = "dp", keys: list[str
     """keys, n, g (array: biased autocovariances of lags 0..most)."""
     keys = keys or ["series"]
     d = df.filter(F.col(x).isNotNull())
-    d = d.join(d.groupBy(*keys).agg(F.avg(x).alias("_mu")), keys).withColumn("_e", F.col(x) - F.col("_mu"))
+    # No equality join: it would lose a series whose key is NULL.
+    d = d.withColumn("_e", F.col(x) - F.avg(x).over(by(keys, ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     # One frame for all lags: each lag() reads the series again, with a buffer for every file the window has spilled.
     d = d.withColumn("_l", F.collect_list("_e").over(by(keys, ts).rowsBetween(-most, 0)))
     d = d.withColumns({f"_c{k}": F.col("_e") * F.try_element_at("_l", F.lit(-1 - k)) for k in range(most + 1)})

@@ -80,8 +80,9 @@ def parse_instrument(spark, d):
 
 
 def _changes(spark, d):
-    """Price changes; ts orders prints of one instant by their ids, however the files are read and shuffled."""
-    t = tape(spark, d).select(F.col("exchange").alias("series"), F.struct("ts_ms", F.col("trade_id").cast("long").alias("id")).alias("ts"), F.col("price").alias("p"))
+    """Price changes; ts orders prints of one instant by their ids, however the files are read and shuffled. Prints without a time come last, as in the SQL."""
+    ms = F.coalesce("ts_ms", F.lit(2**63 - 1))
+    t = tape(spark, d).select(F.col("exchange").alias("series"), F.struct(ms.alias("ts_ms"), F.col("trade_id").cast("long").alias("id")).alias("ts"), F.col("price").alias("p"))
     from tidemark.functions.windows import by
 
     return t.withColumn("dp", F.col("p") - F.lag("p").over(by("series", "ts")))
@@ -92,8 +93,9 @@ COV = "cv AS (SELECT exchange AS series, ts_ms AS ts, price AS p, price - lag(pr
 
 @query("autocovariances", f"{T}, {COV} SELECT series, n, {sql_rounded('g0 g1 g2 g3')} FROM gm")
 def autocovariances(spark, d):
+    """A lag that no pair of changes spans is NULL."""
     g = micro.autocovariances(_changes(spark, d), 3)
-    return rounded(g.select("series", "n", *[F.element_at("g", k + 1).alias(f"g{k}") for k in range(4)]), "g0 g1 g2 g3")
+    return rounded(g.select("series", "n", *[F.when(F.col("n") > k, F.element_at("g", k + 1)).alias(f"g{k}") for k in range(4)]), "g0 g1 g2 g3")
 
 
 @query("acf", f"{T}, {COV} SELECT series, round(g1 / g0, 6) + 0.0 AS r1, round(g2 / g0, 6) + 0.0 AS r2, round(g3 / g0, 6) + 0.0 AS r3 FROM gm")
